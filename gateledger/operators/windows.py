@@ -146,3 +146,13 @@ def rolling_gate_counts(
         F.coalesce("installation_before", F.lit(0)).cast("bigint").alias("installation_before"),
         F.coalesce("global_before", F.lit(0)).cast("bigint").alias("global_before"),
     )
+
+
+def newest_gate(gates: DataFrame) -> DataFrame:
+    """The one newest gate of all; each task keeps only its own newest."""
+    return gates.orderBy(F.desc("created_at"), F.desc("id")).limit(1)
+
+
+def attempts_oldest_first(attempts: DataFrame) -> DataFrame:
+    """Attempts in time order, range-partitioned."""
+    return attempts.orderBy(*ATTEMPT_ORDER)
