@@ -21,15 +21,45 @@ from pyspark.sql.types import StructType
 from gateledger.operators.machine import relevant_events
 from gateledger.operators.windows import PR
 
-STATE = "head string, hash string, gate string, passed boolean, ts bigint, delivery string"
-OUTPUT = "repo_id bigint, pr_number int, delivery_id string, outcome string, gate_id string, payload string"
+STATE = "head string, hash string, gate string, passed boolean, height int, at bigint, delivery string"
+OUTPUT = "repo_id bigint, pr_number int, delivery_id string, at bigint, outcome string, gate_id string, payload string"
 # Nested and wide columns cross the Python worker as one JSON string.
 PAYLOAD = [
-    "ts", "installation_id", "step", "head_sha", "decisions", "decisions_hash", "trivial", "reason",
+    "installation_id", "step", "head_sha", "decisions", "decisions_hash", "trivial", "reason",
     "capped", "comment_id", "user_id", "user_login", "body", "grade",
 ]
 
 
+class Stack(list):
+    """Ids of pending gates, newest on top."""
+
+    push = list.append
+
+    def top(self) -> str:
+        return self[-1]
+
+
+class StoredStack:
+    """The same over a state map from height to id; reads and writes only what is touched."""
+
+    def __init__(self, entries, height: int):
+        self.entries, self.height = entries, height
+
+    def __len__(self) -> int:
+        return self.height
+
+    def push(self, gate: str) -> None:
+        self.entries.updateValue((self.height,), (gate,))
+        self.height += 1
+
+    def top(self) -> str:
+        return self.entries.getValue((self.height - 1,))[0]
+
+    def pop(self) -> None:
+        self.height -= 1
+        self.entries.removeKey((self.height,))
+
+
 @dataclass
 class PullRequest:
     """Gate state of one pull request and its transition function."""
@@ -40,7 +70,7 @@ class PullRequest:
     hash: str | None = None
     gate: str | None = None
     passed: bool = False
-    pending: list[str] = field(default_factory=list)
+    pending: Stack | StoredStack = field(default_factory=Stack)
 
     def apply(self, e) -> tuple[str, str | None]:
         """Outcome of an event and the gate it concerns."""
@@ -58,18 +88,18 @@ class PullRequest:
         name = f"{self.repo_id}:{self.pr_number}:{e.delivery_id}"
         self.gate = hashlib.sha256(name.encode()).hexdigest()[:32]
         self.head, self.hash, self.passed = e.head_sha, e.decisions_hash, False
-        self.pending.append(self.gate)
+        self.pending.push(self.gate)
         return "gated", self.gate
 
     def _explain(self, e) -> tuple[str, str | None]:
         if not self.pending:
             return "ignored", None
-        target = self.pending[-1]
+        target = self.pending.top()
         if not e.graded:
             return "requested", target
         if e.ungraded:
             return "ungraded", target
-        if not getattr(e, "pass_"):
+        if not e.passes:
             return "failed", target
         self.pending.pop()
         if target == self.gate:
@@ -82,25 +112,17 @@ class GateProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getValueState("latest", STATE)
-        self.height = handle.getValueState("height", "n int")
-        self.pending = handle.getMapState("pending", "height int", "gate string")
-
-    def _load(self, key) -> tuple[PullRequest, tuple[int, str]]:
-        pr = PullRequest(int(key[0]), int(key[1]))
-        done = (-(2**62), "")
-        if self.latest.exists():
-            head, hash_, gate, passed, ts, delivery = self.latest.get()
-            pr.head, pr.hash, pr.gate, pr.passed, done = head, hash_, gate, bool(passed), (ts, delivery)
-        if self.height.exists():
-            pr.pending = [self.pending.getValue((h,))[0] for h in range(self.height.get()[0])]
-        return pr, done
+        self.entries = handle.getMapState("pending", "height int", "gate string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pr, done = self._load(key)
-        before = list(pr.pending)
+        pr, done = PullRequest(int(key[0]), int(key[1])), (-(2**62), "")
+        stored = self.latest.get()
+        pr.pending = StoredStack(self.entries, stored[4] if stored else 0)
+        if stored:
+            pr.head, pr.hash, pr.gate, pr.passed, _, *place = stored
+            done = tuple(place)
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "delivery_id"])
-        batch = batch.rename(columns={"pass": "pass_"}).astype(object)
-        batch = batch.where(batch.notna(), None)
+        batch = batch.astype(object).where(batch.notna(), None)
         results = []
         for e in batch.itertuples(index=False):
             place = (int(e.at), e.delivery_id)
@@ -109,18 +131,13 @@ class GateProcessor(StatefulProcessor):
                 continue
             done = place
             results.append(pr.apply(e))
-        for h, gate in enumerate(pr.pending):
-            if h >= len(before) or before[h] != gate:
-                self.pending.updateValue((h,), (gate,))
-        for h in range(len(pr.pending), len(before)):
-            self.pending.removeKey((h,))
-        self.height.update((len(pr.pending),))
-        self.latest.update((pr.head, pr.hash, pr.gate, pr.passed, *done))
+        self.latest.update((pr.head, pr.hash, pr.gate, pr.passed, len(pr.pending), *done))
         yield pd.DataFrame(
             {
                 "repo_id": pr.repo_id,
                 "pr_number": pr.pr_number,
                 "delivery_id": batch["delivery_id"].to_list(),
+                "at": batch["at"].to_list(),
                 "outcome": [o for o, _ in results],
                 "gate_id": [g for _, g in results],
                 "payload": batch["payload"].to_list(),
@@ -149,7 +166,7 @@ def live_gate_machine(events: DataFrame) -> DataFrame:
         "capped",
         F.col("grade").isNotNull().alias("graded"),
         F.coalesce("grade.ungraded", F.lit(False)).alias("ungraded"),
-        F.coalesce("grade.pass", F.lit(False)).alias("pass"),
+        F.coalesce("grade.pass", F.lit(False)).alias("passes"),
         F.to_json(F.struct(*PAYLOAD)).alias("payload"),
     )
     moved = flat.groupBy(*PR).transformWithStateInPandas(
@@ -159,5 +176,5 @@ def live_gate_machine(events: DataFrame) -> DataFrame:
         timeMode="none",
     )
     return moved.withColumn("p", F.from_json("payload", payload_type)).select(
-        *PR, "delivery_id", "outcome", "gate_id", "p.*"
+        "delivery_id", F.timestamp_micros("at").alias("ts"), *PR, "outcome", "gate_id", "p.*"
     )
