@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gateledger.functions.text import SPACE, clip
+from gateledger.functions.text import SPACE, clip, let
 
 FENCE = rf"(?U)```(?:json)?{SPACE}*((?s:.*?))```"
 
@@ -17,11 +17,15 @@ STRONGEST_CHARS, EDGE_CHARS, ONE_LINE_CHARS = 400, 400, 300
 
 def json_text(raw: Column) -> Column:
     """The span from the first ``{`` to the last ``}``, inside the first code fence if there is one."""
+
+    def span(body: Column) -> Column:
+        start = F.locate("{", body)
+        end = F.length(body) - F.locate("}", F.reverse(body)) + 1
+        found = (start > 0) & (F.locate("}", body) > 0) & (end >= start)
+        return F.when(found, F.substring(body, start, end - start + 1))
+
     body = F.when(raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(raw)
-    start = F.locate("{", body)
-    end = F.length(body) - F.locate("}", F.reverse(body)) + 1
-    found = (start > 0) & (F.locate("}", body) > 0) & (end >= start)
-    return F.when(found, F.substring(body, start, end - start + 1))
+    return let(body, span)
 
 
 def extract_json(raw: Column) -> Column:
@@ -35,27 +39,30 @@ def _kind(value: Column) -> Column:
 
 def js_text(value: Column) -> Column:
     """``String(x || '')`` of a Variant: falsy values give an empty string."""
-    kind = _kind(value)
-    as_text = F.try_variant_get(value, "$", "string")
+    return let(
+        F.struct(
+            value.alias("value"),
+            _kind(value).alias("kind"),
+            F.try_variant_get(value, "$", "string").alias("text"),
+        ),
+        _js_text,
+    )
+
+
+def _js_text(v: Column) -> Column:
+    kind, text = v["kind"], v["text"]
+    items = F.transform(
+        F.try_variant_get(v["value"], "$", "array<variant>"),
+        lambda item: F.coalesce(F.try_variant_get(item, "$", "string"), F.lit("")),
+    )
     return (
-        F.when(value.isNull() | (kind == "VOID"), F.lit(""))
-        .when(kind == "BOOLEAN", F.when(as_text == "true", as_text).otherwise(F.lit("")))
-        .when(
-            kind.isin("BIGINT", "DECIMAL", "DOUBLE"),
-            F.when(F.try_variant_get(value, "$", "double") == 0, F.lit("")).otherwise(as_text),
-        )
+        F.when(v["value"].isNull() | (kind == "VOID"), F.lit(""))
+        .when(kind == "STRING", text)
+        .when(kind == "BOOLEAN", F.when(text == "true", text).otherwise(F.lit("")))
         .when(kind == "OBJECT", F.lit("[object Object]"))
-        .when(
-            kind == "ARRAY",
-            F.array_join(
-                F.transform(
-                    F.try_variant_get(value, "$", "array<variant>"),
-                    lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")),
-                ),
-                ",",
-            ),
-        )
-        .otherwise(F.coalesce(as_text, F.lit("")))
+        .when(kind == "ARRAY", F.array_join(items, ","))
+        .when(F.try_variant_get(v["value"], "$", "double") == 0, F.lit(""))
+        .otherwise(F.coalesce(text, F.lit("")))
     )
 
 
@@ -63,34 +70,45 @@ def _field(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
+def _clipped(value: Column, name: str, n: int) -> Column:
+    return let(js_text(_field(value, name)), lambda text: clip(text, n)).alias(name)
+
+
+def _topic(t: Column) -> Column:
+    verdict = let(
+        _field(t, "verdict"),
+        lambda v: F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")),
+    )
+    return F.struct(
+        _clipped(t, "concept", CONCEPT_CHARS),
+        let(verdict, lambda v: F.when(v.isin(VERDICTS), v).otherwise(F.lit("solid"))).alias("verdict"),
+        _clipped(t, "note", NOTE_CHARS),
+    )
+
+
+def _topics(parsed: Column) -> Column:
+    def listed(v: Column) -> Column:
+        return F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+
+    named = F.transform(let(_field(parsed, "topics"), listed), _topic)
+    return F.filter(named, lambda t: t["concept"] != "")
+
+
 def normalise_closeout(raw: Column) -> Column:
     """A close of fixed shape out of a raw answer; null unless it names at least one topic."""
-    parsed = extract_json(raw)
-    topics_value = _field(parsed, "topics")
-
-    def topic(t: Column) -> Column:
-        verdict = _field(t, "verdict")
-        text = js_text(verdict)
-        known = (_kind(verdict) == "STRING") & text.isin(VERDICTS)
-        return F.struct(
-            clip(js_text(_field(t, "concept")), CONCEPT_CHARS).alias("concept"),
-            F.when(known, text).otherwise(F.lit("solid")).alias("verdict"),
-            clip(js_text(_field(t, "note")), NOTE_CHARS).alias("note"),
+
+    def close(v: Column) -> Column:
+        return F.when(
+            F.size(v["topics"]) > 0,
+            F.struct(
+                v["topics"].alias("topics"),
+                _clipped(v["parsed"], "strongest", STRONGEST_CHARS),
+                _clipped(v["parsed"], "growth_edge", EDGE_CHARS),
+                _clipped(v["parsed"], "one_line", ONE_LINE_CHARS),
+            ),
         )
 
-    is_list = _kind(topics_value) == "ARRAY"
-    topics = F.filter(
-        F.transform(
-            F.when(is_list, F.try_variant_get(topics_value, "$", "array<variant>")), topic
-        ),
-        lambda t: t["concept"] != "",
-    )
-    return F.when(
-        F.size(topics) > 0,
-        F.struct(
-            topics.alias("topics"),
-            clip(js_text(_field(parsed, "strongest")), STRONGEST_CHARS).alias("strongest"),
-            clip(js_text(_field(parsed, "growth_edge")), EDGE_CHARS).alias("growth_edge"),
-            clip(js_text(_field(parsed, "one_line")), ONE_LINE_CHARS).alias("one_line"),
-        ),
-    )
+    def with_topics(parsed: Column) -> Column:
+        return let(F.struct(parsed.alias("parsed"), _topics(parsed).alias("topics")), close)
+
+    return let(extract_json(raw), with_topics)

@@ -6,6 +6,8 @@ space, lengths count UTF-16 units and falsy strings are empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{FEFF}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it.
+
+    A column expression is a tree: naming it twice computes it twice. A lambda's argument is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def js_trim(col: Column) -> Column:
     return F.regexp_replace(col, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gateledger.functions.text import let
+
 NGRAM = 5
 MEDIUM_SHARE, HIGH_SHARE = 0.2, 0.5
 
@@ -15,13 +17,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def ngrams(text: Column, n: int = NGRAM) -> Column:
-    """Distinct n-grams as 64-bit hashes; a text shorter than ``n`` words has none."""
-    tokens = words(text)
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(
+def ngrams(tokens: Column, n: int = NGRAM) -> Column:
+    """Distinct n-grams of a word list as 64-bit hashes; fewer than ``n`` words have none.
+
+    ``tokens`` should be a plain column or a bound value: every n-gram reads it ``n`` times.
+    """
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(
         F.array().cast("array<int>")
     )
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, n), " "))))
+    return F.array_distinct(
+        F.transform(starts, lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(n))))
+    )
+
+
+def text_ngrams(text: Column, n: int = NGRAM) -> Column:
+    return let(words(text), lambda tokens: ngrams(tokens, n))
 
 
 def overlap_band(
@@ -41,10 +51,10 @@ def overlap_band(
     split it where one n-gram is common.
     """
     link = list(on)
-    grams = explanations.select(key, *link, ngrams(F.col("explanation"), n).alias("__grams"))
+    grams = explanations.select(key, *link, text_ngrams(F.col("explanation"), n).alias("__grams"))
     sized = grams.select(key, F.size("__grams").alias("__all"))
     known = sources.filter(F.col("source").isNotNull())
-    gone = known.select(*link, F.explode(ngrams(F.col("source"), n)).alias("__gram")).distinct()
+    gone = known.select(*link, F.explode(text_ngrams(F.col("source"), n)).alias("__gram")).distinct()
     shared = (
         grams.select(key, *link, F.explode("__grams").alias("__gram"))
         .join(gone, [*link, "__gram"])

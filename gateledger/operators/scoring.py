@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gateledger.functions.answers import extract_json, normalise_closeout
-from gateledger.functions.text import ask_for, clip, ground_truth, numbered
+from gateledger.functions.text import ask_for, clip, ground_truth, let, numbered
 from gateledger.operators.aggregates import grader_eval
 from gateledger.operators.overlap import words
 from gateledger.operators.scan import cut
@@ -99,22 +99,24 @@ def grade_prompt(rigor: Column) -> Column:
 
 def read_grade(raw: Column, error: Column) -> Column:
     """An answer as a grade; anything without a plain true or false ``pass`` is ungraded."""
-    parsed = extract_json(raw)
-    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.pass", "variant"))
-    graded = F.coalesce(kind == "BOOLEAN", F.lit(False))
     no_names = F.array().cast("array<string>")
 
-    def names(path: str) -> Column:
-        return F.coalesce(F.try_variant_get(parsed, path, "array<string>"), no_names)
+    def read(parsed: Column) -> Column:
+        def names(path: str) -> Column:
+            return F.coalesce(F.try_variant_get(parsed, path, "array<string>"), no_names)
 
-    return F.struct(
-        F.coalesce(graded & F.try_variant_get(parsed, "$.pass", "boolean"), F.lit(False)).alias("pass"),
-        (~graded).alias("ungraded"),
-        names("$.covered").alias("covered"),
-        names("$.missing").alias("missing"),
-        F.coalesce(F.try_variant_get(parsed, "$.hole", "string"), F.lit("")).alias("hole"),
-        F.when(~graded, F.coalesce(error, F.lit("unreadable grade"))).alias("note"),
-    ).cast(GRADE)
+        kind = F.schema_of_variant(F.try_variant_get(parsed, "$.pass", "variant"))
+        graded = F.coalesce(kind == "BOOLEAN", F.lit(False))
+        return F.struct(
+            F.coalesce(graded & F.try_variant_get(parsed, "$.pass", "boolean"), F.lit(False)).alias("pass"),
+            (~graded).alias("ungraded"),
+            names("$.covered").alias("covered"),
+            names("$.missing").alias("missing"),
+            F.coalesce(F.try_variant_get(parsed, "$.hole", "string"), F.lit("")).alias("hole"),
+            F.when(~graded, F.coalesce(error, F.lit("unreadable grade"))).alias("note"),
+        ).cast(GRADE)
+
+    return let(extract_json(raw), read)
 
 
 def grade_batch(requests: DataFrame, scorer: Scorer, **options: object) -> DataFrame:
@@ -152,32 +154,47 @@ def closeout_batch(passed: DataFrame, scorer: Scorer, **options: object) -> Data
 def coverage_grade(decisions: Column, explanation: Column, rigor: Column) -> Column:
     """Offline grade without a model: a decision is covered when enough of its summary's distinct
     words appear in the explanation. Passes when every decision is covered, and there is one."""
-    told = F.array_distinct(words(F.coalesce(explanation, F.lit(""))))
     needed = F.when(rigor == "harsh", COVERED_SHARE["harsh"]).otherwise(COVERED_SHARE["medium"])
+    told = F.array_distinct(words(F.coalesce(explanation, F.lit(""))))
 
-    def covered(d: Column) -> Column:
+    def covered(d: Column, told: Column) -> Column:
         wanted = F.array_distinct(words(F.coalesce(d["summary"], F.lit(""))))
-        share = F.size(F.array_intersect(wanted, told)) / F.size(wanted)
-        return F.when(F.size(wanted) > 0, share >= needed).otherwise(F.lit(False))
-
-    def concepts(kept: Column) -> Column:
-        return F.transform(kept, lambda d: F.coalesce(d["concept"], F.lit("")))
-
-    missing = F.filter(decisions, lambda d: ~covered(d))
-    some = F.coalesce(F.size(decisions) > 0, F.lit(False))
-    hole = (
-        F.when(~some, F.lit(WHOLE_CHANGE))
-        .when(F.size(missing) > 0, ask_for(F.get(missing, F.lit(0))))
-        .otherwise(F.lit(""))
-    )
-    return F.struct(
-        (some & (F.size(missing) == 0)).alias("pass"),
-        F.lit(False).alias("ungraded"),
-        concepts(F.filter(decisions, covered)).alias("covered"),
-        concepts(missing).alias("missing"),
-        hole.alias("hole"),
-        F.lit(None).cast("string").alias("note"),
+        return let(
+            wanted,
+            lambda w: F.when(F.size(w) > 0, F.size(F.array_intersect(w, told)) / F.size(w) >= needed).otherwise(
+                F.lit(False)
+            ),
+        )
+
+    def concepts(marked: Column, wanted: bool) -> Column:
+        kept = F.filter(marked, lambda m: m["ok"] == F.lit(wanted))
+        return F.transform(kept, lambda m: F.coalesce(m["d"]["concept"], F.lit("")))
+
+    def grade(marked: Column) -> Column:
+        open_ = F.filter(marked, lambda m: ~m["ok"])
+        some = F.coalesce(F.size(marked) > 0, F.lit(False))
+        hole = (
+            F.when(~some, F.lit(WHOLE_CHANGE))
+            .when(F.size(open_) > 0, ask_for(F.get(open_, F.lit(0))["d"]))
+            .otherwise(F.lit(""))
+        )
+        return F.struct(
+            (some & (F.size(open_) == 0)).alias("pass"),
+            F.lit(False).alias("ungraded"),
+            concepts(marked, True).alias("covered"),
+            concepts(marked, False).alias("missing"),
+            hole.alias("hole"),
+            F.lit(None).cast("string").alias("note"),
+        )
+
+    marked = let(
+        told,
+        lambda t: F.transform(
+            F.coalesce(decisions, F.array().cast(DECISIONS)),
+            lambda d: F.struct(d.alias("d"), covered(d, t).alias("ok")),
+        ),
     )
+    return let(marked, grade)
 
 
 def coverage_scorer(requests: DataFrame) -> DataFrame:
