@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gateledger.functions.text import SPACE, clip, let
 
-FENCE = rf"(?U)```(?:json)?{SPACE}*((?s:.*?))```"
+FENCE = rf"```(?:json)?{SPACE}*((?s:.*?))```"
 
 # The verdicts a topic may carry and the length bound of each text field.
 VERDICTS = ["strong", "solid", "thin"]

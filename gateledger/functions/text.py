@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's \s is ASCII only; (?U) widens it but still leaves out the byte-order mark.
-SPACE = r"[\s\x{FEFF}]"
+# What JavaScript calls white space. Java's \s is ASCII only; its Unicode form has U+0085, which
+# JavaScript lacks, and lacks the byte-order mark.
+SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,7 +25,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def js_trim(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(col, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def js_length(col: Column) -> Column:
@@ -74,8 +75,8 @@ def ground_truth(decisions: Column) -> Column:
 
 def no_dash(col: Column) -> Column:
     """Em and en dashes become commas."""
-    dashed = F.regexp_replace(col, rf"(?U){SPACE}*[\x{{2014}}\x{{2013}}]{SPACE}*", ", ")
-    return js_trim(F.regexp_replace(dashed, " ,", ","))
+    dashed = F.regexp_replace(col, rf"{SPACE}*[\x{{2014}}\x{{2013}}]{SPACE}*", ", ")
+    return js_trim(F.replace(dashed, F.lit(" ,"), F.lit(",")))
 
 
 def pick_index(seed: Column, n: int) -> Column:
@@ -98,7 +99,7 @@ def pick_index(seed: Column, n: int) -> Column:
 def humanize(concept: Column) -> Column:
     """A slug read as words."""
     spaced = F.regexp_replace(concept, "[-_]+", " ")
-    return js_trim(F.regexp_replace(spaced, rf"(?U){SPACE}+", " "))
+    return js_trim(F.regexp_replace(spaced, rf"{SPACE}+", " "))
 
 
 def ask_for(decision: Column) -> Column:

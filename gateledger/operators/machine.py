@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gateledger.functions.text import decisions_hash
 from gateledger.operators.filters import ROUTES, classify_prs, is_explanation
 from gateledger.operators.quota import DAILY_GLOBAL, DAILY_PER_INSTALL, quota_replay
-from gateledger.operators.scan import HOT_ROWS, Running, cut, hour_of, pick_per_key, running, split_hot
+from gateledger.operators.scan import HOT_ROWS, Running, cut, hot_keys, hour_of, run_split, running, split_hot
 from gateledger.operators.windows import PR
 
 ORDER = ["ts", "delivery_id"]
@@ -184,6 +184,10 @@ def _machine(rows: DataFrame, bucket: Column | None) -> DataFrame:
     )
 
 
+def _machine_by_heat(rows: DataFrame, hot: bool) -> DataFrame:
+    return _machine(rows, hour_of("ts") if hot else None)
+
+
 def gate_machine(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One transition per relevant event, in event time.
 
@@ -192,8 +196,7 @@ def gate_machine(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     limit an event ran into (:func:`replay_gates` works it out). Outcomes: duplicate, trivial,
     capped, gated, carried, ignored, requested, ungraded, passed, failed.
     """
-    rows = relevant_events(events)
-    return split_hot(rows, PR, lambda part, hot: _machine(part, hour_of("ts") if hot else None), hot_rows)
+    return split_hot(relevant_events(events), PR, _machine_by_heat, hot_rows)
 
 
 def replay_gates(
@@ -210,12 +213,11 @@ def replay_gates(
     history, and every repetition settles at least the earliest unsettled event.
     """
     rows = cut(relevant_events(events.drop("capped")))
+    hot = hot_keys(rows, PR, hot_rows)
     labels: DataFrame | None = None
     while True:
         labelled = rows if labels is None else rows.drop("capped").join(labels, "delivery_id", "left")
-        moves = cut(
-            split_hot(labelled, PR, lambda part, hot: _machine(part, hour_of("ts") if hot else None), hot_rows)
-        )
+        moves = cut(run_split(labelled, PR, hot, _machine_by_heat))
         offers = moves.filter(F.col("outcome").isin("gated", "carried", "capped")).select(
             F.col("delivery_id").alias("id"),
             "installation_id",
@@ -230,40 +232,33 @@ def replay_gates(
 
 
 def gates_of(transitions: DataFrame, rigor: str = "medium") -> DataFrame:
-    """The gate table a history leaves behind. Every join has one row per gate on both sides."""
-    opened = transitions.filter("outcome = 'gated'").select(
-        F.col("gate_id").alias("id"),
-        *PR,
-        "head_sha",
-        "decisions",
-        "decisions_hash",
-        F.lit(rigor).alias("rigor"),
-        F.col("ts").alias("created_at"),
-    )
-    passed = transitions.filter("outcome = 'passed'").select(
-        F.col("gate_id").alias("id"),
-        F.col("user_login").alias("passed_by"),
-        F.col("user_id").alias("passed_by_id"),
-        F.col("ts").alias("passed_at"),
+    """The gate table a history leaves behind, in one pass: a gate opens once, passes at most once
+    and takes the head of the last push that carried it."""
+    outcome, place = F.col("outcome"), F.struct(*ORDER)
+
+    def the(name: str, *columns: str) -> Column:
+        return F.any_value(F.when(outcome == name, F.struct(*columns)), F.lit(True)).alias(name)
+
+    held = transitions.filter(outcome.isin("gated", "passed", "carried"))
+    gates = held.groupBy(F.col("gate_id").alias("id")).agg(
+        the("gated", *PR, "head_sha", "decisions", "decisions_hash", "ts"),
+        the("passed", "user_login", "user_id", "ts"),
+        F.max_by("head_sha", F.when(outcome == "carried", place)).alias("moved_head"),
+        F.max("ts").alias("last_ts"),
     )
-    moved = pick_per_key(
-        transitions.filter("outcome = 'carried'"), ["gate_id"], [F.desc(c) for c in ORDER]
-    ).select(F.col("gate_id").alias("id"), F.col("head_sha").alias("__head"), F.col("ts").alias("__moved"))
-    joined = opened.join(passed, "id", "left").join(moved, "id", "left")
-    status = F.when(F.col("passed_at").isNotNull(), "passed").otherwise("pending")
-    return joined.select(
+    return gates.select(
         "id",
-        *PR,
-        F.coalesce("__head", "head_sha").alias("head_sha"),
-        "decisions",
-        "decisions_hash",
-        "rigor",
-        status.alias("status"),
-        "passed_by",
-        "passed_by_id",
-        "passed_at",
-        "created_at",
-        F.greatest("created_at", "passed_at", "__moved").alias("updated_at"),
+        *(F.col(f"gated.{c}").alias(c) for c in PR),
+        F.coalesce("moved_head", "gated.head_sha").alias("head_sha"),
+        "gated.decisions",
+        "gated.decisions_hash",
+        F.lit(rigor).alias("rigor"),
+        F.when(F.col("passed").isNotNull(), "passed").otherwise("pending").alias("status"),
+        F.col("passed.user_login").alias("passed_by"),
+        F.col("passed.user_id").alias("passed_by_id"),
+        F.col("passed.ts").alias("passed_at"),
+        F.col("gated.ts").alias("created_at"),
+        F.col("last_ts").alias("updated_at"),
     )
 
 
@@ -290,23 +285,20 @@ def attempts_of(transitions: DataFrame) -> DataFrame:
 def grade_requests(transitions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Explanations that await a grade, each with its gate's decisions and the text to grade:
     every recorded attempt on the gate so far, then this explanation."""
-    told = transitions.filter(F.col("outcome").isin("requested", "ungraded", "passed", "failed"))
-    recorded = F.when(F.col("outcome") != "requested", F.col("body"))
+    outcome = F.col("outcome")
+    told = transitions.filter(outcome.isin("gated", "requested", "ungraded", "passed", "failed"))
+    values = {
+        "__earlier": Running("text", F.when(~outcome.isin("gated", "requested"), F.col("body")), before=True),
+        "__asked": Running("last", F.when(outcome == "gated", F.col("decisions"))),
+    }
     seen = split_hot(
-        told.withColumn("__recorded", recorded),
+        told,
         ["gate_id"],
-        lambda part, hot: running(
-            part,
-            ["gate_id"],
-            ORDER,
-            {"__earlier": Running("text", F.col("__recorded"), before=True)},
-            hour_of("ts") if hot else None,
-        ),
+        lambda part, hot: running(part, ["gate_id"], ORDER, values, hour_of("ts") if hot else None),
         hot_rows,
     )
-    wanted = seen.filter("outcome = 'requested'").select(
+    return seen.filter("outcome = 'requested'").select(
         "delivery_id", "ts", *PR, "gate_id", "comment_id", "user_id", "user_login",
         F.concat_ws("\n\n", "__earlier", "body").alias("explanation"),
+        F.col("__asked").alias("decisions"),
     )
-    asked = transitions.filter("outcome = 'gated'").select("gate_id", "decisions")
-    return wanted.join(asked, "gate_id")

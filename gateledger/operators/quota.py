@@ -63,7 +63,6 @@ def quota_replay(
         label = F.lit("global" if limit <= 0 else "install")
         return offers.withColumn("capped", F.when(F.col("installation_id").isNotNull(), label))
     span = hours * HOUR_US
-    narrow = cut(narrow)
     if narrow.count() <= one_task_rows:
         labels = _in_one_task(narrow, per_install, limit, span)
     else:

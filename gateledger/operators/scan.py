@@ -129,24 +129,31 @@ def running(
     ).drop(*drop)
 
 
-def split_hot(
-    df: DataFrame,
-    keys: Sequence[str],
-    run: Callable[[DataFrame, bool], DataFrame],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """``run(cold rows, False)`` together with ``run(rows of hot keys, True)``.
+Run = Callable[[DataFrame, bool], DataFrame]
+
 
-    Keys are counted with map-side combine over the key columns alone. At most
-    ``rows / hot_rows`` keys are hot, usually none, and then the plan is ``run`` on ``df``.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, or None, as usual.
+
+    Counted with map-side combine over the key columns alone; at most ``rows / hot_rows`` keys.
     """
     hot = cut(df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys))
-    if hot.isEmpty():
+    return None if hot.isEmpty() else hot
+
+
+def run_split(df: DataFrame, keys: Sequence[str], hot: DataFrame | None, run: Run) -> DataFrame:
+    """``run(rows of other keys, False)`` together with ``run(rows of hot keys, True)``."""
+    if hot is None:
         return run(df, False)
     cold_part = run(df.join(hot, list(keys), "left_anti"), False)
     return cold_part.unionByName(run(df.join(hot, list(keys), "left_semi"), True))
 
 
+def split_hot(df: DataFrame, keys: Sequence[str], run: Run, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``run_split`` with the hot keys of ``df`` itself."""
+    return run_split(df, keys, hot_keys(df, keys, hot_rows), run)
+
+
 def hour_of(ts: str) -> Column:
     """Default bucket for rows ordered by a timestamp."""
     return F.date_trunc("hour", F.col(ts))

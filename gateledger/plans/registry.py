@@ -23,7 +23,8 @@ class Source:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return standins.table(self.spark, self.sf_dir, name)
+        df = standins.table(self.spark, self.sf_dir, name)
+        return standins.spread(df) if name in ("documents", "pages") else df
 
     def __getattr__(self, name: str) -> DataFrame:
         made_from = {
@@ -31,7 +32,8 @@ class Source:
             "attempts": "conversations", "local_events": "orders", "answers": "documents",
         }
         if name in made_from:
-            return getattr(standins, name)(self.table(made_from[name]))
+            table = self.table(made_from[name])
+            return getattr(standins, name)(standins.spread(table) if name == "pr_events" else table)
         return self.table(name)
 
 

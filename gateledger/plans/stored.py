@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gateledger.operators import aggregates, checks, filters, joins, policy, profile, store, windows
 from gateledger.plans.registry import Source, fresh_folder, query, us
 from gateledger.plans.sql import ATTEMPTS, GATES, LOCAL_EVENTS, PR_EVENTS, REPOS, USER_ATTEMPTS
-from gateledger.plans.standins import text_id
+from gateledger.plans.standins import props_k, text_id
 from gateledger.schemas import schema
 from gateledger.sources import events as event_source
 from gateledger.sources import tables
@@ -330,7 +330,7 @@ def carry_join(s: Source):
     pushes = s.events.filter(F.col("event_type").isin("click", "view")).select(
         text_id("event_id").alias("delivery_id"),
         F.col("user_id").alias("repo_id"),
-        (F.get_json_object("props", "$.k").cast("int") % 3).alias("pr_number"),
+        (props_k() % 3).alias("pr_number"),
         F.substring(F.sha2(known, 256), 1, 16).alias("decisions_hash"),
     )
     return joins.carry_join(pushes, s.gates).select("delivery_id", "gate_id")
@@ -566,7 +566,7 @@ def recall_due(s: Source):
 def approver_mismatch(s: Source):
     reviews = s.events.filter("event_type = 'view'").select(
         F.col("user_id").alias("repo_id"),
-        (F.get_json_object("props", "$.k").cast("int") % 3).alias("pr_number"),
+        (props_k() % 3).alias("pr_number"),
         (F.col("event_id") % 50).alias("user_id"),
     )
     return policy.approver_mismatch(s.gates, reviews).distinct()

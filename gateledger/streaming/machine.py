@@ -12,8 +12,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -21,7 +20,7 @@ from pyspark.sql.types import StructType
 from gateledger.operators.machine import relevant_events
 from gateledger.operators.windows import PR
 
-STATE = "head string, hash string, gate string, passed boolean, height int, at bigint, delivery string"
+STATE = "head string, hash string, gate string, passed boolean, at bigint, delivery string, chunks int, top array<string>"
 OUTPUT = "repo_id bigint, pr_number int, delivery_id string, at bigint, outcome string, gate_id string, payload string"
 # Nested and wide columns cross the Python worker as one JSON string.
 PAYLOAD = [
@@ -40,24 +39,35 @@ class Stack(list):
 
 
 class StoredStack:
-    """The same over a state map from height to id; reads and writes only what is touched."""
+    """The same with only the top held in the state value; full chunks below it lie in a state map.
 
-    def __init__(self, entries, height: int):
-        self.entries, self.height = entries, height
+    A pull request costs one read and one write per micro-batch, and its value stays small
+    however many gates it leaves pending.
+    """
+
+    CHUNK = 64
+
+    def __init__(self, chunks, count: int, top: list[str]):
+        self.chunks, self.count, self.ids = chunks, count, top
 
     def __len__(self) -> int:
-        return self.height
+        return self.count * self.CHUNK + len(self.ids)
 
     def push(self, gate: str) -> None:
-        self.entries.updateValue((self.height,), (gate,))
-        self.height += 1
+        self.ids.append(gate)
+        if len(self.ids) > 2 * self.CHUNK:
+            self.chunks.updateValue((self.count,), (self.ids[: self.CHUNK],))
+            self.ids, self.count = self.ids[self.CHUNK :], self.count + 1
 
     def top(self) -> str:
-        return self.entries.getValue((self.height - 1,))[0]
+        return self.ids[-1]
 
     def pop(self) -> None:
-        self.height -= 1
-        self.entries.removeKey((self.height,))
+        self.ids.pop()
+        if not self.ids and self.count:
+            self.count -= 1
+            self.ids = list(self.chunks.getValue((self.count,))[0])
+            self.chunks.removeKey((self.count,))
 
 
 @dataclass
@@ -108,41 +118,34 @@ class PullRequest:
 
 
 class GateProcessor(StatefulProcessor):
-    """Keeps a ``PullRequest`` in the state store; pending ids lie in a map by stack height."""
+    """Keeps a ``PullRequest`` in the state store."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getValueState("latest", STATE)
-        self.entries = handle.getMapState("pending", "height int", "gate string")
+        self.chunks = handle.getMapState("pending", "n int", "gates array<string>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pr, done = PullRequest(int(key[0]), int(key[1])), (-(2**62), "")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        pr, done = PullRequest(key[0], key[1]), (-(2**62), "")
         stored = self.latest.get()
-        pr.pending = StoredStack(self.entries, stored[4] if stored else 0)
+        pr.pending = StoredStack(self.chunks, 0, [])
         if stored:
-            pr.head, pr.hash, pr.gate, pr.passed, _, *place = stored
-            done = tuple(place)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "delivery_id"])
-        batch = batch.astype(object).where(batch.notna(), None)
-        results = []
-        for e in batch.itertuples(index=False):
-            place = (int(e.at), e.delivery_id)
-            if place <= done:
-                results.append(("late", None))
-                continue
-            done = place
-            results.append(pr.apply(e))
-        self.latest.update((pr.head, pr.hash, pr.gate, pr.passed, len(pr.pending), *done))
-        yield pd.DataFrame(
-            {
-                "repo_id": pr.repo_id,
-                "pr_number": pr.pr_number,
-                "delivery_id": batch["delivery_id"].to_list(),
-                "at": batch["at"].to_list(),
-                "outcome": [o for o, _ in results],
-                "gate_id": [g for _, g in results],
-                "payload": batch["payload"].to_list(),
-            }
-        )
+            pr.head, pr.hash, pr.gate, pr.passed, at, delivery, count, top = stored
+            pr.pending, done = StoredStack(self.chunks, count, list(top)), (at, delivery)
+        for e in sorted(rows, key=lambda r: (r.at, r.delivery_id)):
+            place, result = (e.at, e.delivery_id), ("late", None)
+            if place > done:
+                done, result = place, pr.apply(e)
+            yield Row(
+                repo_id=pr.repo_id,
+                pr_number=pr.pr_number,
+                delivery_id=e.delivery_id,
+                at=e.at,
+                outcome=result[0],
+                gate_id=result[1],
+                payload=e.payload,
+            )
+        stack = pr.pending
+        self.latest.update((pr.head, pr.hash, pr.gate, pr.passed, *done, stack.count, stack.ids))
 
     def close(self) -> None:
         pass
@@ -169,7 +172,7 @@ def live_gate_machine(events: DataFrame) -> DataFrame:
         F.coalesce("grade.pass", F.lit(False)).alias("passes"),
         F.to_json(F.struct(*PAYLOAD)).alias("payload"),
     )
-    moved = flat.groupBy(*PR).transformWithStateInPandas(
+    moved = flat.groupBy(*PR).transformWithState(
         statefulProcessor=GateProcessor(),
         outputStructType=StructType.fromDDL(OUTPUT),
         outputMode="append",
