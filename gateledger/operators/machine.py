@@ -179,7 +179,8 @@ def _machine(rows: DataFrame, bucket: Column | None) -> DataFrame:
         .when(F.col("__effective"), F.col("__latest"))
         .when(F.col("step") == "explained", target)
     )
-    return rows.withColumns({"outcome": outcome, "gate_id": gate}).drop(
+    moves = rows.withColumns({"outcome": outcome, "gate_id": gate})
+    return moves.withColumn("capped", F.when(F.col("outcome") == "capped", F.col("capped"))).drop(
         "__effective", "__new", "__id", "__step", "__sum", "__latest", "__low", "__level", "__target", "duplicate"
     )
 
