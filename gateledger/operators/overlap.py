@@ -52,7 +52,6 @@ def overlap_band(
     """
     link = list(on)
     grams = explanations.select(key, *link, text_ngrams(F.col("explanation"), n).alias("__grams"))
-    sized = grams.select(key, F.size("__grams").alias("__all"))
     known = sources.filter(F.col("source").isNotNull())
     gone = known.select(*link, F.explode(text_ngrams(F.col("source"), n)).alias("__gram")).distinct()
     shared = (
@@ -61,7 +60,9 @@ def overlap_band(
         .groupBy(key)
         .agg(F.count("*").alias("__shared"))
     )
-    joined = explanations.join(sized, key).join(shared, key, "left")
+    # The size is computed again in place: cheaper than a second join of every explanation.
+    sized = explanations.withColumn("__all", F.size(text_ngrams(F.col("explanation"), n)))
+    joined = sized.join(shared, key, "left")
     if link:
         present = known.select(*link, F.lit(True).alias("__has")).distinct()
         joined = joined.join(present, link, "left")

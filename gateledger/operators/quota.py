@@ -28,10 +28,10 @@ from collections import Counter, deque
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateledger.operators.scan import cut, ensure_checkpoint_dir
+from gateledger.operators.scan import cut, ensure_checkpoint_dir, first_rows
 
 ONE_TASK_ROWS = 1_000_000
 HOUR_US = 3_600_000_000
@@ -147,16 +147,8 @@ def _one_round(
     placed = placed.filter("at > low AND at <= high").drop("hour", "low", "high")
 
     order = ["at", "id"]
-    own = Window.partitionBy("installation_id", "interval").orderBy(*order)
-    everyone = Window.partitionBy("interval").orderBy(*order)
-    matter = (
-        placed.filter("counts")
-        .withColumn("n", F.row_number().over(own))
-        .filter(F.col("n") <= per_install)
-        .withColumn("n", F.row_number().over(everyone))
-        .filter(F.col("n") <= 2 * limit)
-        .drop("n")
-    )
+    own = first_rows(placed.filter("counts"), ["installation_id", "interval"], order, per_install)
+    matter = first_rows(own, ["interval"], order, 2 * limit)
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         meter = Meter(span, sorted(carried))

@@ -182,3 +182,24 @@ def pick_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     sends at most one row per task."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__place", place).filter("__place = 1").drop("__place")
+
+
+SALTS = 64
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows per key.
+
+    Spark cuts each key to ``n`` rows before the shuffle while ``n`` is under its own threshold;
+    beyond that, rows are first cut per (key, salt) so that a hot key is never in one task.
+    """
+
+    def cut_to(rows: DataFrame, part: Sequence[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+        return rows.withColumn("__n", place).filter(F.col("__n") <= n).drop("__n")
+
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > threshold:
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        df = cut_to(salted, [*keys, "__salt"]).drop("__salt")
+    return cut_to(df, keys)

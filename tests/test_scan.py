@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gateledger.operators import joins, windows
-from gateledger.operators.scan import Running, pick_per_key, running, running_by_key
+from gateledger.operators.scan import Running, first_rows, pick_per_key, running, running_by_key
 
 
 def rows(n=400, seed=1):
@@ -37,7 +37,21 @@ def test_pick_per_key_limits_before_the_shuffle(spark):
         best[k] = max(best.get(k, (-1, -1)), (at, i))
     assert {(r.k, r.at, r.id) for r in picked.collect()} == {(k, *v) for k, v in best.items()}
     plan = picked._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2  # a partial one below the exchange
+    assert "row_number(), 1, Partial" in plan  # below the exchange
+
+
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_first_rows_with_and_without_salts(spark, n):
+    df = spark.createDataFrame(rows(), "k int, at int, id int, v bigint, s string").select("k", "at", "id")
+    want = []
+    for key in {r[0] for r in rows()}:
+        want += sorted((k, at, i) for k, at, i, *_ in rows() if k == key)[:n]
+    for threshold in ("1000", "2"):
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+        try:
+            assert sorted(map(tuple, first_rows(df, ["k"], ["at", "id"], n).collect())) == sorted(want)
+        finally:
+            spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
 
 
 def test_rolling_counts_against_brute_force(spark):
