@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+import uuid
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm import mixing, sketches, topk
+from gateledger.llm import mixing, pii, simhash, sketches, tokens, topk
 from gateledger.llm.tables import read
+from gateledger.operators.scan import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def public_tokenizers() -> ModuleType:
+    """The public vocabularies: the installed module, or the folder that TOKENIZERS names."""
+    folder = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+    if importlib.util.find_spec("public_tokenizers"):
+        return importlib.import_module("public_tokenizers")
+    spec = importlib.util.spec_from_file_location("public_tokenizers", f"{folder}/__init__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module
+
+
 def query(sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         QUERIES[build.__name__] = build
@@ -71,3 +87,27 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best scores of every twentieth vector among all others."""
     return topk.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, by a cache in a fresh part of the shared folder."""
+    cache = f"{ensure_checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    return tokens.token_counts(read(spark, sf_dir, "documents"), cache, public_tokenizers().path("word_bpe_49k.json"))
+
+
+@query()
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text."""
+    found = pii.personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = {k: F.regexp_count("pii.base", F.lit(f"{k}:")).cast("long").alias(f"n_{k}") for k in pii.KINDS}
+    return found.select(
+        "doc_id", *count.values(), F.sha2(F.encode("pii.base", "UTF-8"), 256).alias("base_sha256"), "pii.spans"
+    )
+
+
+@query()
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash and class of near copies of every text."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
