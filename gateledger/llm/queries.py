@@ -11,7 +11,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm import mixing, pii, simhash, sketches, tokens, topk
+from gateledger.llm import bpe, mixing, pii, simhash, sketches, tokens, topk
 from gateledger.llm.tables import read
 from gateledger.operators.scan import ensure_checkpoint_dir
 
@@ -111,3 +111,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash and class of near copies of every text."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+@query()
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the text back from them, as digests."""
+    vocabulary = public_tokenizers()
+    ranks = bpe.read_ranks(vocabulary.path("byte_bpe_50k.tiktoken"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = bpe.decode(bpe.encode(docs, ranks, vocabulary.PATTERN).select("doc_id", "tokens"), ranks)
+    return rows.select(
+        "doc_id",
+        bpe.n_tokens().alias("n_tokens"),
+        F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
