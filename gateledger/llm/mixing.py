@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gateledger.llm.tables import WORD, cut, numbered, whole
+from gateledger.llm.tables import WORD, cut, numbered, set_aside, whole
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -86,10 +86,10 @@ def mix(
     already called ``into`` is replaced; other columns, whatever their names, are kept. The same
     rows and seed give the same mix.
     """
-    kept = [c for c in docs.columns if c != into]
+    away, back = set_aside(docs, into)
     one = (F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
+        *away,
         F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("t")).alias("_key"),
         size.cast("long").alias("_size"),
         (-F.log(one) / weight).alias("_place"),
@@ -108,7 +108,7 @@ def mix(
     rest = F.round("_target").cast("long") - epochs * F.col("_held")
     part = F.greatest(F.lit(0), F.least(F.col("_size"), rest - F.col("_start") - F.col("_before")))
     return placed.select(
-        "_row.*",
+        *back,
         F.struct(
             F.col("_size").alias("size"),
             F.col("_held").alias("source_size"),

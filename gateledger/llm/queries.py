@@ -11,7 +11,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm import bpe, mixing, pii, simhash, sketches, tokens, topk
+from gateledger.llm import bpe, lm, mixing, pii, simhash, sketches, tokens, topk
 from gateledger.llm.tables import read
 from gateledger.operators.scan import ensure_checkpoint_dir
 
@@ -126,3 +126,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("tokens", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every text and whether it stays."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = lm.judged(docs, lm.trusted_form())
+    return found.select("doc_id", "lang", "quality.perplexity", "quality.threshold", "quality.keep")

@@ -46,3 +46,13 @@ def blocks_for(texts: DataFrame, text: str = "text", block_bytes: int = 16 << 20
     """How many blocks of about ``block_bytes`` the texts make; a single sum over the column."""
     total = texts.agg(F.sum(F.octet_length(text))).head()[0] or 0
     return max(1, math.ceil(total / block_bytes))
+
+
+def set_aside(docs: DataFrame, replaced: str) -> tuple[list[Column], list[Column]]:
+    """Columns of ``docs`` under names that clash with nothing, and how to name them back.
+
+    The column called ``replaced`` is left out.
+    """
+    kept = [c for c in docs.columns if c != replaced]
+    away = [F.col(f"`{c}`").alias(f"_own{k}") for k, c in enumerate(kept)]
+    return away, [F.col(f"_own{k}").alias(c) for k, c in enumerate(kept)]
