@@ -11,7 +11,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm import bpe, lm, mixing, pii, simhash, sketches, tokens, topk
+from gateledger.llm import bpe, lm, mixing, pii, simhash, sketches, tokens, topk, toxicity
 from gateledger.llm.tables import read
 from gateledger.operators.scan import ensure_checkpoint_dir
 
@@ -134,3 +134,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     found = lm.judged(docs, lm.trusted_form())
     return found.select("doc_id", "lang", "quality.perplexity", "quality.threshold", "quality.keep")
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, read(spark, sf_dir, "labels")).select("doc_id", "toxicity.held_out", "toxicity.score")
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
