@@ -11,7 +11,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm import bpe, lm, mixing, pii, simhash, sketches, tokens, topk, toxicity
+from gateledger.llm import bpe, lm, mixing, pii, simhash, sketches, substrings, tokens, topk, toxicity
 from gateledger.llm.tables import read
 from gateledger.operators.scan import ensure_checkpoint_dir
 
@@ -142,3 +142,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.scored(docs, read(spark, sf_dir, "labels")).select("doc_id", "toxicity.held_out", "toxicity.score")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query()
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every text loses to strings of 100 bytes that started earlier."""
+    found = substrings.repeated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
