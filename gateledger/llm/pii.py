@@ -229,3 +229,15 @@ def redacted(text: str, spans: str) -> str:
 @F.pandas_udf(T.StringType())
 def redact(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([redacted(t, s) if s else t for t, s in zip(texts, spans)])
+
+
+@F.pandas_udf(T.StringType())
+def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Texts with all their personal data replaced; null stays null."""
+
+    def clean(text: str) -> str:
+        base, more = find(text)
+        return redacted(text, listed({k: base[k] + more[k] for k in KINDS}))
+
+    for batch in texts:
+        yield batch.map(clean, na_action="ignore")

@@ -23,12 +23,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gateledger.llm.components import components
-from gateledger.llm.tables import cut, whole
+from gateledger.llm.tables import cut, set_aside, whole
 
 SHINGLE = 4
 SEED = 42
@@ -137,3 +137,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each class of near copies: the one of smallest id.
+
+    An id that several rows share stays once for each class in which it is the smallest; which of
+    equal rows stays makes no difference. A row without an id only stays where no other has one.
+    """
+    found = near_duplicates(docs, doc_id, text)
+    by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
+    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(F.min(by_id).alias("first"))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    chosen = cut(first.select(name(F.col("first.doc_id")).alias("_name"), F.col("first.fingerprint").alias("_print")).distinct())
+    away, back = set_aside(docs, "")
+    rows = docs.select(*away, name(F.col(doc_id)).alias("_name"), whole(text).alias("_text")).join(chosen, "_name")
+    rows = rows.filter(fingerprint_of("_text") == F.col("_print"))
+    nth = F.row_number().over(Window.partitionBy("_name", "_print").orderBy(F.xxhash64("_text")))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*back)
