@@ -99,13 +99,14 @@ SPELLED = {
 SPELLED["oh"] = "0"
 LEAST_DIGITS = 7  # in a row, before spelled ones count as a number
 AT, DOT = "at|arroba", "dot|punkt|punto|point"
+TOP = "com|org|net|edu|gov|mil|int|info|biz|name|dev|app|io|ai|co|eu|uk|us|ca|au|de|at|ch|fr|be|es|mx|ar|it|nl|pt|pl|se"
 WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 NUMBER = re.compile(rf"(?<!\w)(?:(?:{WORDS}|[0-9])(?:[\x20,.-]{{1,2}}|(?<=[0-9])(?=[0-9])|(?!\w))){{{LEAST_DIGITS},}}+", re.I)
 NUMERAL = re.compile(rf"{WORDS}|[0-9]|[\x20,.-]+", re.I)
 PLUS = re.compile(r"(?<!\w)plus\x20(?=[0-9(])", re.I)
 MARK = re.compile(
     rf"\s*[\[({{<]\s*(?:(?P<at>{AT}|@)|(?P<dot>{DOT}|\.))\s*[\])}}>]\s*"
-    rf"|(?<=\w)\s+(?P<bare_at>at|arroba)\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\s+(?:{DOT})\s+[A-Za-z])"
+    rf"|(?<=\w)\x20(?P<bare_at>{AT})\x20(?=[A-Za-z0-9-]+(?:(?:\.|\x20(?:{DOT})\x20)[A-Za-z0-9-]+)*?\x20(?:{DOT})\x20(?:{TOP})(?!\w))"
     rf"|(?<=\w)\s+(?P<bare_dot>dot)\s+(?=[A-Za-z0-9])",
     re.I,
 )
@@ -120,7 +121,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and BEYOND.search(text):
         return True
     low = text.lower()
-    if BRACKETED.search(low) or " dot " in low:
+    if BRACKETED.search(low) or any(f" {d} " in low for d in DOT.split("|")):
         return True
     return not SPELLED.keys().isdisjoint(low.translate(APART).split()) and bool(SPELT.search(low))
 

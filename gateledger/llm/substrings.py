@@ -46,7 +46,7 @@ BUCKET_BYTES = 12 << 20  # of text, by which the number of buckets grows
 BUCKETS = 64  # at least
 FILES = 32 << 20
 MOST_FILES = 50_000
-LAST = np.iinfo(np.int64).max  # the place of documents without an id
+LAST = 2**63 - 1  # the place of documents without an id
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -109,7 +109,7 @@ class Block:
     """The documents of a block of which no earlier copy is known, as one row of bytes."""
 
     def __init__(self, row, copies: bytes | None):
-        self.ids = np.array([LAST if i is None else i for i in row.ids], dtype=np.int64)
+        self.ids = np.asarray(row.ids, dtype=np.int64)
         self.sizes = np.asarray(row.sizes, dtype=np.int64)
         self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.body), dtype=np.uint8)
         n = len(self.ids)
@@ -176,8 +176,8 @@ def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
-            ids.append(None if pd.isna(doc_id) else int(doc_id))
+        for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
+            ids.append(doc_id)
             bodies.append(text.encode())
             held += len(bodies[-1])
             if held >= BLOCK_BYTES:
@@ -190,7 +190,7 @@ def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def copies_of(table: DataFrame) -> DataFrame:
     """block, kind, bucket, bits: which documents of a block have an earlier copy."""
     docs = table.select("block", F.posexplode(F.arrays_zip("ids", "digests")).alias("nth", "d"))
-    docs = docs.select("block", "nth", F.coalesce("d.ids", F.lit(int(LAST))).alias("id"), "d.digests")
+    docs = docs.select("block", "nth", F.col("d.ids").alias("id"), "d.digests")
     first = docs.groupBy(F.col("digests").alias("digest")).agg(
         F.min(F.struct("id", "block", "nth")).alias("first"), F.count("*").alias("n")
     ).filter("n > 1")
@@ -294,7 +294,7 @@ def removals(n_buckets: int):
             change[at] += 1
             change[at + WIDTH] -= 1
             gone = np.cumsum(change[:-1]) > 0
-            for doc_id, start, size, copy in zip(row.ids, block.starts.tolist(), block.sizes.tolist(), block.copy.tolist()):
+            for doc_id, start, size, copy in zip(block.ids.tolist(), block.starts.tolist(), block.sizes.tolist(), block.copy.tolist()):
                 mine = gone[start : start + size]
                 if copy and size >= WIDTH:
                     mine = np.ones(size, dtype=bool)
@@ -302,8 +302,7 @@ def removals(n_buckets: int):
                 kept = block.raw[start : start + size][~mine].tobytes()
                 spans = [{"start": a, "end": b} for a, b in edge.tolist()]
                 out.append((doc_id, size, int(mine.sum()), spans, hashlib.sha256(kept).hexdigest()))
-        found = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
-        return found.astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
     return run
 
@@ -316,7 +315,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     order in which they are read. Null is empty. Texts of fewer than WIDTH bytes lose nothing.
     """
     spark: SparkSession = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), whole(text).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n_buckets, n_files = max(BUCKETS, -(-total // BUCKET_BYTES)), max(8, min(MOST_FILES, -(-total // FILES)))
     name = f"text_blocks_{uuid.uuid4().hex}"
@@ -330,6 +329,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         notes = notes.union(cut(sent.groupBy("bucket").applyInPandas(sample_answers, NOTES)))
         sent = bodies.cogroup(notes.groupBy("block")).applyInPandas(suffix_names(n_buckets), SENT)
         notes = notes.union(cut(sent.groupBy("bucket").applyInPandas(suffix_answers, NOTES)))
-        return cut(bodies.cogroup(notes.groupBy("block")).applyInPandas(removals(n_buckets), RESULT))
+        found = bodies.cogroup(notes.groupBy("block")).applyInPandas(removals(n_buckets), RESULT)
+        return cut(found.withColumn("doc_id", F.nullif("doc_id", F.lit(LAST))))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -52,7 +52,12 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     reach = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if reach < EXACT:
         return q @ c.T
-    return q.astype(object) @ c.astype(object).T
+    return q.astype(np.int64).astype(object) @ c.astype(np.int64).astype(object).T
+
+
+def whole(s: np.ndarray) -> np.ndarray:
+    """Scores as whole numbers of Python."""
+    return s if s.dtype == object else s.astype(np.int64).astype(object)
 
 
 def matrix(flat, n: int) -> np.ndarray:
@@ -106,8 +111,9 @@ def histogram(state: DataFrame, spread: DataFrame, width: int, step: int) -> Dat
             for r in batch.itertuples():
                 s = scores(matrix(r.vs, len(r.ids)), matrix(r.cvs, len(r.cids)))
                 ids, cids = np.asarray(r.ids), np.asarray(r.cids)
-                lows = np.array([int(x) for x in r.lows], dtype=object if s.dtype == object else np.float64)
-                at = s - lows[:, None]
+                lows = [int(x) for x in r.lows]
+                small = s.dtype != object and max(map(abs, lows)) + width < EXACT
+                at = (s if small else whole(s)) - np.array(lows, dtype=np.float64 if small else object)[:, None]
                 inside = (at >= 0) & (at < width) & (ids[:, None] != cids[None, :])
                 nth, _ = np.nonzero(inside)
                 bins = (at[inside] // step).astype(np.int64)
