@@ -122,6 +122,18 @@ def still_open(cells: DataFrame, found: DataFrame) -> DataFrame:
     return cut(named.join(several.filter("lo < hi").select("choice", "cell"), ["choice", "cell"]))
 
 
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id of every row, and the root that only its own class has."""
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(whole(text)).alias("fp")))
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = roots(prints.select("fp"))
+    named = prints.join(found, F.col("fp") == F.col("node"), "left")
+    named = cut(named.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = named.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(of, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (long), component_id of every row: the smallest id that links reach.
 
@@ -129,14 +141,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     any other. Rows with the same id stand each for themselves. A null id is never a component's
     name unless all ids in it are null.
     """
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(whole(text)).alias("fp")))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = roots(prints.select("fp"))
-    named = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = cut(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    return classes(docs, doc_id, text).drop("root")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,9 +150,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     An id that several rows share stays once for each class in which it is the smallest; which of
     equal rows stays makes no difference. A row without an id only stays where no other has one.
     """
-    found = near_duplicates(docs, doc_id, text)
+    found = classes(docs, doc_id, text)
     by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(F.min(by_id).alias("first"))
+    first = found.groupBy("root").agg(F.min(by_id).alias("first"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     chosen = cut(first.select(name(F.col("first.doc_id")).alias("_name"), F.col("first.fingerprint").alias("_print")).distinct())
     away, back = set_aside(docs, "")
