@@ -103,14 +103,14 @@ def _outbox_sql() -> str:
     nl = "chr(10) || chr(10)"
     seed = "CASE WHEN no_decisions THEN 'whole' ELSE topic END"
     listed = (
-        f"CASE WHEN NOT no_decisions THEN {_sql_pick(replies.LEAD_INS, f'({seed}) || ' + _sql_text('^'))} || ':' || chr(10)"
+        f"CASE WHEN NOT no_decisions THEN {_sql_pick(replies.PLAIN.lead_ins, f'({seed}) || ' + _sql_text('^'))} || ':' || chr(10)"
         " || '- the ' || replace(topic, '-', ' ') || ': how it works and why' END"
     )
     elicit = (
-        f"concat_ws({nl}, '### Explain this change to merge', {_sql_pick(replies.OPENINGS, seed)}, {listed}, "
-        f"{_sql_pick(replies.CLOSINGS, f'({seed}) || ' + _sql_text('~'))})"
+        f"concat_ws({nl}, '### Explain this change to merge', {_sql_pick(replies.PLAIN.openings, seed)}, {listed}, "
+        f"{_sql_pick(replies.PLAIN.closings, f'({seed}) || ' + _sql_text('~'))})"
     )
-    rescue = f"concat_ws({nl}, {_sql_pick(replies.RESCUE_HEADS, 'topic')}, topic, 'Another reply here will be graded too.')"
+    rescue = f"concat_ws({nl}, {_sql_pick(replies.PLAIN.rescue_heads, 'topic')}, topic, 'Another reply here will be graded too.')"
     passed = f"concat_ws({nl}, '{replies.PASS_HEAD}', 'Thank you, @' || user_login || '. Your reply explains the mechanism.')"
     ungraded = f"concat_ws({nl}, '### Grader unavailable', 'No grade was given (no answer). The check is neutral, not passed.')"
     summary = {

@@ -133,8 +133,8 @@ def test_replies(spark):
         replies.rescue_body(F.col("hole")).alias("rescue"),
         replies.pass_body(F.col("login"), F.col("c")).alias("passed"),
     ).collect()
-    assert "- Why, so?" in got[0].elicit and any(x in got[0].elicit for x in replies.OPENINGS)
-    assert not any(x in got[1].elicit for x in replies.LEAD_INS)
+    assert "- Why, so?" in got[0].elicit and any(x in got[0].elicit for x in replies.PLAIN.openings)
+    assert not any(x in got[1].elicit for x in replies.PLAIN.lead_ins)
     assert "h, ole" in got[0].rescue
     assert "s, t" in got[0].passed and "done" in got[0].passed and "Go deeper" not in got[0].passed
     assert got[1].passed.count("\n\n") == 1
