@@ -10,9 +10,10 @@ bucket); and each row adds the total of the buckets before its own.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,11 +23,11 @@ BUCKET = "__bucket"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is named."""
+    """The shared folder that spark.checkpoint.dir or the context names; there is no other."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
@@ -82,6 +83,14 @@ class Running:
         return F.coalesce(local, prefix)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, null being equal to null; the columns of ``on`` come from ``left``."""
+    renamed = right.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on))
+    joined = left.join(renamed, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"__on_{c}" for c in on))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -93,7 +102,8 @@ def running(
     """Add running ``values`` per ``keys`` in ``order`` (a total order of ROWS, no peers).
 
     With ``bucket`` (any column that never falls as the order rises) no task ever holds more
-    than one bucket of a key. Keys and order must not be null. ``materialize=False`` skips the
+    than one bucket of a key. Null keys are one key, a null bucket comes first as a null order does.
+    ``materialize=False`` skips the
     checkpoint where ``df`` is a bare scan that is cheap to read twice.
     """
 
@@ -122,7 +132,7 @@ def running(
     local = df.withColumns(
         {f"__local_{n}": v.over(before if v.before else upto) for n, v in values.items()}
     )
-    joined = local.join(prefix, part)
+    joined = join_null_safe(local, prefix, part)
     drop = [BUCKET, *(f"__{side}_{n}" for side in ("local", "ahead") for n in values)]
     return joined.withColumns(
         {n: v.join(F.col(f"__ahead_{n}"), F.col(f"__local_{n}")) for n, v in values.items()}
@@ -145,8 +155,8 @@ def run_split(df: DataFrame, keys: Sequence[str], hot: DataFrame | None, run: Ru
     """``run(rows of other keys, False)`` together with ``run(rows of hot keys, True)``."""
     if hot is None:
         return run(df, False)
-    cold_part = run(df.join(hot, list(keys), "left_anti"), False)
-    return cold_part.unionByName(run(df.join(hot, list(keys), "left_semi"), True))
+    cold_part = run(join_null_safe(df, hot, keys, "left_anti"), False)
+    return cold_part.unionByName(run(join_null_safe(df, hot, keys, "left_semi"), True))
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], run: Run, hot_rows: int = HOT_ROWS) -> DataFrame:
