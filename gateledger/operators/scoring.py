@@ -65,8 +65,8 @@ def score_text(
         "__key", F.sha2(F.concat_ws("\x1f", "__system", "__user"), 256)
     )
     requests = keyed.select("__key", "__system", "__user").dropDuplicates(["__key"])
-    if calls_at_once is not None:
-        requests = requests.repartition(calls_at_once)
+    # a given number of partitions, which adaptive execution does not merge
+    requests = requests.repartition(calls_at_once or df.sparkSession.sparkContext.defaultParallelism)
     answers = cut(requests.mapInPandas(call, "__key string, raw string, error string"))
     return keyed.join(answers, "__key").drop("__key", "__system", "__user")
 
