@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,15 +62,28 @@ def with_defaults(df: DataFrame, name: str, identity: Column | None = None) -> D
     return full.withColumns({c: F.coalesce(c, v) for c, v in defaults.items() if c in full.columns})
 
 
+def _append_new(rows: DataFrame, path: str) -> None:
+    """Append rows whose id is neither stored yet nor repeated, so a rerun adds nothing."""
+    rows = rows.dropDuplicates(["id"])
+    try:
+        stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        rows = rows.join(stored.select("id"), "id", "left_anti").select(*rows.columns)
+    rows.write.mode("append").parquet(path)
+
+
 def append_gates(df: DataFrame, path: str) -> None:
     """Append new gates; the id follows from the gate's unique key."""
     identity = F.concat_ws(":", "repo_id", "pr_number", "head_sha")
     rows = with_defaults(df, "gates", identity)
     empty = F.array().cast(schema("gates")["decisions"].dataType)
-    rows.withColumn("decisions", F.coalesce("decisions", empty)).write.mode("append").parquet(path)
+    _append_new(rows.withColumn("decisions", F.coalesce("decisions", empty)), path)
 
 
 def append_attempts(df: DataFrame, path: str) -> None:
     """Append attempts; the id follows from the gate, the comment and the reviewer."""
     identity = F.concat_ws(":", "checkpoint_id", "comment_id", "reviewer_id", F.sha2("explanation", 256))
-    with_defaults(df, "attempts", identity).write.mode("append").parquet(path)
+    _append_new(with_defaults(df, "attempts", identity), path)
