@@ -26,7 +26,6 @@ TABLES = {
 
 def table(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
     """A given table under its fixed schema, with naive timestamps taken as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     if streaming:
         reader = spark.readStream.schema(TABLES[name]).option("pathGlobFilter", f"{name}.parquet")
         df = reader.parquet(sf_dir)

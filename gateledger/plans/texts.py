@@ -139,15 +139,15 @@ def ground_truth(s: Source):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'why ' || source || '?' ELSE 'the ' || source || ': how it works and why' END AS ask,
-      'the set of ' || lang || ': how it works and why' AS ask_second FROM documents WHERE doc_id % 7 <> 0"""
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'why ' || source || '?' ELSE 'the ' || source || ': how it works and why' END AS ask,
+      CASE WHEN doc_id % 7 <> 0 THEN 'the set of ' || lang || ': how it works and why' END AS ask_second FROM documents"""
 )
 def ask_for(s: Source):
-    rows = decided(s).filter("doc_id % 7 <> 0")
-    return rows.select(
+    some = F.size("decisions") > 0  # documents without decisions have nothing to ask
+    return decided(s).select(
         "doc_id",
-        text.ask_for(F.col("decisions")[0]).alias("ask"),
-        text.ask_for(F.col("decisions")[1]).alias("ask_second"),
+        F.when(some, text.ask_for(F.get("decisions", F.lit(0)))).alias("ask"),
+        F.when(some, text.ask_for(F.get("decisions", F.lit(1)))).alias("ask_second"),
     )
 
 
@@ -235,12 +235,12 @@ def split_full_name(s: Source):
 
 
 @query(
-    """SELECT doc_id, '🌊' || substr(text, 1, 58) AS led, substr(text, 1, 59) AS cut, substr(text, 1, 6000) AS long FROM documents WHERE length(text) >= 100"""
+    """SELECT doc_id, '🌊' || substr(text, 1, 58) AS led, CASE WHEN length(text) <= 58 THEN text || '🌊' ELSE substr(text, 1, 59) END AS cut,
+      substr(text, 1, 6000) AS long FROM documents"""
 )
 def clip(s: Source):
     wave = F.lit("🌊")
-    rows = s.documents.filter(F.length("text") >= 100)
-    return rows.select(
+    return s.documents.select(
         "doc_id",
         text.clip(F.concat(wave, "text"), 60).alias("led"),
         text.clip(F.concat(F.substring("text", 1, 59), wave), 60).alias("cut"),
@@ -385,15 +385,14 @@ def coverage_scorer(s: Source):
 @query(
     """SELECT rigor, count(*) FILTER (pass AND NOT expected) AS false_pass, count(*) FILTER (NOT pass AND expected) AS false_fail,
       count(*) AS total, count(*) FILTER (pass = expected) AS correct, CAST(round(count(*) FILTER (pass = expected) * 100.0 / count(*)) AS BIGINT) AS accuracy_pct
-    FROM (SELECT 'medium' AS rigor, s1 >= 0.5 AND s2 >= 0.5 AS pass, quality = 1 AS expected FROM covered JOIN labels USING (doc_id)
-      UNION ALL SELECT 'harsh', s1 >= 0.8 AND s2 >= 0.8, toxic = 1 FROM covered JOIN labels USING (doc_id)) GROUP BY 1""",
-    (COVERAGE,),
+    FROM (SELECT 'medium' AS rigor, s1 >= 0.5 AND s2 >= 0.5 AS pass, quality = 1 AS expected FROM graded JOIN labels USING (doc_id)
+      UNION ALL SELECT 'harsh', s1 >= 0.8 AND s2 >= 0.8, toxic = 1 FROM graded JOIN labels USING (doc_id)) GROUP BY 1""",
+    (COVERAGE, "graded AS (SELECT doc_id, s1, s2 FROM covered UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE doc_id % 7 = 0)"),
 )
 def run_eval(s: Source):
     """Labelled documents as scenarios, graded at two rigors."""
     scenarios = (
         decided(s)
-        .filter("doc_id % 7 <> 0")
         .join(s.labels, "doc_id")
         .select(
             F.col("doc_id").cast("string").alias("name"),

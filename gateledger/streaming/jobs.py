@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,13 +43,14 @@ def streaming_gate_counts(
 
 
 def write_transitions(transitions: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Write transitions and their actions. Each micro-batch owns the folder of its id, so a
-    repeated batch replaces what it wrote before."""
+    """Write transitions and their actions. Each micro-batch owns the folder of its checkpoint and id,
+    so a repeated batch replaces what it wrote before, and another checkpoint replaces nothing."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/transitions/batch={batch_id}")
-        written = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/transitions/batch={batch_id}")
-        action_outbox(written).write.mode("overwrite").parquet(f"{out}/actions/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/transitions/run={run}/batch={batch_id}")
+        written = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/transitions/run={run}/batch={batch_id}")
+        action_outbox(written).write.mode("overwrite").parquet(f"{out}/actions/run={run}/batch={batch_id}")
 
     writer = transitions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -63,6 +66,5 @@ def streaming_pipeline(
     **read_options: object,
 ) -> StreamingQuery:
     """Event log in, transitions and actions out: read, drop redeliveries, replay the gates, emit."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     events = dedupe_deliveries(read_events(spark, source, streaming=True, **read_options), within)
     return write_transitions(live_gate_machine(events), out, checkpoint, once)
