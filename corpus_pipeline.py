@@ -19,7 +19,7 @@ from gateledger.operators.scan import ensure_checkpoint_dir
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is above their language's threshold go."""
-    return lm.judged(docs, lm.trusted_form()).filter("quality.keep").drop("quality")
+    return lm.judged(docs).filter("quality.keep").drop("quality")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

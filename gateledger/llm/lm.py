@@ -13,6 +13,7 @@ Runs of white space are one space, and digits are all the same digit, before any
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ ORDER = 4
 START = "\n"  # stands before the first character of a text, ORDER - 1 times
 ALPHABET = 1 << 16  # characters that share what even single characters leave over
 BLOCK_CHARS = 24 << 20
+PART_CHARS = 1 << 20  # worked on at a time
 TABLE = 1 << 25  # values up to this are numbered by a table, larger ones by sorting
 QUANTILE = 0.99
 MARGIN = 1.5
@@ -39,29 +41,44 @@ NUMERAL = re.compile(r"[0-9]")
 NO_LANGUAGE = ""
 
 
+def kind(c: str) -> int:
+    """3: capital, 2: other letter, 1: space or plain punctuation, 0: anything else."""
+    return 3 if c.isupper() else 2 if c.isalpha() else int(c.isspace() or c in ",.;:'?-")
+
+
+KINDS = np.array([kind(chr(c)) for c in range(0x3000)] + [2], dtype=np.int8)  # what lies beyond counts as letters
+
+
 def normalised(text: str) -> str:
     return NUMERAL.sub("0", SPACE.sub(" ", text).strip())
 
 
-def trusted_form(text: str | Column = "text") -> Column:
-    """Text that has the form of running prose, which is what the model trusts where nobody says more.
+def trusted_form(texts: list[str]) -> np.ndarray:
+    """Which texts have the form of running prose, which the model trusts where nobody says more.
 
-    Most characters are letters or spaces, few of the letters are capitals, words are neither of one
-    character nor glued together on average, and half of the words of a text of at most a hundred
-    (for longer ones a lower share) are different. Short and empty texts are not trusted.
+    97% of the characters are letters, spaces or plain punctuation, at most a tenth of the letters are
+    capitals, words have two to eleven characters on average, and not too many of them are the same.
+    Texts of under a hundred characters are not trusted.
     """
-    t = whole(text)
-    n = F.greatest(F.length(t), F.lit(1)).cast("double")
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(t, r"[^\p{Lu}]", ""))
-    prose = F.length(F.regexp_replace(t, r"[^\p{L}\s,.;:'?-]", ""))
-    words = F.split(F.trim(t), r"\s+")
-    several = F.size(F.array_distinct(words)) / F.size(words)
-    varied = several >= F.lit(5.0) / (F.lit(8.0) + F.sqrt(F.size(words).cast("double")))
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+    ends = np.cumsum(lengths)
+
+    def per_text(flags: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(flags)])
+        return sums[ends] - sums[ends - lengths]
+
+    kinds = KINDS[np.minimum(codes, len(KINDS) - 1)]
+    letters, capitals, prose = per_text(kinds >= 2), per_text(kinds == 3), per_text(kinds >= 1)
+    n_words, varied = np.ones(len(texts)), np.zeros(len(texts), dtype=bool)
+    for k, text in enumerate(texts):
+        words = text.split()
+        n_words[k] = max(1, len(words))
+        varied[k] = len(set(words)) >= len(words) * 5 / (8 + math.sqrt(len(words)))
+    mean = lengths / n_words
     return (
-        (F.length(t) >= 100) & (prose / n >= 0.97) & (capitals / F.greatest(letters, F.lit(1)) <= 0.1)
-        & (n / F.size(words) >= 3) & (n / F.size(words) <= 12) & varied
-    )
+        (lengths >= 100) & (prose >= 0.97 * lengths) & (capitals <= 0.1 * np.maximum(letters, 1)) & (mean >= 3) & (mean <= 12) & varied
+    )
 
 
 def number(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +94,10 @@ def number(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Runs:
-    """The runs of ORDER characters of some texts: the distinct ones, and which stands where."""
+    """The runs of ORDER characters of some texts: the distinct ones, and which stands where.
+
+    The runs of text k end at its characters, so they are ``places[starts[k] : starts[k] + lengths[k]]``.
+    """
 
     def __init__(self, texts: list[str], order: int = ORDER):
         pad = START * (order - 1)
@@ -91,15 +111,15 @@ class Runs:
             heads, tails = np.divmod(distinct, len(alphabet))
             grams = [grams[h] + alphabet[t] for h, t in zip(heads.tolist(), tails.tolist())]
             places = places.astype(np.int64)
-        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        self.starts = np.cumsum(lengths + order - 1) - (lengths + order - 1)
-        self.lengths, self.grams, self.places = lengths, grams, places
+        self.lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        self.starts = np.cumsum(self.lengths + order - 1) - (self.lengths + order - 1)
+        self.grams, self.places = grams, places
 
-    def own(self) -> np.ndarray:
-        """Which places belong to runs that end within a text, rather than in the padding of the next."""
+    def within(self, chosen: np.ndarray) -> np.ndarray:
+        """Which places belong to the chosen texts, rather than to others or the padding between them."""
         edge = np.zeros(len(self.places) + 1, dtype=np.int64)
-        np.add.at(edge, np.minimum(self.starts, len(self.places)), 1)
-        np.add.at(edge, np.minimum(self.starts + self.lengths, len(self.places)), -1)
+        np.add.at(edge, np.minimum(self.starts[chosen], len(self.places)), 1)
+        np.add.at(edge, np.minimum((self.starts + self.lengths)[chosen], len(self.places)), -1)
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -116,56 +136,85 @@ def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]
         yield task << 32 | k, pd.concat(held, ignore_index=True)
 
 
+def portions(texts: list[str]) -> Iterator[slice]:
+    """Slices of about PART_CHARS characters."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= PART_CHARS or k + 1 == len(texts):
+            yield slice(first, k + 1)
+            first, size = k + 1, 0
+
+
+def trust(rows: pd.DataFrame, texts: list[str]) -> np.ndarray:
+    """The caller's word for it, or else the form of the text."""
+    said = rows["trusted"].to_numpy(dtype=object)
+    form = trusted_form(texts) if any(x is None or x is pd.NA for x in said) else np.zeros(len(texts), dtype=bool)
+    return np.array([f if x is None or x is pd.NA else bool(x) for x, f in zip(said, form)], dtype=bool)
+
+
 def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """lang, gram, n: how often the trusted texts of a block hold each run; 0 if only others do."""
     for _, rows in chunks(batches):
-        for lang, part in rows.groupby("lang"):
-            runs = Runs([normalised(t) for t in part["text"]])
-            trust = np.zeros(len(runs.places) + 1, dtype=np.int64)
-            good = part["trusted"].to_numpy(dtype=bool)
-            np.add.at(trust, np.minimum(runs.starts[good], len(runs.places)), 1)
-            np.add.at(trust, np.minimum((runs.starts + runs.lengths)[good], len(runs.places)), -1)
-            n = np.bincount(runs.places[np.cumsum(trust[:-1]) > 0], minlength=len(runs.grams))
-            yield pd.DataFrame({"lang": lang, "gram": runs.grams, "n": n})
+        for lang, some in rows.groupby("lang"):
+            total: dict[str, int] = {}
+            texts = some["text"].tolist()
+            for part in portions(texts):
+                runs = Runs([normalised(t) for t in texts[part]])
+                good = trust(some[part], texts[part])
+                n = np.bincount(runs.places[runs.within(good)], minlength=len(runs.grams))
+                for gram, more in zip(runs.grams, n.tolist()):
+                    total[gram] = total.get(gram, 0) + more
+            yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
 
 
 def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """block, lang, gram: the distinct runs of each block."""
     for block, rows in chunks(batches):
-        for lang, part in rows.groupby("lang"):
-            yield pd.DataFrame({"block": block, "lang": lang, "gram": Runs([normalised(t) for t in part["text"]]).grams})
+        for lang, some in rows.groupby("lang"):
+            grams: set[str] = set()
+            texts = some["text"].tolist()
+            for part in portions(texts):
+                grams.update(Runs([normalised(t) for t in texts[part]]).grams)
+            yield pd.DataFrame({"block": block, "lang": lang, "gram": list(grams)})
 
 
 def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """block, lang, digest, trusted, body: the texts of each block, normalised and compressed."""
     press = zstandard.ZstdCompressor(level=3)
     for block, rows in chunks(batches):
-        texts = rows["text"]
-        yield pd.DataFrame({
-            "block": block, "lang": rows["lang"], "digest": [digest(t) for t in texts], "trusted": rows["trusted"],
-            "body": [press.compress(normalised(t).encode()) for t in texts],
-        })
+        for part in portions(rows["text"].tolist()):
+            some = rows[part]
+            texts = some["text"].tolist()
+            yield pd.DataFrame({
+                "block": block, "lang": some["lang"], "digest": [digest(t) for t in texts], "trusted": trust(some, texts),
+                "body": [press.compress(normalised(t).encode()) for t in texts],
+            })
 
 
 def digest(text: str) -> str:
     return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
 
 
-def scored(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def scored(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """lang, digest, trusted, perplexity of the texts of a block, from the log-probabilities of its runs."""
     unpress, out = zstandard.ZstdDecompressor(), []
-    for lang, part in texts.groupby("lang"):
-        runs = Runs([unpress.decompress(b).decode() for b in part["body"]])
+    for lang, some in rows.groupby("lang"):
         mine = known[known["lang"] == lang]
         log = dict(zip(mine["gram"], mine["logp"]))
-        values = np.fromiter((log.get(g, np.nan) for g in runs.grams), dtype=np.float64, count=len(runs.grams))
-        own = runs.own()
-        sums = np.concatenate([[0.0], np.cumsum(np.where(own, values[runs.places], 0.0))])
-        ends = np.minimum(runs.starts + runs.lengths, len(runs.places))
-        total = sums[ends] - sums[np.minimum(runs.starts, len(runs.places))]
-        with np.errstate(all="ignore"):
-            perplexity = np.where(runs.lengths > 0, np.exp(-total / np.maximum(runs.lengths, 1)), np.nan)
-        out.append(pd.DataFrame({"lang": lang, "digest": part["digest"].to_numpy(), "trusted": part["trusted"].to_numpy(), "perplexity": perplexity}))
+        texts = [unpress.decompress(b).decode() for b in some["body"]]
+        perplexity = np.full(len(texts), np.nan)
+        for part in portions(texts):
+            runs = Runs(texts[part])
+            values = np.fromiter((log.get(g, np.nan) for g in runs.grams), dtype=np.float64, count=len(runs.grams))
+            own = runs.within(np.ones(len(runs.starts), dtype=bool))
+            sums = np.concatenate([[0.0], np.cumsum(np.where(own, values[runs.places], 0.0))])
+            ends = np.minimum(runs.starts + runs.lengths, len(runs.places))
+            total = sums[ends] - sums[np.minimum(runs.starts, len(runs.places))]
+            some_chars = runs.lengths > 0
+            with np.errstate(over="ignore"):
+                perplexity[part][some_chars] = np.exp(-total[some_chars] / runs.lengths[some_chars])
+        out.append(pd.DataFrame({"lang": lang, "digest": some["digest"], "trusted": some["trusted"], "perplexity": perplexity}))
     return pd.concat(out) if out else pd.DataFrame(columns=["lang", "digest", "trusted", "perplexity"])
 
 
@@ -235,11 +284,11 @@ def log_probabilities(grams: DataFrame, counts: DataFrame, order: int = ORDER) -
     return rows.select("lang", "gram", F.log("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: Column, text: str = "text", lang: str = "lang") -> DataFrame:
+def perplexities(docs: DataFrame, trusted: Column | None, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, digest, trusted, perplexity of each distinct row of these; see :func:`judged`."""
     rows = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), whole(text).alias("text"),
-        F.coalesce(trusted, F.lit(False)).alias("trusted"),
+        (F.lit(None) if trusted is None else trusted).cast("boolean").alias("trusted"),
     )
     grams = rows.mapInPandas(counted, "lang string, gram string, n long")
     counts = cut(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
@@ -256,12 +305,13 @@ def perplexities(docs: DataFrame, trusted: Column, text: str = "text", lang: str
 
 
 def judged(
-    docs: DataFrame, trusted: Column, text: str = "text", lang: str = "lang", quantile: float = QUANTILE,
+    docs: DataFrame, trusted: Column | None = None, text: str = "text", lang: str = "lang", quantile: float = QUANTILE,
     margin: float = MARGIN, into: str = "quality",
 ) -> DataFrame:
     """All rows with a struct ``into`` (replaced if there): perplexity, threshold, keep.
 
-    ``trusted`` marks the rows whose text the model learns from. The threshold of a language is the
+    ``trusted`` marks the rows whose text the model learns from; where it is null or not given, the form
+    of the text says so (:func:`trusted_form`). The threshold of a language is the
     ``quantile`` of the perplexities of its trusted rows, times ``margin``. Null languages are one
     language. A null or blank text has no perplexity; neither it nor a text in a language without
     trusted text is rejected. ``docs`` must read the same rows in the same order twice, as files or

@@ -132,7 +132,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every text and whether it stays."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    found = lm.judged(docs, lm.trusted_form())
+    found = lm.judged(docs)
     return found.select("doc_id", "lang", "quality.perplexity", "quality.threshold", "quality.keep")
 
 
