@@ -33,7 +33,7 @@ BLOCK_CHARS = 24 << 20
 PART_CHARS = 1 << 20  # worked on at a time
 TABLE = 1 << 25  # values up to this are numbered by a table, larger ones by sorting
 QUANTILE = 0.99
-MARGIN = 1.5
+MARGIN = 2.0
 ACCURACY = 10_000
 
 SPACE = re.compile(r"\s+")
