@@ -13,9 +13,9 @@ a first part (of WIDTH - PERIOD + 1 bytes) that occurs at another sample too.
 3. Each document loses the bytes that those suffixes' first WIDTH bytes cover.
 
 Only equality of fixed lengths matters here, so the rank of a suffix is a 64-bit name of its prefix
-rather than its place in the alphabet, and ties need no further text. Names of suffixes travel as 48
-bits in the order of their places, beside a bucket number drawn from other bits, so a bucket answers
-with one bit for each. Later copies of a whole text are known by their digest and take no part in 1
+rather than its place in the alphabet, and ties need no further text. The bucket of a suffix comes from
+a second, independent name, so that different strings are taken for equal only where 64 bits and the
+bucket agree. Names travel in the order of their places, so a bucket answers with one bit for each. Later copies of a whole text are known by their digest and take no part in 1
 and 2.
 
 Texts are read once, into a table of compressed blocks that is bucketed by block, so that answers
@@ -61,11 +61,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+OTHERS = mixed(VALUES ^ np.uint64(0xD6E8FEB86659FD93))  # for a second name that does not depend on the first
 POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(SEGMENT + WIDTH, BASE, dtype=np.uint64))])
 INVERSES = np.concatenate([[np.uint64(1)], np.cumprod(np.full(SEGMENT + WIDTH, INVERSE, dtype=np.uint64))])
 
 
-def names(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def names(raw: np.ndarray, at: np.ndarray, length: int, values: np.ndarray = VALUES) -> np.ndarray:
     """64-bit names of raw[i : i + length] for the places i of ``at`` (sorted); equal strings, equal names."""
     out = np.empty(len(at), dtype=np.uint64)
     for start in range(0, len(raw), SEGMENT):
@@ -74,7 +75,7 @@ def names(raw: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
             continue
         part = raw[start : start + SEGMENT + length]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(VALUES[part] * POWERS[: len(part)], out=sums[1:])
+        np.cumsum(values[part] * POWERS[: len(part)], out=sums[1:])
         i = at[lo:hi] - start
         out[lo:hi] = mixed((sums[i + length] - sums[i]) * INVERSES[i])
     return out
@@ -143,8 +144,8 @@ class Block:
         upto = np.cumsum(holds)
         own = self.places(None, WIDTH)
         own = own[upto[np.minimum(own + PERIOD, len(self.raw))] > upto[own]]
-        found = names(self.raw, own, WIDTH)
-        return own, found, *dealt(found, n_buckets, by_value=False)
+        where = names(self.raw, own, WIDTH, OTHERS)
+        return own, names(self.raw, own, WIDTH), *dealt(where, n_buckets, by_value=False)
 
 
 def placed(answers: dict[int, bytes], order: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -248,7 +249,7 @@ def suffix_names(n_buckets: int):
                 mine = order[edges[b] : edges[b + 1]]
                 docs, counts = np.unique(doc[mine], return_counts=True)
                 head = np.concatenate([[len(docs)], block.ids[docs], counts]).astype("<i8").tobytes()
-                out.append((b, row.block, press.compress(head + planes(found[mine], 6))))
+                out.append((b, row.block, press.compress(head + planes(found[mine], 8))))
         return pd.DataFrame(out, columns=["bucket", "block", "body"])
 
     return run
@@ -262,7 +263,7 @@ def suffix_answers(rows: pd.DataFrame) -> pd.DataFrame:
         data = unpress.decompress(body)
         n = int(np.frombuffer(data, dtype="<i8", count=1)[0])
         head = np.frombuffer(data, dtype="<i8", count=2 * n, offset=8)
-        values.append(from_planes(data[8 + 16 * n :], 6))
+        values.append(from_planes(data[8 + 16 * n :], 8))
         ids.append(np.repeat(head[:n], head[n:]))
         sizes.append(len(values[-1]))
     name, doc = np.concatenate(values), np.concatenate(ids)
