@@ -29,6 +29,19 @@ def test_bucketed_equals_plain(spark, before):
     assert sorted(map(tuple, split.select(*plain.columns).collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("hot_rows", [0, 30])
+def test_null_keys_and_orders_come_out_the_same_at_every_size(spark, hot_rows):
+    some = [(None if k == 3 or k == 0 and i % 2 else k, None if i % 11 == 0 else at, i, v, s) for k, at, i, v, s in rows()]
+    df = spark.createDataFrame(some, "k int, at int, id int, v bigint, s string")
+    values = {f"{kind}_v": Running(kind, F.col("v")) for kind in ("sum", "count", "min", "max", "last")}
+    values["text_s"] = Running("text", F.col("s"))
+    bucket = F.floor(F.col("at") / 7)
+    few, many = (running_by_key(df, ["k"], ["at", "id"], values, bucket, hot_rows=n) for n in (10**9, hot_rows))
+    want = sorted(map(tuple, few.collect()), key=repr)
+    assert len(want) == len(some)
+    assert sorted(map(tuple, many.select(*few.columns).collect()), key=repr) == want
+
+
 def test_pick_per_key_limits_before_the_shuffle(spark):
     df = spark.createDataFrame(rows(), "k int, at int, id int, v bigint, s string")
     picked = pick_per_key(df, ["k"], [F.desc("at"), F.desc("id")])
