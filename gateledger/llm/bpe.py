@@ -1,23 +1,19 @@
 """Byte-level BPE: encoding by folded merges of distinct words, decoding by joined pieces.
 
-A task cuts its texts into words by the splitting pattern and gathers a block of texts: first a row
-with the block's distinct words, then a row for each text with the places of its words among them.
-Spark's higher-order functions encode the distinct words: each starts as the array of its bytes, and
-a fold merges the neighbours of lowest rank until none has a rank. The ranks are a literal: an array
-of small maps, entered by a checksum of the piece. The texts of the block then take their words'
-ids. Nothing is shuffled, and a task holds one block at a time.
-
-Bytes are written as the characters of the same numbers (ISO-8859-1), so a string of them is a byte
-array that Spark's maps can have as a key.
+A text is cut into words by the splitting pattern. A task encodes each distinct word once, by
+folding merges over the array of its bytes: of all neighbours that together have a rank, the leftmost
+of lowest rank become one, until none has. The rank map goes to the tasks as a literal of their
+function. Nothing is shuffled, and what a task remembers is bounded.
+
+The fold runs in Python. The same fold in Spark's higher-order functions gives the same ids, but its
+nested lambdas are interpreted and took several times the allowed CPU time; README has the figures.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +23,9 @@ from pyspark.sql import types as T
 
 from gateledger.llm.tables import whole
 
-BLOCK_BYTES = 8 << 20  # of text, by which a block closes
-MAPS = 8192
-NONE = 2**31 - 1  # the rank of what is no token
+MEMO = 300_000  # distinct words a task remembers before it starts afresh
+SHORT = 64  # bytes up to which a scan for the lowest rank beats a heap
+NONE = 1 << 62  # the rank of what is no token
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,122 +34,54 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def entry(piece: str) -> int:
-    return zlib.crc32(piece.encode()) % MAPS
-
-
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as one literal: maps from pieces to ranks, by the checksum of the piece."""
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for token, rank in ranks.items():
-        piece = token.decode("latin-1")
-        maps[entry(piece)][piece] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-
-
-def encoded(word: Column, ranks: Column) -> Column:
-    """Ids of one word. The leftmost of the pairs of lowest rank is merged, again and again."""
-
-    def rank(piece: Column) -> Column:
-        found = F.try_element_at(F.get(ranks, F.pmod(F.crc32(piece), F.lit(MAPS)).cast("int")), piece)
-        return F.coalesce(found, F.lit(NONE))
-
-    def pair(pieces: Column, i: Column) -> Column:
-        """Rank of the pieces i and i + 1, from 1, together."""
-        return rank(F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1)))
-
-    def bind(value: Column, use) -> Column:
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
-    def start(pieces: Column) -> Column:
-        inner = F.sequence(F.lit(1), F.size(pieces) - 1)
-        pairs = F.when(F.size(pieces) > 1, F.transform(inner, lambda i: pair(pieces, i))).otherwise(F.array().cast("array<int>"))
-        return F.struct(pieces.alias("pieces"), pairs.alias("pairs"))
-
-    def merge(state: Column) -> Column:
-        """The pair of lowest rank becomes one piece; only the pairs with its neighbours change rank."""
-        low = F.array_min(state["pairs"])
-
-        def at(i: Column) -> Column:
-            old, pairs = state["pieces"], state["pairs"]
-            n = F.size(old)
-            both = F.concat(F.element_at(old, i), F.element_at(old, i + 1))
-            left = F.when(i > 1, F.array(rank(F.concat(F.element_at(old, F.greatest(i - 1, F.lit(1))), both))))
-            right = F.when(i + 1 < n, F.array(rank(F.concat(both, F.element_at(old, F.least(i + 2, n))))))
-            empty = F.array().cast("array<int>")
-            return F.struct(
-                F.concat(F.slice(old, 1, i - 1), F.array(both), F.slice(old, i + 2, n)).alias("pieces"),
-                F.concat(
-                    F.slice(pairs, 1, F.greatest(i - 2, F.lit(0))), F.coalesce(left, empty),
-                    F.coalesce(right, empty), F.slice(pairs, i + 2, n),
-                ).alias("pairs"),
-            )
-
-        done = low.isNull() | (low == NONE)
-        return F.when(done, state).otherwise(bind(F.array_position(state["pairs"], low).cast("int"), at))
-
-    def fold(pieces: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)))
-        return F.aggregate(steps, start(pieces), lambda state, _: merge(state), lambda state: state["pieces"])
-
-    return bind(bind(F.split(word, ""), fold), lambda pieces: F.transform(pieces, rank))
-
-
-def split_texts(pattern: str, block_bytes: int):
-    """Blocks of texts as rows: the distinct words, then each text as places among them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
-        for batch in batches:
-            texts, rows = batch.column(0), batch.column(1)
-            at, n = 0, batch.num_rows
-            while at < n:
-                places: defaultdict[str, int] = defaultdict()
-                places.default_factory = places.__len__
-                used, size, first = [], 0, at
-                while at < n and (size < block_bytes or at == first):
-                    text = texts[at].as_py()
-                    size += len(text)
-                    used.append(np.fromiter(map(places.__getitem__, find(text)), dtype="<u4").tobytes())
-                    at += 1
-                words = pa.array([w.encode().decode("latin-1") for w in places], pa.string())
-                kinds = [pa.list_(pa.string()), pa.binary(), rows.type]
-                lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-                yield pa.RecordBatch.from_arrays([lists, pa.nulls(1, kinds[1]), pa.nulls(1, kinds[2])], names=["words", "places", "row"])
-                k = len(used)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, kinds[0]), pa.array(used, kinds[1]), rows.slice(first, k)], names=["words", "places", "row"]
-                )
-
-    return run
-
-
-def spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """values[starts[w] : starts[w] + lengths[w]] of every w in ``which``, one after another."""
-    n = lengths[which]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts[which] - (ends - n), n) + np.arange(total)]
-
-
-def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gives each text the ids of its words, from the last row of words before it."""
-    ids = starts = lengths = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        flat, sizes, places, rows = (batch.column(k) for k in range(4))
-        is_words = sizes.is_valid().to_numpy(zero_copy_only=False)
-        out = []
-        for k in range(batch.num_rows):
-            if is_words[k]:
-                ids = np.asarray(flat[k].values, dtype="<u4")
-                lengths = np.asarray(sizes[k].values, dtype=np.int64)
-                starts = np.cumsum(lengths) - lengths
-            else:
-                out.append(spread(ids, starts, lengths, np.frombuffer(places[k].as_buffer(), dtype="<u4")).tobytes())
-        kept = rows.filter(pa.array(~is_words))
-        yield pa.RecordBatch.from_arrays([kept, pa.array(out, pa.binary())], names=["row", "tokens"])
+class Words(dict):
+    """Ids of words by word, little-endian; a word is encoded when it is first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+
+    def __missing__(self, word: str) -> bytes:
+        data = word.encode()
+        ids = self.folded(data) if len(data) <= SHORT else self.folded_long(data)
+        self[word] = packed = np.array(ids, dtype="<u4").tobytes()
+        return packed
+
+    def rank(self, piece: bytes) -> int:
+        return self.ranks.get(piece, NONE)
+
+    def folded(self, data: bytes) -> list[int]:
+        pieces = [data[i : i + 1] for i in range(len(data))]
+        pairs = [self.rank(data[i : i + 2]) for i in range(len(data) - 1)]
+        while pairs and (low := min(pairs)) != NONE:
+            i = pairs.index(low)
+            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = self.rank(pieces[i - 1] + pieces[i])
+            if i < len(pairs):
+                pairs[i] = self.rank(pieces[i] + pieces[i + 1])
+        return [self.ranks[p] for p in pieces]
+
+    def folded_long(self, data: bytes) -> list[int]:
+        """The same merges for a long word: pieces are linked, and pairs wait in a heap by rank and place."""
+        n = len(data)
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by the start of a piece; 0: merged away
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := self.rank(data[i : i + 2])) != NONE]
+        heapify(heap)
+        while heap:
+            _, i, end = heappop(heap)
+            middle = ends[i]
+            if not middle or middle >= n or ends[middle] != end:
+                continue  # one of the two has been merged since
+            ends[i], ends[middle] = end, 0
+            if end < n:
+                before[end] = i
+                if (r := self.rank(data[i : ends[end]])) != NONE:
+                    heappush(heap, (r, i, ends[end]))
+            left = before[i]
+            if left >= 0 and (r := self.rank(data[left:end])) != NONE:
+                heappush(heap, (r, left, end))
+        return [self.ranks[data[i:e]] for i, e in enumerate(ends) if e]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "tokens") -> DataFrame:
@@ -163,19 +91,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     rank. There are no special tokens. Null is empty and has no ids. A column called ``into`` is
     replaced; others are kept whatever their names.
     """
-    kept = [c for c in docs.columns if c != into]
-    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(whole(text).alias("text"), row.alias("row"))
-    kind = rows.schema["row"].dataType
-    words = T.StructType([
-        T.StructField("words", T.ArrayType(T.StringType())), T.StructField("places", T.BinaryType()), T.StructField("row", kind),
-    ])
-    blocks = rows.mapInArrow(split_texts(pattern, BLOCK_BYTES), words)
-    literal = rank_literal(ranks)
-    coded = blocks.withColumn("ids", F.transform("words", lambda w: encoded(w, literal)))
-    coded = coded.select(F.flatten("ids").alias("flat"), F.transform("ids", F.size).alias("sizes"), "places", "row")
-    out = T.StructType([T.StructField("row", kind), T.StructField("tokens", T.BinaryType())])
-    return coded.mapInArrow(gather, out).select("row.*", F.col("tokens").alias(into))
+
+    @F.arrow_udf(T.BinaryType())
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import regex
+
+        find, words = regex.compile(pattern).findall, Words(ranks)
+        for texts in batches:
+            out = []
+            for text in texts:
+                out.append(b"".join(map(words.__getitem__, find(text.as_py()))))
+                if len(words) > MEMO:
+                    words.clear()
+            yield pa.array(out, pa.binary())
+
+    return docs.withColumn(into, ids_of(whole(text)))
 
 
 def n_tokens(tokens: str | Column = "tokens") -> Column:
@@ -187,25 +117,18 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], tokens: str = "tokens", int
 
     Null ids give null. An id without a piece is an error.
     """
-    size = max(ranks.values(), default=-1) + 1
-    by_id = [b""] * size
-    known = np.zeros(size, dtype=bool)
-    for token, rank in ranks.items():
-        by_id[rank], known[rank] = token, True
-    pieces = np.frombuffer(b"".join(by_id), dtype=np.uint8)
-    lengths = np.array([len(p) for p in by_id], dtype=np.int64)
-    starts = np.cumsum(lengths) - lengths
-
-    def joined(tokens: bytes | None) -> bytes | None:
-        if tokens is None:
-            return None
-        ids = np.frombuffer(tokens, dtype="<u4")
-        if len(ids) and (int(ids.max()) >= size or not known[ids].all()):
-            raise ValueError("an id has no piece")
-        return spread(pieces, starts, lengths, ids).tobytes()
 
     @F.arrow_udf(T.BinaryType())
-    def bytes_of(tokens: pa.Array) -> pa.Array:
-        return pa.array([joined(t.as_py()) for t in tokens], pa.binary())
+    def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        piece = {rank: token for token, rank in ranks.items()}.__getitem__
+
+        def joined(ids: bytes) -> bytes:
+            try:
+                return b"".join(map(piece, np.frombuffer(ids, dtype="<u4").tolist()))
+            except KeyError as e:
+                raise ValueError(f"id {e} has no piece") from None
+
+        for batch in batches:
+            yield pa.array([None if t is None else joined(t) for t in batch.to_pylist()], pa.binary())
 
     return docs.withColumn(into, bytes_of(tokens))
