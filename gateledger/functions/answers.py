@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gateledger.functions.text import SPACE, clip, let
 
+# Fixed value: how a code fence around an answer is recognised.
 FENCE = rf"```(?:json)?{SPACE}*((?s:.*?))```"
 
 # The verdicts a topic may carry and the length bound of each text field.
