@@ -12,6 +12,7 @@ FENCE = rf"```(?:json)?{SPACE}*((?s:.*?))```"
 
 # The verdicts a topic may carry and the length bound of each text field.
 VERDICTS = ["strong", "solid", "thin"]
+NESTED = 3  # lists in lists that are written out
 CONCEPT_CHARS, NOTE_CHARS = 120, 240
 STRONGEST_CHARS, EDGE_CHARS, ONE_LINE_CHARS = 400, 400, 300
 
@@ -40,30 +41,52 @@ def _kind(value: Column) -> Column:
 
 def js_text(value: Column) -> Column:
     """``String(x || '')`` of a Variant: falsy values give an empty string."""
-    return let(
-        F.struct(
-            value.alias("value"),
-            _kind(value).alias("kind"),
-            F.try_variant_get(value, "$", "string").alias("text"),
-        ),
-        _js_text,
+    return let(_parts(value), _js_text)
+
+
+def _number(text: Column) -> Column:
+    """A double as JavaScript writes it, from how it is written here."""
+    n = text.cast("double")
+    whole = n.cast("decimal(38,0)").cast("string")
+    part = F.regexp_replace(text.cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+    power = F.regexp_replace(F.regexp_replace(text, r"(?:\.0)?E(?=\d)", "e+"), r"(?:\.0)?E-", "e-")
+    plain = (F.abs(n) < 1e21) & (F.abs(n) >= 1e-6)
+    return F.when(~plain, power).when(n == F.floor(n).cast("double"), whole).otherwise(part)
+
+
+def _item(value: Column, depth: int = NESTED) -> Column:
+    """``String(x)`` of what a list holds; lists in lists are written out to ``depth``."""
+
+    def written(v: Column) -> Column:
+        inner = F.lit("")
+        if depth:
+            items = F.transform(F.try_variant_get(v["value"], "$", "array<variant>"), lambda x: _item(x, depth - 1))
+            inner = F.array_join(items, ",")
+        return (
+            F.when(v["value"].isNull() | (v["kind"] == "VOID"), F.lit(""))
+            .when(v["kind"] == "OBJECT", F.lit("[object Object]"))
+            .when(v["kind"] == "ARRAY", inner)
+            .when(v["kind"] == "DOUBLE", _number(v["text"]))
+            .otherwise(F.coalesce(v["text"], F.lit("")))
+        )
+
+    return let(_parts(value), written)
+
+
+def _parts(value: Column) -> Column:
+    return F.struct(
+        value.alias("value"), _kind(value).alias("kind"), F.try_variant_get(value, "$", "string").alias("text")
     )
 
 
 def _js_text(v: Column) -> Column:
     kind, text = v["kind"], v["text"]
-    items = F.transform(
-        F.try_variant_get(v["value"], "$", "array<variant>"),
-        lambda item: F.coalesce(F.try_variant_get(item, "$", "string"), F.lit("")),
-    )
+    number = F.try_variant_get(v["value"], "$", "double")
     return (
-        F.when(v["value"].isNull() | (kind == "VOID"), F.lit(""))
-        .when(kind == "STRING", text)
+        F.when(kind == "STRING", text)
         .when(kind == "BOOLEAN", F.when(text == "true", text).otherwise(F.lit("")))
-        .when(kind == "OBJECT", F.lit("[object Object]"))
-        .when(kind == "ARRAY", F.array_join(items, ","))
-        .when(F.try_variant_get(v["value"], "$", "double") == 0, F.lit(""))
-        .otherwise(F.coalesce(text, F.lit("")))
+        .when(number == 0, F.lit(""))
+        .otherwise(_item(v["value"]))
     )
 
 

@@ -145,3 +145,13 @@ def test_path_patterns_are_caseless(spark):
     assert one(spark, "x/Poetry.LOCK", diffs.is_trivial_path)
     assert one(spark, "a/Vendor/b.go", diffs.is_generated_path)
     assert not one(spark, "a/vendored/b.go", diffs.is_generated_path)
+
+
+def test_text_of_json_values_as_javascript_has_it(spark):
+    cases = {
+        "1e3": "1000", "1e21": "1e+21", "1.5e-7": "1.5e-7", "123456789.5": "123456789.5", "12": "12", "1.50": "1.5", "0": "", "-0.0": "",
+        "[null,[1,2],3]": ",1,2,3", '[{"a":1}]': "[object Object]", "[[[1e3]]]": "1000", "[true,false]": "true,false", "[]": "",
+        "true": "true", "false": "", "null": "", '{"a":1}': "[object Object]", '"x"': "x",
+    }
+    df = spark.createDataFrame(list(cases), "string")
+    assert {r.value: r.t for r in df.select("value", answers.js_text(F.parse_json("value")).alias("t")).collect()} == cases
