@@ -10,9 +10,10 @@ pairs of a cell, and the bits decide. No link can be missed.
 Counts are kept in unary (0: 00, 1: 01, 2: 11), so the Manhattan distance of two points is the
 number of bits in which their codes differ.
 
-Cells may hold thousands of fingerprints of near copies. Two rounds first link the members of each
-cell to one of them and find components; only cells that still hold several components are joined
-with themselves, and only across components.
+Cells may hold thousands of fingerprints of near copies. The members of each cell are first linked
+to its smallest and largest, which gives components; then cells are joined with themselves across
+components only, and crowded cells of a single component are left out of that. A join gives nothing
+but links that hold, however many fingerprints share a cell by chance.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ SHINGLE = 4
 SEED = 42
 LIMIT = 4
 GROUPS = 7
-STARS = 2
+CROWD = 16  # members from which a cell of one component is set aside before the join
 CHUNK = 1 << 16
 ODD = 0x5555555555555555
 
@@ -92,36 +93,34 @@ def near(a: str, b: str) -> Column:
     return grid & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= LIMIT)
 
 
+def celled(prints: DataFrame) -> DataFrame:
+    cell = F.posexplode(F.array(*[F.col("point").bitwiseAND(F.lit(m)) for m in masks()])).alias("choice", "cell")
+    return prints.withColumn("point", unary(F.col("fp"))).select(*prints.columns, cell)
+
+
 def roots(prints: DataFrame) -> DataFrame:
     """node, root of every fingerprint (column fp, distinct) that is linked to another one."""
-    cell = F.posexplode(F.array(*[F.col("point").bitwiseAND(F.lit(m)) for m in masks()])).alias("choice", "cell")
-    cells = prints.withColumn("point", unary(F.col("fp"))).select("fp", cell)
     key = ["choice", "cell"]
-    shared = cells.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    cells = cut(cells.join(shared, key))
-    links, found = None, None
-    for turn in range(STARS):
-        pick = F.min_by("fp", F.struct(F.xxhash64("fp", F.lit(turn)), "fp")).alias("hub")
-        star = cells.join(cells.groupBy(*key).agg(pick), key).filter("fp <> hub").filter(near("fp", "hub"))
-        star = star.select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-        links = star if links is None else links.union(star)
-        found = cut(components(links))
-        links = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        cells = still_open(cells, found)
-    left = cells.select(*key, F.col("fp").alias("a"), F.col("root").alias("ra"))
-    right = cells.select(*key, F.col("fp").alias("b"), F.col("root").alias("rb"))
-    across = left.join(right, key).filter("ra < rb").filter(near("a", "b")).select("a", "b").distinct()
+    prints = prints.select("fp")
+    cells = celled(prints)
+    hubs = cells.groupBy(*key).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
+    # conditions on both sides are part of the join: only verified links leave it
+    to_low, to_high = (near("fp", hub) & (F.col("fp") != F.col(hub)) for hub in ("low", "high"))
+    star = cells.join(hubs, key).filter(to_low | to_high)
+    hub = F.explode(F.filter(F.array(F.when(to_low, F.col("low")), F.when(to_high, F.col("high"))), F.isnotnull))
+    found = components(star.select(F.col("fp").alias("a"), hub.alias("b")))
+    links = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    named = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    cells = celled(cut(named))
+    one = cells.groupBy(*key).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    closed = one.filter((F.col("n") >= CROWD) & (F.col("lo") == F.col("hi"))).select(*key)
+    rest = cells.join(closed, key, "left_anti")
+    left = rest.select(*key, F.col("fp").alias("a"), F.col("root").alias("ra"))
+    right = rest.select(*key, F.col("fp").alias("b"), F.col("root").alias("rb"))
+    across = left.join(right, key).filter("ra < rb").filter(near("a", "b")).select("a", "b")
     return components(links.union(across))
 
 
-def still_open(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of cells that hold more than one component, with their roots."""
-    named = cells.drop("root").join(found, F.col("fp") == F.col("node"), "left")
-    named = cut(named.select("choice", "cell", "fp", F.coalesce("root", "fp").alias("root")))
-    several = named.groupBy("choice", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return cut(named.join(several.filter("lo < hi").select("choice", "cell"), ["choice", "cell"]))
-
-
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id of every row, and the root that only its own class has."""
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(whole(text)).alias("fp")))
