@@ -17,18 +17,29 @@ from gateledger.llm.tables import read
 from gateledger.operators.scan import ensure_checkpoint_dir
 
 
+#: Rows of whole texts that go to a Python worker at once; bounds the memory of a task on long texts.
+BATCH_ROWS = 2000
+
+
+def lean(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is above their language's threshold go."""
+    lean(spark)
     return lm.judged(docs).filter("quality.keep").drop("quality")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
+    lean(spark)
     return simhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gives way to its kind; n_chars follows the text."""
+    lean(spark)
     clean = docs.withColumn("text", pii.cleaned("text"))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
@@ -43,6 +54,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
+    lean(spark)
     vocabulary = public_tokenizers()
     ranks = bpe.read_ranks(vocabulary.path("byte_bpe_50k.tiktoken"))
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, vocabulary.PATTERN)

@@ -155,7 +155,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     chosen = cut(first.select(name(F.col("first.doc_id")).alias("_name"), F.col("first.fingerprint").alias("_print")).distinct())
     away, back = set_aside(docs, "")
-    rows = docs.select(*away, name(F.col(doc_id)).alias("_name"), whole(text).alias("_text")).join(chosen, "_name")
-    rows = rows.filter(fingerprint_of("_text") == F.col("_print"))
-    nth = F.row_number().over(Window.partitionBy("_name", "_print").orderBy(F.xxhash64("_text")))
+    rows = docs.select(*away, name(F.col(doc_id)).alias("_name")).join(chosen, "_name")
+    own = whole(f"_own{docs.columns.index(text)}")
+    rows = rows.filter(fingerprint_of(own) == F.col("_print"))
+    nth = F.row_number().over(Window.partitionBy("_name", "_print").orderBy(F.xxhash64(own)))
     return rows.withColumn("_nth", nth).filter("_nth = 1").select(*back)
