@@ -5,7 +5,8 @@ from them the counts of continuations of all shorter runs. Counts, contexts and
 tables, sharded by run, and only joins bring them together. Texts are cut into blocks; the distinct
 runs of a block get their probabilities from those tables and meet the block's texts again, which
 sum them up. A document goes if its perplexity is above its language's threshold, a quantile of the
-trusted texts' perplexities with a margin.
+trusted texts' perplexities with a margin. Words repeated on and on look like the language to such a
+model, so a text goes as well if half of its words stand for a repetition (:func:`repeats`).
 
 Runs of white space are one space, and digits are all the same digit, before anything is counted.
 """
@@ -16,6 +17,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,9 @@ TABLE = 1 << 25  # values up to this are numbered by a table, larger ones by sor
 QUANTILE = 0.99
 MARGIN = 2.0
 ACCURACY = 10_000
+REPEATED = 0.5  # share of words that equal the one a few before, from which a text repeats itself
+PERIOD = 4  # words, at most
+FEWEST = 10  # words of a text that can repeat itself
 
 SPACE = re.compile(r"\s+")
 NUMERAL = re.compile(r"[0-9]")
@@ -81,6 +86,13 @@ def trusted_form(texts: list[str]) -> np.ndarray:
     )
 
 
+def repeats(text: str) -> bool:
+    """Whether the text repeats one to PERIOD words on and on."""
+    words = text.split()
+    n = len(words)
+    return n >= FEWEST and any(sum(map(eq, words, words[k:])) >= REPEATED * (n - k) for k in range(1, PERIOD + 1))
+
+
 def number(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values, sorted, and for each value its place among them."""
     if size > TABLE:
@@ -180,7 +192,7 @@ def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """block, lang, digest, trusted, body: the texts of each block, normalised and compressed."""
+    """block, lang, digest, trusted, repeats, body: the texts of each block, normalised and compressed."""
     press = zstandard.ZstdCompressor(level=3)
     for block, rows in chunks(batches):
         for part in portions(rows["text"].tolist()):
@@ -188,6 +200,7 @@ def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = some["text"].tolist()
             yield pd.DataFrame({
                 "block": block, "lang": some["lang"], "digest": [digest(t) for t in texts], "trusted": trust(some, texts),
+                "repeats": [repeats(t) for t in texts],
                 "body": [press.compress(normalised(t).encode()) for t in texts],
             })
 
@@ -197,7 +210,7 @@ def digest(text: str) -> str:
 
 
 def scored(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """lang, digest, trusted, perplexity of the texts of a block, from the log-probabilities of its runs."""
+    """lang, digest, trusted, repeats, perplexity of the texts of a block, from the log-probabilities of its runs."""
     unpress, out = zstandard.ZstdDecompressor(), []
     for lang, some in rows.groupby("lang"):
         mine = known[known["lang"] == lang]
@@ -214,8 +227,8 @@ def scored(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             some_chars = runs.lengths > 0
             with np.errstate(over="ignore"):
                 perplexity[part][some_chars] = np.exp(-total[some_chars] / runs.lengths[some_chars])
-        out.append(pd.DataFrame({"lang": lang, "digest": some["digest"], "trusted": some["trusted"], "perplexity": perplexity}))
-    return pd.concat(out) if out else pd.DataFrame(columns=["lang", "digest", "trusted", "perplexity"])
+        out.append(some[["lang", "digest", "trusted", "repeats"]].assign(perplexity=perplexity))
+    return pd.concat(out) if out else pd.DataFrame(columns=["lang", "digest", "trusted", "repeats", "perplexity"])
 
 
 def head(gram: str, n: int) -> Column:
@@ -285,7 +298,7 @@ def log_probabilities(grams: DataFrame, counts: DataFrame, order: int = ORDER) -
 
 
 def perplexities(docs: DataFrame, trusted: Column | None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, digest, trusted, perplexity of each distinct row of these; see :func:`judged`."""
+    """lang, digest, trusted, repeats, perplexity of each distinct row of these; see :func:`judged`."""
     rows = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), whole(text).alias("text"),
         (F.lit(None) if trusted is None else trusted).cast("boolean").alias("trusted"),
@@ -295,12 +308,12 @@ def perplexities(docs: DataFrame, trusted: Column | None, text: str = "text", la
     logs = cut(log_probabilities(counts.select("lang", "gram"), counts.filter("n > 0")))
     needed = rows.mapInPandas(listed, "block long, lang string, gram string")
     known = needed.join(logs, ["lang", "gram"]).select("block", "lang", "gram", "logp")
-    bodies = rows.mapInPandas(packed, "block long, lang string, digest string, trusted boolean, body binary")
+    bodies = rows.mapInPandas(packed, "block long, lang string, digest string, trusted boolean, repeats boolean, body binary")
     found = bodies.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
-        scored, "lang string, digest string, trusted boolean, perplexity double"
+        scored, "lang string, digest string, trusted boolean, repeats boolean, perplexity double"
     )
     return cut(found.groupBy("lang", "digest").agg(
-        F.max("trusted").alias("trusted"), F.first("perplexity").alias("perplexity"), F.count("*").alias("copies")
+        F.max("trusted").alias("trusted"), F.first("repeats").alias("repeats"), F.first("perplexity").alias("perplexity"), F.count("*").alias("copies")
     ))
 
 
@@ -308,13 +321,14 @@ def judged(
     docs: DataFrame, trusted: Column | None = None, text: str = "text", lang: str = "lang", quantile: float = QUANTILE,
     margin: float = MARGIN, into: str = "quality",
 ) -> DataFrame:
-    """All rows with a struct ``into`` (replaced if there): perplexity, threshold, keep.
+    """All rows with a struct ``into`` (replaced if there): perplexity, threshold, repeats, keep.
 
     ``trusted`` marks the rows whose text the model learns from; where it is null or not given, the form
     of the text says so (:func:`trusted_form`). The threshold of a language is the
     ``quantile`` of the perplexities of its trusted rows, times ``margin``. Null languages are one
     language. A null or blank text has no perplexity; neither it nor a text in a language without
-    trusted text is rejected. ``docs`` must read the same rows in the same order twice, as files or
+    trusted text is rejected for that. A text that ``repeats`` a few words on and on is rejected whatever
+    its perplexity. ``docs`` must read the same rows in the same order twice, as files or
     a checkpoint do; equal texts of a language share one verdict.
     """
     found = perplexities(docs, trusted, text, lang)
@@ -324,7 +338,7 @@ def judged(
     )
     verdicts = found.join(limits, F.col("lang") == F.col("of"), "left").select(
         F.col("lang").alias("_lang"), F.col("digest").alias("_digest"), F.nanvl("perplexity", F.lit(None)).alias("_perplexity"),
-        F.col("threshold").alias("_threshold"),
+        F.col("threshold").alias("_threshold"), F.col("repeats").alias("_repeats"),
     )
     away, back = set_aside(docs, into)
     keyed = docs.select(
@@ -332,7 +346,10 @@ def judged(
         F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("_lang"),
         F.md5(F.encode(whole(text), "UTF-8")).alias("_digest"),
     )
-    keep = F.coalesce(F.col("_perplexity") <= F.col("_threshold"), F.lit(True))
+    keep = F.coalesce(F.col("_perplexity") <= F.col("_threshold"), F.lit(True)) & ~F.col("_repeats")
     return keyed.join(verdicts, ["_lang", "_digest"]).select(
-        *back, F.struct(F.col("_perplexity").alias("perplexity"), F.col("_threshold").alias("threshold"), keep.alias("keep")).alias(into)
-    )
+        *back, F.struct(
+            F.col("_perplexity").alias("perplexity"), F.col("_threshold").alias("threshold"), F.col("_repeats").alias("repeats"),
+            keep.alias("keep"),
+        ).alias(into)
+    )

@@ -119,3 +119,13 @@ def test_labelled_documents(spark, sf_dir):
     both = pd.merge(rows, labels, on="doc_id")
     good, bad = both[both.quality == 1], both[both.quality == 0]
     assert good.keep.mean() >= 0.98 and (len(bad) == 0 or bad.keep.mean() <= 0.5)  # words repeated on and on look like the language
+
+
+def test_words_repeated_on_and_on(spark, sf_dir):
+    prose = "The ship sails over a quiet sea, and turns again. Some say it never came home from there; who knows? "
+    texts = [prose + "are. " * 40, "Ed " * 300, "one of " * 20, prose * 5, "12 15 17 18 19 20 21 22 23 24", "no no no", "", prose]
+    assert [lm.repeats(t) for t in texts] == [True] * 3 + [False] * 5
+    rows = QUERIES["op2_quality_classifier"](spark, sf_dir).toPandas()
+    both = pd.merge(rows, spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas(), on="doc_id")
+    good, bad = both[both.quality == 1], both[both.quality == 0]
+    assert len(bad) and good.keep.mean() >= 0.98 and bad.keep.mean() <= 0.05
