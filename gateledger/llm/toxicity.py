@@ -6,6 +6,8 @@ a second person, and rates of capitals, punctuation and obfuscated words. Trees
 rows but a quarter of them, by which their scores are calibrated.
 
 Only the model learns from a sample, of at most SAMPLE rows of each label; every text is scored whole.
+A sampled row stands for as many rows of its label as there are for each in the sample, in the trees and
+in the calibration, so that a score is a share of all rows however large the table is.
 """
 
 from __future__ import annotations
@@ -129,7 +131,7 @@ def part(doc_id: str) -> Column:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    """label, text and a number (share) of the rows that may be learned from, SAMPLE per label at most.
+    """label, text, a number (share) and the weight of the rows that may be learned from, SAMPLE per label at most.
 
     The sampled ids, 2 * SAMPLE at most, are what is broadcast.
     """
@@ -137,7 +139,9 @@ def learning_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, la
     usable = usable.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     mixed = F.xxhash64("id", F.lit(9))
     some = [usable.filter(F.col("label") == v).orderBy(mixed, "id").limit(SAMPLE) for v in (0, 1)]
-    chosen = some[0].union(some[1]).select("id", "label", F.pmod(mixed, F.lit(8)).alias("share"))
+    total = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    weight = F.when(F.col("label") == 1, max(1.0, total.get(1, 0) / SAMPLE)).otherwise(max(1.0, total.get(0, 0) / SAMPLE))
+    chosen = some[0].union(some[1]).select("id", "label", F.pmod(mixed, F.lit(8)).alias("share"), weight.alias("weight"))
     texts = docs.select(F.col(doc_id).alias("id"), whole(text).alias("text"))
     return cut(texts.join(F.broadcast(cut(chosen)), "id"))
 
@@ -157,13 +161,15 @@ def scored(
     if there != {0, 1}:
         return found.withColumn(into, F.struct(F.col("_held").alias("held_out"), F.lit(1.0 if 1 in there else 0.0).alias("score"))).drop("_held")
     of = features(learned_lexicon(rows.filter("share < 4")))
-    known = cut(rows.filter("share >= 4").select("label", "share", of("text").alias("values")).coalesce(8))
+    known = cut(rows.filter("share >= 4").select("label", "share", "weight", of("text").alias("values")).coalesce(8))
     if known.select("label").distinct().count() < 2 or known.filter("share >= 6").select("label").distinct().count() < 2:
-        known = cut(rows.select("label", F.lit(7).alias("share"), of("text").alias("values")).coalesce(8))  # too few rows to part
+        known = cut(rows.select("label", F.lit(7).alias("share"), "weight", of("text").alias("values")).coalesce(8))  # too few rows to part
     known = known.withColumn("features", array_to_vector("values"))
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, labelCol="label", seed=5).fit(known)
-    raw = trees.transform(known.filter("share >= 6")).select(vector_to_array("probability")[1].alias("raw"), F.col("label").cast("double").alias("label"))
-    level = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, labelCol="label", weightCol="weight", seed=5).fit(known)
+    raw = trees.transform(known.filter("share >= 6")).select(
+        vector_to_array("probability")[1].alias("raw"), F.col("label").cast("double").alias("label"), "weight"
+    )
+    level = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="score").fit(raw)
     named = found.withColumns({"_values": of(whole(text))}).withColumn("_features", array_to_vector("_values"))
     trees = trees.setFeaturesCol("_features").setPredictionCol("_p").setProbabilityCol("_probability").setRawPredictionCol("_margin")
     named = trees.transform(named).withColumn("_raw", vector_to_array("_probability")[1])

@@ -60,3 +60,18 @@ def test_features_of_odd_texts():
     assert of("") == [0.0] * len(toxicity.FEATURES)
     one = dict(zip(toxicity.FEATURES, of("you VERMIN and v3rmin, grotbag!!")))
     assert one["kinds"] == 3 and one["strength"] == 2.0 and one["near_you"] > 0 and one["exclaims"] > 0
+
+
+def test_scores_of_a_sample_are_those_of_all_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["tree", "house", "river", "stone", "you", "walk", "green", "paper"]
+    rows, doubtful = [], "you walk grotbag tree river"  # toxic in 180 of 480 cases
+    for i in range(6000):
+        text = " ".join(rng.choices(words, k=5))
+        rows.append((i, doubtful, int(i < 180)) if i < 480 else (i, f"{text} vermin snivel", 1) if i < 1020 else (i, text, 0))
+    labels = [(i, 1, t) for i, _, t in rows]
+    whole = run(spark, rows, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE", 600)  # about all toxic rows, one in seven of the others
+    part = run(spark, rows, labels)
+    assert 0.25 < whole[0].score < 0.5 and abs(part[0].score - whole[0].score) < 0.15 and part[0].score < 0.5
+    assert part[600].score > 0.9 and part[2000].score < 0.1
