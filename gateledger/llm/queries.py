@@ -11,7 +11,7 @@ from types import ModuleType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gateledger.llm import bpe, lm, mixing, pii, simhash, sketches, substrings, tokens, topk, toxicity
+from gateledger.llm import bpe, infill, lm, mixing, pieces, pii, resampling, simhash, sketches, substrings, tokens, topk, toxicity
 from gateledger.llm.tables import read
 from gateledger.operators.scan import ensure_checkpoint_dir
 
@@ -149,3 +149,55 @@ def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every text loses to strings of 100 bytes that started earlier."""
     found = substrings.repeated(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query()
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every text towards the benchmark texts, and the twentieth part that is drawn."""
+    found = resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query()
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the merge vocabulary, and the text back from them, as digests."""
+    vocabulary = pieces.Vocabulary.load(public_tokenizers().path("piece_bpe_32k.model"))
+    coded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "tokens")
+    return pieces.decode(coded, vocabulary).select(
+        "doc_id",
+        pieces.n_tokens().alias("n_tokens"),
+        F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+INFILL_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256(concat('1:', doc_id)) AS x FROM documents
+), h AS (
+  SELECT doc_id, text, n, ('0x' || substr(x, 1, 8))::BIGINT % (n + 1) AS r1, ('0x' || substr(x, 9, 8))::BIGINT % (n + 1) AS r2,
+    ('0x' || substr(x, 17, 8))::BIGINT % 100 AS r3, ('0x' || substr(x, 25, 8))::BIGINT % 100 AS r4 FROM d
+), f AS (
+  SELECT doc_id, text, n, least(r1, r2) AS a, greatest(r1, r2) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r3 >= 90 THEN 'plain'
+      WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT doc_id, text, n, form, a, b, substr(text, 1, a) AS pre, substr(text, a + 1, b - a) AS mid, substr(text, b + 1) AS suf FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+
+@query(INFILL_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut in three and put together anew, and the text back from it, as digests."""
+    found = infill.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "infill.*")
+    text = infill.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"),
+        F.sha2(F.encode(text, "UTF-8"), 256).alias("restored_sha256"),
+    )
