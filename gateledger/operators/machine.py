@@ -16,13 +16,17 @@ too many events for one task take the bucketed plan of :mod:`gateledger.operator
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gateledger.functions.text import decisions_hash
 from gateledger.operators.filters import ROUTES, classify_prs, is_explanation
 from gateledger.operators.quota import DAILY_GLOBAL, DAILY_PER_INSTALL, quota_replay
-from gateledger.operators.scan import HOT_ROWS, Running, cut, hot_keys, hour_of, run_split, running, split_hot
+from gateledger.operators.scan import (
+    HOT_ROWS, Running, cut, hot_keys, hour_of, join_null_safe, run_split, running, split_hot,
+)
 from gateledger.operators.windows import PR
 
 ORDER = ["ts", "delivery_id"]
@@ -210,26 +214,56 @@ def replay_gates(
     """``gate_machine`` under the daily limits.
 
     Limits depend on which events open gates and gates depend on the limits, but each event only
-    on earlier ones: repeating both until the labels stop changing gives the one consistent
-    history, and every repetition settles at least the earliest unsettled event.
+    on earlier ones. So a first pass without limits is corrected forward: everything before the
+    earliest label that changed is settled, pull requests without events after it are set aside,
+    and the next round replays only those with a changed label and tests only the offers that are
+    not settled, against the gates admitted in the window before them. Texts, decisions and grades stay
+    out of the rounds and are joined once at the end. The number of rounds follows the longest time
+    for which the limits bind without a pause, not the length of the history.
     """
-    rows = cut(relevant_events(events.drop("capped")))
-    hot = hot_keys(rows, PR, hot_rows)
-    labels: DataFrame | None = None
+    wide = cut(relevant_events(events.drop("capped")).drop("capped"))
+    grade = F.when(F.col("grade").isNotNull(), F.struct("grade.pass", "grade.ungraded")).alias("grade")
+    narrow = wide.select(
+        "delivery_id", "ts", "installation_id", *PR, "step", "head_sha", "decisions_hash", "trivial", grade
+    )
+    hot = hot_keys(narrow, PR, hot_rows)
+    unlimited = narrow.withColumn("capped", F.lit(None).cast("string"))
+    moves, settled = cut(run_split(unlimited, PR, hot, _machine_by_heat)), []
+    since = None
     while True:
-        labelled = rows if labels is None else rows.drop("capped").join(labels, "delivery_id", "left")
-        moves = cut(run_split(labelled, PR, hot, _machine_by_heat))
-        offers = moves.filter(F.col("outcome").isin("gated", "carried", "capped")).select(
-            F.col("delivery_id").alias("id"),
-            "installation_id",
-            F.col("ts").alias("created_at"),
-            (~F.col("carries")).alias("counts"),
-            F.col("capped").alias("__was"),
-        )
-        found = cut(quota_replay(offers, per_install, limit, hours))
-        if found.filter(~F.col("capped").eqNullSafe(F.col("__was"))).isEmpty():
-            return moves
-        labels = found.select(F.col("id").alias("delivery_id"), "capped")
+        all_moves = reduce(DataFrame.unionByName, settled, moves)
+        offers = _offers(all_moves, since, hours)
+        open_ = F.lit(True) if since is None else F.col("created_at") >= since
+        found = cut(quota_replay(offers, per_install, limit, hours).filter(open_))
+        changed = found.filter(~F.col("capped").eqNullSafe(F.col("__was")))
+        first = changed.agg(F.min("created_at")).head()[0]
+        if first is None:
+            break
+        since = F.lit(first)
+        over = cut(moves.groupBy(*PR).agg(F.max("ts").alias("last")).filter(F.col("last") < since).select(*PR))
+        settled.append(join_null_safe(moves, over, PR, "left_semi"))
+        live = join_null_safe(moves, over, PR, "left_anti")
+        again = changed.select(*PR).distinct()
+        redo = join_null_safe(live, again, PR, "left_semi").withColumnRenamed("capped", "__old")
+        labels = found.select(F.col("id").alias("delivery_id"), F.col("capped").alias("__label"), F.lit(True).alias("__tested"))
+        label = F.when(F.col("__tested"), F.col("__label")).otherwise(F.col("__old"))
+        labelled = redo.join(labels, "delivery_id", "left").withColumn("capped", label).select(unlimited.columns)
+        replayed = run_split(labelled, PR, hot, _machine_by_heat)
+        moves = cut(join_null_safe(live, again, PR, "left_anti").unionByName(replayed))
+    result = all_moves.select("delivery_id", "capped", "carries", "outcome", "gate_id")
+    return wide.join(result, "delivery_id")
+
+
+def _offers(moves: DataFrame, since: Column | None, hours: int) -> DataFrame:
+    """What the limits are tested on: all offers from ``since`` on, and before it the gates of one window."""
+    offers = moves.filter(F.col("outcome").isin("gated", "carried", "capped")).select(
+        F.col("delivery_id").alias("id"), *PR, "installation_id", F.col("ts").alias("created_at"),
+        (~F.col("carries")).alias("counts"), F.col("capped").alias("__was"),
+    )
+    if since is None:
+        return offers
+    admitted = F.col("counts") & F.col("__was").isNull() & (F.col("created_at") >= since - F.make_dt_interval(hours=F.lit(hours)))
+    return offers.filter((F.col("created_at") >= since) | admitted)
 
 
 def gates_of(transitions: DataFrame, rigor: str = "medium") -> DataFrame:

@@ -4,36 +4,34 @@ An offer is refused when the gates admitted in the trailing window (a gate exact
 the window still counts) have reached the limit, over all installations first, then for its
 own. Refused offers do not count, so this is a recurrence and no window over offers gives it.
 
-Up to ``ONE_TASK_ROWS`` narrow rows are replayed in one task. Beyond that the history is
-replayed one window length at a time, and only rows that can matter reach the replay:
-
-* A gate admitted inside a round leaves the window after the round ends, so within a round
-  capacity is only freed by the gates carried in, of which there are at most ``limit``.
-  Their expiries cut the round into at most ``limit + 1`` intervals.
-* Within an interval capacity only shrinks, so an installation's admitted offers are its first
-  ones: the first ``per_install`` rows of (installation, interval) are enough.
-* At most ``limit / per_install`` installations can be full at once, so at most ``limit`` of
-  those rows are refused before ``limit`` are admitted: the first ``2 * limit`` rows of an
-  interval are enough.
-
-The replay marks the place from which an interval is full, for everyone and per installation,
-and the marks label all rows of the round with a join on the interval.
+But admitted gates are never more than offered ones. Where the offers of the trailing window
+stay below a limit it cannot be reached, and such an offer is admitted whatever came before. Offers
+are counted by installation and hour, and these counts cut the history:
+
+* An hour is *crowded* for an installation, or *busy* for all, if the offers of the hour and of the
+  window before it could reach the limit. All other offers are admitted at once.
+* Crowded hours of an installation that are no more than a window apart form a chain, busy hours
+  a storm. A chain within a window of a storm belongs to it, and joins all storms it touches.
+* Chains by themselves and storms with their chains are independent recurrences. Each is replayed
+  with the offers of the window before it, streamed in order through one task that holds
+  no more than the admitted gates of one window and steps over refused stretches at once.
+
+Installations that stay under their limit never reach a replay, and a storm costs the others nothing.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+from bisect import bisect_right
 from collections import Counter, deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gateledger.operators.scan import cut, ensure_checkpoint_dir, first_rows
+from gateledger.operators.scan import cut
 
-ONE_TASK_ROWS = 1_000_000
 HOUR_US = 3_600_000_000
 
 # The limits the reference service starts with.
@@ -42,11 +40,7 @@ DAILY_GLOBAL = 500
 
 
 def quota_replay(
-    offers: DataFrame,
-    per_install: int = DAILY_PER_INSTALL,
-    limit: int = DAILY_GLOBAL,
-    hours: int = 24,
-    one_task_rows: int = ONE_TASK_ROWS,
+    offers: DataFrame, per_install: int = DAILY_PER_INSTALL, limit: int = DAILY_GLOBAL, hours: int = 24
 ) -> DataFrame:
     """Add ``capped`` to offers (id, installation_id, created_at, ...): ``global``, ``install`` or null.
 
@@ -55,21 +49,80 @@ def quota_replay(
     installation is never refused and, having no stored parent, adds no counted gate.
     """
     known = offers.filter(F.col("installation_id").isNotNull())
-    counts = F.col("counts") if "counts" in offers.columns else F.lit(True)
-    narrow = known.select(
-        "id", "installation_id", F.unix_micros("created_at").alias("at"), counts.alias("counts")
-    )
     if limit <= 0 or per_install <= 0:
         label = F.lit("global" if limit <= 0 else "install")
         return offers.withColumn("capped", F.when(F.col("installation_id").isNotNull(), label))
-    span = hours * HOUR_US
-    if narrow.count() <= one_task_rows:
-        labels = _in_one_task(narrow, per_install, limit, span)
-    else:
-        labels = _in_rounds(narrow, per_install, limit, span)
+    at = F.unix_micros("created_at")
+    counts = F.col("counts") if "counts" in offers.columns else F.lit(True)
+    rows = cut(
+        known.select("id", "installation_id", at.alias("at"), F.floor(at / HOUR_US).alias("hour"), counts.alias("counts"))
+    )
+    placed = rows.join(stretches(rows, per_install, limit, hours), ["installation_id", "hour"])
+    ordered = placed.repartition("stretch").sortWithinPartitions("stretch", "at", "id")
+    labels = ordered.select("stretch", "alone", "at", "id", "installation_id", "counts", "open").mapInArrow(
+        lambda batches: _replay(batches, per_install, limit, hours * HOUR_US), "id string, capped string"
+    )
     return offers.join(labels, "id", "left")
 
 
+def stretches(rows: DataFrame, per_install: int, limit: int, hours: int) -> DataFrame:
+    """installation_id, hour, stretch, alone, open: the recurrences that the offers of an hour take part in.
+
+    ``open`` marks hours whose offers the recurrence decides, the others only lead up to it. ``alone``
+    marks the chain of a single installation. ``rows``: installation_id, hour, counts.
+    """
+    n, tested = F.sum(F.col("counts").cast("int")).alias("n"), F.max((~F.col("counts")).cast("int")).alias("tested")
+    own = rows.groupBy("installation_id", "hour").agg(n, tested)
+    trailing = Window.partitionBy("installation_id").orderBy("hour").rangeBetween(-hours, 0)
+    own = cut(own.withColumn("crowded", F.sum("n").over(trailing) + F.col("tested") > per_install))
+
+    # One row an hour of history from here on, however many installations there are.
+    by_hour = own.groupBy("hour").agg(F.sum("n").alias("n"), F.max("tested").alias("tested"))
+    felt = by_hour.select(F.explode(F.sequence("hour", F.col("hour") + hours)).alias("hour"), "n")
+    felt = felt.groupBy("hour").agg(F.sum("n").alias("felt"))
+    busy = by_hour.join(felt, "hour").filter(F.col("felt") + F.col("tested") > limit).select("hour")
+    storms = _chained(busy, [], hours).groupBy("chain").agg(F.min("hour").alias("first"), F.max("hour").alias("last"))
+    storms = cut(storms.withColumnRenamed("chain", "storm"))
+    near = storms.select("storm", F.explode(F.sequence(F.col("first") - hours, F.col("last") + hours)).alias("hour"))
+
+    key = ["installation_id", "chain"]
+    crowded = _chained(own.filter("crowded").select("installation_id", "hour"), ["installation_id"], hours)
+    chains = crowded.groupBy(*key).agg(F.min("hour").alias("first"), F.max("hour").alias("last"))
+    touched = crowded.join(near, "hour").groupBy(*key).agg(F.min("storm").alias("storm"), F.max("storm").alias("until"))
+    chains = cut(chains.join(touched, key, "left"))
+
+    # A chain joins all storms from the first to the last it touches.
+    reach = chains.filter("storm IS NOT NULL").groupBy("storm").agg(F.max("until").alias("until"))
+    before = Window.orderBy("storm").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("storm").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    linked = storms.join(reach, "storm", "left").withColumn("until", F.coalesce("until", "storm"))
+    linked = linked.withColumn("begins", F.coalesce(F.col("storm") > F.max("until").over(before), F.lit(True)))
+    named = linked.withColumn("stretch", F.concat(F.lit("all:"), F.sum(F.col("begins").cast("int")).over(upto)))
+    named = cut(named.select("storm", "stretch", "first", "last"))
+
+    def led_up(first: str, last: str):
+        return F.explode(F.sequence(F.col(first) - hours, F.col(last))).alias("hour")
+
+    everyone = named.select("stretch", led_up("first", "last")).distinct().join(own.select("installation_id", "hour"), "hour")
+    alone = F.concat_ws(":", F.lit("own"), "installation_id", "chain")
+    some = chains.join(named.select("storm", "stretch"), "storm", "left").select(
+        "installation_id", F.coalesce("stretch", alone).alias("stretch"), led_up("first", "last")
+    )
+    taking_part = everyone.select("installation_id", "hour", "stretch").union(some.select("installation_id", "hour", "stretch"))
+    flags = own.join(busy.withColumn("busy", F.lit(True)), "hour", "left").select(
+        "installation_id", "hour", (F.col("crowded") | F.coalesce("busy", F.lit(False))).alias("open")
+    )
+    is_alone = F.col("stretch").startswith("own:").alias("alone")
+    return taking_part.distinct().join(flags, ["installation_id", "hour"]).select("*", is_alone)
+
+
+def _chained(hours_of: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Add ``chain``: the number of the run of hours, each at most ``gap`` after the one before."""
+    w = Window.partitionBy(*keys).orderBy("hour")
+    starts = F.coalesce(F.col("hour") - F.lag("hour").over(w) > gap, F.lit(True)).cast("int")
+    return hours_of.withColumn("chain", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
 class Meter:
     """Gates still inside the window, over all and per installation."""
 
@@ -80,7 +133,10 @@ class Meter:
 
     def advance(self, now: int) -> None:
         while self.window and self.window[0][0] < now - self.span:
-            self.per_install[self.window.popleft()[1]] -= 1
+            gone = self.window.popleft()[1]
+            self.per_install[gone] -= 1
+            if not self.per_install[gone]:
+                del self.per_install[gone]
 
     def refuse(self, install: int, per_install: int, limit: int) -> str | None:
         if len(self.window) >= limit:
@@ -91,104 +147,38 @@ class Meter:
         self.window.append((now, install))
         self.per_install[install] += 1
 
-
-def _in_one_task(rows: DataFrame, per_install: int, limit: int, span: int) -> DataFrame:
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        meter, labels = Meter(span), []
-        for at, install, counts in zip(pdf["at"], pdf["installation_id"], pdf["counts"], strict=True):
-            meter.advance(at)
-            labels.append(meter.refuse(install, per_install, limit))
-            if labels[-1] is None and counts:
-                meter.admit(at, install)
-        return pd.DataFrame({"id": pdf["id"], "capped": labels}, dtype=object)
-
-    return rows.groupBy(F.lit(0).alias("all")).applyInPandas(replay, "id string, capped string")
-
-
-def _in_rounds(rows: DataFrame, per_install: int, limit: int, span: int) -> DataFrame:
-    spark = rows.sparkSession
-    folder = os.path.join(ensure_checkpoint_dir(spark), f"quota-{uuid.uuid4().hex}")
-    start = rows.agg(F.min("at")).first()[0]
-    staged = rows.withColumn("round", F.floor((F.col("at") - start) / span))
-    staged.write.partitionBy("round").parquet(f"{folder}/offers")
-    offers = spark.read.parquet(f"{folder}/offers")
-    rounds = sorted(r["round"] for r in offers.select("round").distinct().collect())
-
-    carried: list[tuple[int, int]] = []  # gates of the window before the round, at most `limit`
-    for number in rounds:
-        begin = start + number * span
-        carried = [(at, i) for at, i in carried if at >= begin - span]
-        part = offers.filter(F.col("round") == number).drop("round")
-        carried = _one_round(part, carried, begin, per_install, limit, span, f"{folder}/labels/round={number}")
-    return spark.read.parquet(f"{folder}/labels").drop("round")
-
-
-def _one_round(
-    rows: DataFrame,
-    carried: list[tuple[int, int]],
-    begin: int,
-    per_install: int,
-    limit: int,
-    span: int,
-    target: str,
-) -> list[tuple[int, int]]:
-    """Label one round into ``target``; returns the gates it admits (at most ``2 * limit``)."""
-    spark = rows.sparkSession
-    edges = [begin - 1, *sorted({at + span for at, _ in carried if begin <= at + span < begin + span - 1}), begin + span - 1]
-    intervals = list(zip(range(len(edges) - 1), edges, edges[1:], strict=False))  # rows in (low, high]
-    by_hour = [
-        (n, low, high, hour)
-        for n, low, high in intervals
-        for hour in range((low + 1) // HOUR_US, high // HOUR_US + 1)
-    ]
-    spans = spark.createDataFrame(by_hour, "interval int, low bigint, high bigint, hour bigint")
-    placed = rows.withColumn("hour", F.floor(F.col("at") / HOUR_US)).join(spans, "hour")
-    placed = placed.filter("at > low AND at <= high").drop("hour", "low", "high")
-
-    order = ["at", "id"]
-    own = first_rows(placed.filter("counts"), ["installation_id", "interval"], order, per_install)
-    matter = first_rows(own, ["interval"], order, 2 * limit)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        meter = Meter(span, sorted(carried))
-        per_interval = dict(tuple(pdf.sort_values(order).groupby("interval")))
-        out = []  # (what, interval, installation, at, id)
-        for n, low, _high in intervals:
-            meter.advance(low + 1)
-            if len(meter.window) >= limit:
-                out.append(("global", n, None, low, ""))
-            out += [("install", n, i, low, "") for i, c in meter.per_install.items() if c >= per_install]
-            if n not in per_interval:
+    def full_until(self) -> int:
+        """The last instant at which the oldest gate still counts."""
+        return self.window[0][0] + self.span
+
+
+def _replay(batches: Iterator[pa.RecordBatch], per_install: int, limit: int, span: int) -> Iterator[pa.RecordBatch]:
+    """Labels of the open offers of each stretch; rows come sorted by stretch, time and id."""
+    meter, current = Meter(span), None
+    for batch in batches:
+        names = batch.column("stretch").to_pylist()
+        at = batch.column("at").to_numpy()
+        installs, counts = batch.column("installation_id").to_pylist(), batch.column("counts").to_pylist()
+        alone = batch.column("alone").to_pylist()
+        labels: list[str | None] = [None] * len(names)
+        i = end = 0
+        while i < len(names):
+            if names[i] != current:
+                meter, current = Meter(span), names[i]
+            if i >= end:
+                end = bisect_right(names, current, i)
+            now = int(at[i])
+            meter.advance(now)
+            most = per_install if alone[i] else limit
+            if len(meter.window) >= most:
+                upto = i + int(np.searchsorted(at[i:end], meter.full_until(), side="right"))
+                labels[i:upto] = ["install" if alone[i] else "global"] * (upto - i)
+                i = upto
                 continue
-            group = per_interval[n]
-            for at, row_id, install in zip(group["at"], group["id"], group["installation_id"], strict=True):
-                if meter.refuse(install, per_install, limit) is None:
-                    meter.admit(at, install)
-                    out.append(("admitted", n, install, at, row_id))
-                    if len(meter.window) >= limit:
-                        out.append(("global", n, None, at, row_id))
-                    if meter.per_install[install] >= per_install:
-                        out.append(("install", n, install, at, row_id))
-        frame = pd.DataFrame(out, columns=["what", "interval", "installation_id", "at", "id"])
-        return frame.astype({"installation_id": "Int64"})
-
-    marks = cut(
-        matter.groupBy(F.lit(0).alias("all")).applyInPandas(
-            replay, "what string, interval int, installation_id bigint, at bigint, id string"
-        )
-    )
-    place = F.struct("at", "id")
-    full = marks.filter("what = 'global'").select("interval", place.alias("full"))
-    own_full = marks.filter("what = 'install'").select("interval", "installation_id", place.alias("own_full"))
-    labelled = placed.join(full, "interval", "left").join(
-        own_full, ["interval", "installation_id"], "left"
-    )
-    labelled.select(
-        "id",
-        F.when(F.struct("at", "id") > F.col("full"), F.lit("global"))
-        .when(F.struct("at", "id") > F.col("own_full"), F.lit("install"))
-        .alias("capped"),
-    ).write.mode("overwrite").parquet(target)
-    admitted = marks.filter("what = 'admitted'").select("at", "installation_id").collect()
-    return carried + [(r["at"], r["installation_id"]) for r in admitted]
+            labels[i] = meter.refuse(installs[i], per_install, limit)
+            if labels[i] is None and counts[i]:
+                meter.admit(now, installs[i])
+            i += 1
+        kept = batch.column("open")
+        out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(labels, pa.string())], names=["id", "capped"])
+        yield out.filter(kept)

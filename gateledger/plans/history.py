@@ -11,6 +11,7 @@ from gateledger.plans import standins
 from gateledger.plans.registry import Source, fresh_folder, query, us
 from gateledger.plans.sql import GATES, PR_EVENTS
 from gateledger.plans.sql import machine as machine_sql
+from gateledger.plans.sql import relevant as relevant_sql
 from gateledger.plans.stored import pushes
 from gateledger.streaming import jobs
 from gateledger.streaming.machine import live_gate_machine as live_machine
@@ -187,7 +188,46 @@ def quota_replay(s: Source):
     return quota.quota_replay(s.gates, PER_INSTALL, ALL).select("id", "capped")
 
 
-@query()
+# Machine and limits together, event by event: a fold whose state holds every pull request (k), the
+# window of admitted gates (w) and the results so far (o).
+PR_STATE = "STRUCT(k VARCHAR, head VARCHAR, dhash VARCHAR, gate VARCHAR, passed BOOLEAN, pending VARCHAR[])"
+RESULT = "STRUCT(id VARCHAR, outcome VARCHAR, gate VARCHAR, carries BOOLEAN, capped VARCHAR)"
+NOTHING = f"'p': CAST([] AS {PR_STATE}[]), 'w': CAST([] AS STRUCT(t BIGINT, i BIGINT)[]), 'o': CAST([] AS {RESULT}[])"
+LIMITED = f"""ev AS (SELECT {{'id': delivery_id, 't': epoch_us(ts), 'i': CAST(installation_id AS BIGINT), 'k': repo_id || ':' || pr_number, 'step': step,
+    'head': head_sha, 'dhash': dhash, 'trivial': trivial AND step <> 'explained', 'graded': graded, 'ungraded': g_ungraded, 'passes': g_pass, {NOTHING}}} AS e,
+    ts, delivery_id FROM relevant),
+folded AS (SELECT list_reduce(list(e ORDER BY ts, delivery_id), lambda a, x:
+  list_transform([{{'pr': list_filter(a.p, lambda v: v.k = x.k)[1], 'w': list_filter(a.w, lambda v: v.t >= x.t - 86400000000)}}], lambda b:
+  list_transform([{{'dup': x.step = 'opened' AND coalesce(b.pr.head = x.head, false),
+    'carries': x.step = 'pushed' AND coalesce(b.pr.passed AND b.pr.dhash = x.dhash, false)}}], lambda c:
+  list_transform([CASE WHEN x.step <> 'explained' AND NOT c.dup AND NOT x.trivial THEN
+    CASE WHEN len(b.w) >= {ALL} THEN 'global' WHEN len(list_filter(b.w, lambda v: v.i = x.i)) >= {PER_INSTALL} THEN 'install' END END], lambda cap:
+  list_transform([CASE WHEN c.dup THEN 'duplicate' WHEN x.trivial THEN 'trivial' WHEN cap IS NOT NULL THEN 'capped' WHEN c.carries THEN 'carried'
+    WHEN x.step <> 'explained' THEN 'gated' WHEN coalesce(len(b.pr.pending), 0) = 0 THEN 'ignored' WHEN NOT x.graded THEN 'requested'
+    WHEN x.ungraded THEN 'ungraded' WHEN x.passes THEN 'passed' ELSE 'failed' END], lambda o:
+  list_transform([CASE WHEN o = 'gated' THEN substr(sha256(x.k || ':' || x.id), 1, 32) WHEN o = 'carried' THEN b.pr.gate
+    WHEN o IN ('requested', 'ungraded', 'passed', 'failed') THEN b.pr.pending[-1] END], lambda g:
+    {{'id': x.id, 't': x.t, 'i': x.i, 'k': x.k, 'step': x.step, 'head': x.head, 'dhash': x.dhash, 'trivial': x.trivial, 'graded': x.graded,
+      'ungraded': x.ungraded, 'passes': x.passes,
+      'p': CASE o WHEN 'gated' THEN list_append(list_filter(a.p, lambda v: v.k <> x.k), {{'k': x.k, 'head': x.head, 'dhash': x.dhash, 'gate': g,
+          'passed': false, 'pending': list_append(coalesce(b.pr.pending, CAST([] AS VARCHAR[])), g)}})
+        WHEN 'carried' THEN list_append(list_filter(a.p, lambda v: v.k <> x.k), {{'k': x.k, 'head': x.head, 'dhash': b.pr.dhash, 'gate': b.pr.gate,
+          'passed': b.pr.passed, 'pending': b.pr.pending}})
+        WHEN 'passed' THEN list_append(list_filter(a.p, lambda v: v.k <> x.k), {{'k': x.k, 'head': b.pr.head, 'dhash': b.pr.dhash, 'gate': b.pr.gate,
+          'passed': b.pr.passed OR g = b.pr.gate, 'pending': b.pr.pending[:-2]}})
+        ELSE a.p END,
+      'w': CASE WHEN o = 'gated' THEN list_append(b.w, {{'t': x.t, 'i': x.i}}) ELSE b.w END,
+      'o': list_append(a.o, {{'id': x.id, 'outcome': o, 'gate': g, 'carries': c.carries, 'capped': CASE WHEN o = 'capped' THEN cap END}})}})[1])[1])[1])[1])[1],
+  {{'id': '', 't': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT), 'k': '', 'step': '', 'head': '', 'dhash': '', 'trivial': false, 'graded': false,
+    'ungraded': false, 'passes': false, {NOTHING}}}) AS f FROM ev),
+limited AS (SELECT unnest(f.o, recursive := true) FROM folded)"""
+
+
+@query(
+    """SELECT delivery_id, outcome, gate AS gate_id, carries, limited.capped, CASE WHEN step <> 'explained' THEN reason END AS reason, head_sha, epoch_us(ts) AS ts_us
+    FROM limited JOIN relevant ON delivery_id = id""",
+    (PR_EVENTS, relevant_sql(), LIMITED),
+)
 def replay_gates(s: Source):
     return _outcomes(machine.replay_gates(s.pr_events, PER_INSTALL, ALL))
 

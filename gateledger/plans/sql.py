@@ -85,11 +85,8 @@ classified AS (
   FROM counted)"""
 
 
-def machine(source: str = "pr_events", capped: str = "CAST(NULL AS VARCHAR)") -> str:
-    """``moves``: one transition per relevant event, by plain windows."""
-    pr = "PARTITION BY repo_id, pr_number ORDER BY ts, delivery_id"
-    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+def relevant(source: str = "pr_events", capped: str = "CAST(NULL AS VARCHAR)") -> str:
+    """``relevant``: the classified events that the machine takes, with their step."""
     return f"""{classified(source)},
 relevant AS (
   SELECT *, {capped} AS capped,
@@ -98,7 +95,15 @@ relevant AS (
   FROM classified
   WHERE (kind = 'pull_request' AND NOT coalesce(draft, false))
     OR (kind = 'comment' AND is_pr AND user_type IS DISTINCT FROM 'Bot'
-      AND author_association IN ('OWNER', 'MEMBER', 'COLLABORATOR') AND length({TRIM.format("body")}) >= 40)),
+      AND author_association IN ('OWNER', 'MEMBER', 'COLLABORATOR') AND length({TRIM.format("body")}) >= 40))"""
+
+
+def machine(source: str = "pr_events", capped: str = "CAST(NULL AS VARCHAR)") -> str:
+    """``moves``: one transition per relevant event, by plain windows."""
+    pr = "PARTITION BY repo_id, pr_number ORDER BY ts, delivery_id"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    return f"""{relevant(source, capped)},
 m1 AS (SELECT *, step <> 'explained' AND NOT trivial AND capped IS NULL AS stateful FROM relevant),
 m2 AS (SELECT *, step = 'opened' AND coalesce(last_value(CASE WHEN stateful THEN head_sha END IGNORE NULLS) OVER ({pr} {before}) = head_sha, false) AS dup FROM m1),
 m3 AS (SELECT *, stateful AND NOT dup AS effective, step = 'explained' AND graded AND NOT g_ungraded AND g_pass AS passes FROM m2),
