@@ -2,16 +2,22 @@
 
 Encoding follows the vocabulary's merges: an agenda holds the adjacent pairs of symbols that together
 are a piece, highest score first, the leftmost of equal ones; the best pair becomes one symbol and its
-new neighbours enter the agenda. What is left without a piece is spelled in byte pieces. Every Arrow
-batch is checked against the sentencepiece library; a text that comes out otherwise is an error.
+new neighbours enter the agenda. What is left without a piece is spelled in byte pieces.
+
+Where no piece of the vocabulary has a space after another sign, merges never cross the place before a
+space, so a text is cut there and a task merges each distinct stretch once. The new stretches of every
+Arrow batch are checked against the sentencepiece library; one that comes out otherwise is an error.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +27,14 @@ from pyspark.sql import types as T
 
 from gateledger.llm.tables import whole
 
-SPACE = "▁"  # how a vocabulary writes a space
+SPACE = "\u2581"  # how a vocabulary writes a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 BPE = 2  # the model type of merge vocabularies
-MEMO = 300_000  # distinct stretches a task remembers before it starts afresh
-LONG = 256  # characters beyond which a stretch is not remembered
-CHECK_CHARS = 1 << 20  # characters that go to the library at once
+MEMO_CHARS = 3_000_000  # characters of the distinct stretches a task remembers before it starts afresh
+SHORT = 40  # characters up to which stretches are merged side by side, longer ones each by a heap
+NONE = (1 << 31) - 1  # the rank of what is no piece
+UNKNOWN_SIGN, PAD = -1, -2  # symbols of a character that is no piece, and of no character
+CHECK_CHARS = 1 << 21  # characters that are worked on and go to the library at once
 REPLACEMENT = "�".encode()
 
 
@@ -93,6 +101,13 @@ class Vocabulary:
         if len(self.bytes) < 256:
             raise ValueError("only vocabularies with all byte pieces are known")
         self.begin, self.end = trainer.get(41, 1), trainer.get(42, 2)
+        by_score = {score: k for k, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        self.ranks: dict[tuple[int, int], int] = {}  # of pairs of pieces that together are one, the best score first
+        self.merged: dict[tuple[int, int], int] = {}
+        for piece, id_ in self.ids.items():
+            for k in range(1, len(piece)):
+                if (left := self.ids.get(piece[:k])) is not None and (right := self.ids.get(piece[k:])) is not None:
+                    self.ranks[left, right], self.merged[left, right] = by_score[self.scores[piece]], id_
         # where no piece goes on with a space after another sign, no merge crosses the place before a space
         crossing = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
         self.stretch = re.compile(r"(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -103,48 +118,134 @@ class Vocabulary:
             return cls(f.read())
 
 
+class Agendas:
+    """The agendas of many stretches at once: a row of symbols each, and a row of the ranks of its pairs.
+
+    In every round the best pair of each row, the leftmost of equals, becomes one symbol, and the ranks of its
+    two new neighbours are looked up; a row without a pair that is a piece is done.
+    """
+
+    def __init__(self, v: Vocabulary):
+        keys = np.array([left << 32 | right for left, right in v.ranks], np.int64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.rank = np.append(np.array([*v.ranks.values()], np.int32)[order], NONE)
+        self.both = np.append(np.array([*v.merged.values()], np.int32)[order], UNKNOWN_SIGN)
+        self.sign = np.full(0x110000, UNKNOWN_SIGN, np.int32)
+        for piece, id_ in v.ids.items():
+            if len(piece) == 1:
+                self.sign[ord(piece)] = id_
+
+    def looked_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and merged ids of pairs; NONE where a pair is no piece."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.keys, key)
+        there = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(there, self.rank[at], NONE), self.both[at]
+
+    def symbols(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of stretches, and their symbols in rows filled up with PAD, as the rows get done."""
+        lengths = np.fromiter(map(len, stretches), np.int64, count=len(stretches))
+        width = max(2, int(lengths.max()))
+        codes = np.frombuffer("".join([s.ljust(width) for s in stretches]).encode("utf-32-le"), "<u4").reshape(-1, width)
+        rows = np.where(np.arange(width) < lengths[:, None], self.sign[codes], PAD)
+        ranks, _ = self.looked_up(rows[:, :-1], rows[:, 1:])
+        number, done = np.arange(len(rows)), []
+        while len(rows):
+            best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+            open_ = ranks[np.arange(len(rows)), best] < NONE if ranks.shape[1] else np.zeros(len(rows), bool)
+            done.append((number[~open_], rows[~open_]))
+            rows, ranks, number, best = rows[open_], ranks[open_], number[open_], best[open_]
+            if not len(rows):
+                break
+            line, wide = np.arange(len(rows)), rows.shape[1]
+            _, one = self.looked_up(rows[line, best], rows[line, best + 1])
+            rows[line, best] = one
+            rows = rows[np.arange(wide) != best[:, None] + 1].reshape(len(rows), wide - 1)
+            ranks = ranks[np.arange(wide - 1) != best[:, None]].reshape(len(rows), wide - 2)
+            for at, some in ((best - 1, best > 0), (best, best < wide - 2)):
+                l, a = line[some], at[some]
+                ranks[l, a], _ = self.looked_up(rows[l, a], rows[l, a + 1])
+        return done
+
+
 class Stretches(dict):
-    """Ids of stretches of text as little-endian numbers; a stretch is merged when it is first asked for."""
+    """Ids of stretches of text, packed. New ones are merged by the agenda and held against the library."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-
-    def __missing__(self, stretch: str) -> bytes:
-        packed = np.array(self.merged(stretch), dtype="<u4").tobytes()
-        if len(stretch) <= LONG:
-            self[stretch] = packed
-        return packed
-
-    def merged(self, s: str) -> list[int]:
-        n, score = len(s), self.v.scores.get
-        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by the start of a symbol; 0: merged away
-        agenda = [(-v, i, i + 2) for i in range(n - 1) if (v := score(s[i : i + 2])) is not None]
-        heapify(agenda)
-        while agenda:
-            _, i, end = heappop(agenda)
-            middle = ends[i]
-            if not middle or middle >= n or ends[middle] != end:
-                continue  # one of the two has been merged since
-            ends[i], ends[middle] = end, 0
-            if end < n:
-                before[end] = i
-                if (v := score(s[i : ends[end]])) is not None:
-                    heappush(agenda, (-v, i, ends[end]))
-            left = before[i]
-            if left >= 0 and (v := score(s[left:end])) is not None:
-                heappush(agenda, (-v, left, end))
-        out: list[int] = []
-        for i, end in enumerate(ends):
-            if end:
-                id_ = self.v.ids.get(s[i:end])
-                out.extend(map(self.v.bytes.__getitem__, s[i:end].encode()) if id_ is None else (id_,))
-        return out
+        self.v, self.other, self.chars = vocabulary, library(vocabulary.model), 0
+        self.agendas = Agendas(vocabulary)
 
-    def ids(self, text: str) -> bytes:
-        if len(self) > MEMO:
+    def learn(self, stretches: set[str]) -> None:
+        if self.chars > MEMO_CHARS:
             self.clear()
-        marked = SPACE + text.replace(" ", SPACE) if text else ""
-        return b"".join(map(self.__getitem__, self.v.stretch.findall(marked)))
+            self.chars = 0
+        new = sorted(stretches.difference(self), key=len)
+        self.chars += sum(map(len, new))
+        self.update(zip(new, self.merged(new)))
+        # a stretch begins with the sign that the library sets before a text, unless the text is empty
+        told = [s for s in new if len(s) > 1]
+        theirs = self.other.encode([s[1:].replace(SPACE, " ") for s in told], num_threads=1)
+        mine = list(map(self.__getitem__, told))
+        alike = list(map(len, mine)) == [4 * len(ids) for ids in theirs]
+        if not alike or b"".join(mine) != array("I", chain.from_iterable(theirs)).tobytes():
+            raise ValueError("the library encodes a text otherwise")
+
+    def merged(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches that are sorted by length."""
+        out = [b""] * len(stretches)
+        start = 0
+        for most in (8, 12, 20, SHORT):
+            end = bisect_right(stretches, most, start, key=len)
+            if end > start:
+                for numbers, rows in self.agendas.symbols(stretches[start:end]):
+                    flat, ends = rows[rows != PAD].astype("<u4").tobytes(), np.cumsum((rows != PAD).sum(axis=1)).tolist()
+                    odd = (rows == UNKNOWN_SIGN).any(axis=1).tolist()
+                    for k, (at, upto) in enumerate(zip(numbers.tolist(), ends)):
+                        first = ends[k - 1] if k else 0
+                        out[start + at] = self.spelled(stretches[start + at], rows[k].tolist()) if odd[k] else flat[4 * first : 4 * upto]
+            start = end
+        for at in range(start, len(stretches)):
+            symbols = [self.v.ids.get(c, UNKNOWN_SIGN) for c in stretches[at]]
+            out[at] = self.spelled(stretches[at], self.merged_long(symbols))
+        return out
+
+    def merged_long(self, symbols: list[int]) -> list[int]:
+        """The same with a heap for an agenda: symbols are linked, and entries that no longer hold are passed over."""
+        rank, both = self.v.ranks.get, self.v.merged
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = [(r, i) for i, pair in enumerate(pairwise(symbols)) if (r := rank(pair)) is not None]
+        heapify(agenda)
+        gone = None
+        while agenda:
+            best, i = heappop(agenda)
+            k = after[i]
+            if symbols[i] is gone or k >= n or rank((symbols[i], symbols[k])) != best:
+                continue
+            symbols[i], symbols[k], after[i] = both[symbols[i], symbols[k]], gone, after[k]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < n and (r := rank((symbols[left], symbols[after[left]]))) is not None:
+                    heappush(agenda, (r, left))
+        return [x for x in symbols if x is not gone]
+
+    def spelled(self, s: str, symbols: list[int]) -> bytes:
+        """Packed ids, with byte pieces for characters that are no piece; each has kept its own symbol."""
+        unknown = iter([c for c in s if c not in self.v.ids])
+        ids = array("I")
+        for x in symbols:
+            if x == UNKNOWN_SIGN:
+                ids.extend(map(self.v.bytes.__getitem__, next(unknown).encode()))
+            elif x != PAD:
+                ids.append(x)
+        return ids.tobytes()
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        cut_up = [self.v.stretch.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        self.learn(set().union(*cut_up))
+        return [b"".join(map(self.__getitem__, parts)) for parts in cut_up]
 
 
 def groups(sizes: list[int], most: int) -> Iterator[slice]:
@@ -175,16 +276,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: st
 
     @F.arrow_udf(T.BinaryType())
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, other = Stretches(vocabulary), library(vocabulary.model)
-        begin, end = (np.array([x], "<u4").tobytes() for x in (vocabulary.begin, vocabulary.end))
+        known = Stretches(vocabulary)
+        begin, end = (array("I", [x]).tobytes() for x in (vocabulary.begin, vocabulary.end))
         for batch in batches:
-            texts = batch.to_pylist()
-            out = [begin + known.ids(t) + end for t in texts]
+            texts, out = batch.to_pylist(), []
             for part in groups(list(map(len, texts)), CHECK_CHARS):
-                theirs = other.encode(texts[part], add_bos=True, add_eos=True, num_threads=1)
-                for mine, ids in zip(out[part], theirs):
-                    if mine != np.array(ids, "<u4").tobytes():
-                        raise ValueError("the library encodes a text otherwise")
+                out += [begin + ids + end for ids in known.encoded(texts[part])]
             yield pa.array(out, pa.binary())
 
     return docs.withColumn(into, ids_of(whole(F.col(f"`{text}`"))))

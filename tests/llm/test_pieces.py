@@ -36,7 +36,7 @@ def test_random_characters_and_spaces():
     texts += ["<s>", "</s><unk><0x41>", " " * 500, "a" * 700, "▁a ▁", "x" + " " * 33 + "y", "ab" * 900 + " ab" * 900]
     known = pieces.Stretches(VOCABULARY)
     for text in texts:
-        mine = [VOCABULARY.begin, *ids(known.ids(text)), VOCABULARY.end]
+        mine = [VOCABULARY.begin, *ids(known.encoded([text])[0]), VOCABULARY.end]
         assert mine == library_ids(text), text
         assert pieces.text_of(mine, VOCABULARY).decode() == LIBRARY.decode(mine), text
 
@@ -60,7 +60,7 @@ def test_one_long_text_and_an_empty_table(spark, no_docs):
 
 def test_a_difference_and_an_unknown_id_are_errors(spark):
     other = pieces.Vocabulary.load(PATH)
-    other.ids[f"{pieces.SPACE}the"] = 5
+    other.merged = {pair: 5 for pair in other.merged}
     with pytest.raises(Exception, match="encodes a text otherwise"):
         pieces.encode(spark.createDataFrame([("the other",)], "text string"), other).collect()
     with pytest.raises(Exception, match="not in the vocabulary"):
