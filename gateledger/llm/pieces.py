@@ -21,6 +21,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +35,7 @@ MEMO_CHARS = 3_000_000  # characters of the distinct stretches a task remembers
 SHORT = 40  # characters up to which stretches are merged side by side, longer ones each by a heap
 NONE = (1 << 31) - 1  # the rank of what is no piece
 UNKNOWN_SIGN, PAD = -1, -2  # symbols of a character that is no piece, and of no character
-CHECK_CHARS = 1 << 21  # characters that are worked on and go to the library at once
+CHECK_CHARS = 1 << 20  # characters or bytes that are worked on and go to the library at once
 REPLACEMENT = "�".encode()
 
 
@@ -248,16 +249,16 @@ class Stretches(dict):
         return [b"".join(map(self.__getitem__, parts)) for parts in cut_up]
 
 
-def groups(sizes: list[int], most: int) -> Iterator[slice]:
-    """Neighbours of together about ``most`` at the most, or one by itself."""
+def portions(batch: pa.Array) -> Iterator[pa.Array]:
+    """Neighbours of together about CHECK_CHARS bytes, or one longer value by itself."""
     start = total = 0
-    for k, size in enumerate(sizes):
-        if k > start and total + size > most:
-            yield slice(start, k)
+    for k, size in enumerate(pc.fill_null(pc.binary_length(batch), 0).to_pylist()):
+        if k > start and total + size > CHECK_CHARS:
+            yield batch.slice(start, k - start)
             start, total = k, 0
         total += size
-    if sizes:
-        yield slice(start, len(sizes))
+    if len(batch):
+        yield batch.slice(start)
 
 
 def library(model: bytes):
@@ -279,10 +280,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: st
         known = Stretches(vocabulary)
         begin, end = (array("I", [x]).tobytes() for x in (vocabulary.begin, vocabulary.end))
         for batch in batches:
-            texts, out = batch.to_pylist(), []
-            for part in groups(list(map(len, texts)), CHECK_CHARS):
-                out += [begin + ids + end for ids in known.encoded(texts[part])]
-            yield pa.array(out, pa.binary())
+            parts = []
+            for texts in portions(batch):
+                parts.append(pa.array([begin + ids + end for ids in known.encoded(texts.to_pylist())], pa.binary()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return docs.withColumn(into, ids_of(whole(F.col(f"`{text}`"))))
 
@@ -334,17 +335,16 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, tokens: str = "tokens", into
     def texts_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         other = library(vocabulary.model)
         for batch in batches:
-            coded = batch.to_pylist()
-            out: list[str | None] = []
-            for part in groups([len(c or b"") for c in coded], 4 * CHECK_CHARS):
-                rows = [None if c is None else np.frombuffer(c, "<u4").tolist() for c in coded[part]]
+            parts = []
+            for coded in portions(batch):
+                rows = [None if c is None else np.frombuffer(c, "<u4").tolist() for c in coded.to_pylist()]
                 if any(max(r) >= len(vocabulary.kinds) for r in rows if r):
                     raise ValueError("an id is not in the vocabulary")
                 texts = [None if r is None else text_of(r, vocabulary).decode() for r in rows]
                 theirs = iter(other.decode([r for r in rows if r is not None], num_threads=1))
                 if any(t != next(theirs) for t in texts if t is not None):
                     raise ValueError("the library decodes a text otherwise")
-                out += texts
-            yield pa.array(out, pa.string())
+                parts.append(pa.array(texts, pa.string()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return docs.withColumn(into, texts_of(F.col(f"`{tokens}`")))
