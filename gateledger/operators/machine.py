@@ -18,14 +18,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gateledger.functions.text import decisions_hash
 from gateledger.operators.filters import ROUTES, classify_prs, is_explanation
 from gateledger.operators.quota import DAILY_GLOBAL, DAILY_PER_INSTALL, quota_replay
 from gateledger.operators.scan import (
-    HOT_ROWS, Running, cut, hot_keys, hour_of, join_null_safe, run_split, running, split_hot,
+    HOT_ROWS, Running, cut, hot_keys, hour_of, join_null_safe, run_split, running, split_hot, written,
 )
 from gateledger.operators.windows import PR
 
@@ -227,29 +227,26 @@ def replay_gates(
         "delivery_id", "ts", "installation_id", *PR, "step", "head_sha", "decisions_hash", "trivial", grade
     )
     hot = hot_keys(narrow, PR, hot_rows)
-    unlimited = narrow.withColumn("capped", F.lit(None).cast("string"))
-    moves, settled = cut(run_split(unlimited, PR, hot, _machine_by_heat)), []
-    since = None
+    last = F.max("ts").over(Window.partitionBy(*PR)).alias("__last")
+    unlimited = narrow.select("*", F.lit(None).cast("string").alias("capped"))
+    moves, settled, since = written(run_split(unlimited, PR, hot, _machine_by_heat).select("*", last)), [], None
     while True:
         all_moves = reduce(DataFrame.unionByName, settled, moves)
-        offers = _offers(all_moves, since, hours)
         open_ = F.lit(True) if since is None else F.col("created_at") >= since
-        found = cut(quota_replay(offers, per_install, limit, hours).filter(open_))
+        found = written(quota_replay(_offers(all_moves, since, hours), per_install, limit, hours).filter(open_))
         changed = found.filter(~F.col("capped").eqNullSafe(F.col("__was")))
         first = changed.agg(F.min("created_at")).head()[0]
         if first is None:
             break
         since = F.lit(first)
-        over = cut(moves.groupBy(*PR).agg(F.max("ts").alias("last")).filter(F.col("last") < since).select(*PR))
-        settled.append(join_null_safe(moves, over, PR, "left_semi"))
-        live = join_null_safe(moves, over, PR, "left_anti")
-        again = changed.select(*PR).distinct()
-        redo = join_null_safe(live, again, PR, "left_semi").withColumnRenamed("capped", "__old")
+        settled.append(moves.filter(F.col("__last") < since))
+        again = changed.select(*PR, F.lit(True).alias("__again")).distinct()
+        live = join_null_safe(moves.filter(F.coalesce(F.col("__last") >= since, F.lit(True))), again, PR, "left")
         labels = found.select(F.col("id").alias("delivery_id"), F.col("capped").alias("__label"), F.lit(True).alias("__tested"))
-        label = F.when(F.col("__tested"), F.col("__label")).otherwise(F.col("__old"))
-        labelled = redo.join(labels, "delivery_id", "left").withColumn("capped", label).select(unlimited.columns)
-        replayed = run_split(labelled, PR, hot, _machine_by_heat)
-        moves = cut(join_null_safe(live, again, PR, "left_anti").unionByName(replayed))
+        label = F.when(F.col("__tested"), F.col("__label")).otherwise(F.col("capped"))
+        redo = live.filter("__again").join(labels, "delivery_id", "left").withColumn("capped", label)
+        replayed = run_split(redo.select("__last", *unlimited.columns), PR, hot, _machine_by_heat)
+        moves = written(live.filter("__again IS NULL").drop("__again").unionByName(replayed))
     result = all_moves.select("delivery_id", "capped", "carries", "outcome", "gate_id")
     return wide.join(result, "delivery_id")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gateledger.operators.scan import cut
+from gateledger.operators.scan import written
 
 HOUR_US = 3_600_000_000
 
@@ -54,9 +54,7 @@ def quota_replay(
         return offers.withColumn("capped", F.when(F.col("installation_id").isNotNull(), label))
     at = F.unix_micros("created_at")
     counts = F.col("counts") if "counts" in offers.columns else F.lit(True)
-    rows = cut(
-        known.select("id", "installation_id", at.alias("at"), F.floor(at / HOUR_US).alias("hour"), counts.alias("counts"))
-    )
+    rows = known.select("id", "installation_id", at.alias("at"), F.floor(at / HOUR_US).alias("hour"), counts.alias("counts"))
     placed = rows.join(stretches(rows, per_install, limit, hours), ["installation_id", "hour"])
     ordered = placed.repartition("stretch").sortWithinPartitions("stretch", "at", "id")
     labels = ordered.select("stretch", "alone", "at", "id", "installation_id", "counts", "open").mapInArrow(
@@ -69,58 +67,68 @@ def stretches(rows: DataFrame, per_install: int, limit: int, hours: int) -> Data
     """installation_id, hour, stretch, alone, open: the recurrences that the offers of an hour take part in.
 
     ``open`` marks hours whose offers the recurrence decides, the others only lead up to it. ``alone``
-    marks the chain of a single installation. ``rows``: installation_id, hour, counts.
+    marks the chain of a single installation. ``rows``: installation_id, hour, counts. What reaches the
+    driver is one row an hour of history, under nine thousand a year, whatever the number of offers.
     """
+    spark = rows.sparkSession
     n, tested = F.sum(F.col("counts").cast("int")).alias("n"), F.max((~F.col("counts")).cast("int")).alias("tested")
-    own = rows.groupBy("installation_id", "hour").agg(n, tested)
     trailing = Window.partitionBy("installation_id").orderBy("hour").rangeBetween(-hours, 0)
-    own = cut(own.withColumn("crowded", F.sum("n").over(trailing) + F.col("tested") > per_install))
+    own = rows.groupBy("installation_id", "hour").agg(n, tested)
+    own = written(own.withColumn("crowded", F.sum("n").over(trailing) + F.col("tested") > per_install))
 
-    # One row an hour of history from here on, however many installations there are.
-    by_hour = own.groupBy("hour").agg(F.sum("n").alias("n"), F.max("tested").alias("tested"))
-    felt = by_hour.select(F.explode(F.sequence("hour", F.col("hour") + hours)).alias("hour"), "n")
-    felt = felt.groupBy("hour").agg(F.sum("n").alias("felt"))
-    busy = by_hour.join(felt, "hour").filter(F.col("felt") + F.col("tested") > limit).select("hour")
-    storms = _chained(busy, [], hours).groupBy("chain").agg(F.min("hour").alias("first"), F.max("hour").alias("last"))
-    storms = cut(storms.withColumnRenamed("chain", "storm"))
-    near = storms.select("storm", F.explode(F.sequence(F.col("first") - hours, F.col("last") + hours)).alias("hour"))
+    storms = busy_runs(own.groupBy("hour").agg(F.sum("n"), F.max("tested")).collect(), limit, hours)
+    near = [(k, hour) for k, (first, last) in enumerate(storms) for hour in range(first - hours, last + hours + 1)]
+    near = spark.createDataFrame(near, "storm int, hour bigint")
 
     key = ["installation_id", "chain"]
-    crowded = _chained(own.filter("crowded").select("installation_id", "hour"), ["installation_id"], hours)
-    chains = crowded.groupBy(*key).agg(F.min("hour").alias("first"), F.max("hour").alias("last"))
-    touched = crowded.join(near, "hour").groupBy(*key).agg(F.min("storm").alias("storm"), F.max("storm").alias("until"))
-    chains = cut(chains.join(touched, key, "left"))
-
-    # A chain joins all storms from the first to the last it touches.
-    reach = chains.filter("storm IS NOT NULL").groupBy("storm").agg(F.max("until").alias("until"))
-    before = Window.orderBy("storm").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy("storm").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    linked = storms.join(reach, "storm", "left").withColumn("until", F.coalesce("until", "storm"))
-    linked = linked.withColumn("begins", F.coalesce(F.col("storm") > F.max("until").over(before), F.lit(True)))
-    named = linked.withColumn("stretch", F.concat(F.lit("all:"), F.sum(F.col("begins").cast("int")).over(upto)))
-    named = cut(named.select("storm", "stretch", "first", "last"))
-
-    def led_up(first: str, last: str):
-        return F.explode(F.sequence(F.col(first) - hours, F.col(last))).alias("hour")
-
-    everyone = named.select("stretch", led_up("first", "last")).distinct().join(own.select("installation_id", "hour"), "hour")
-    alone = F.concat_ws(":", F.lit("own"), "installation_id", "chain")
-    some = chains.join(named.select("storm", "stretch"), "storm", "left").select(
-        "installation_id", F.coalesce("stretch", alone).alias("stretch"), led_up("first", "last")
+    w = Window.partitionBy("installation_id").orderBy("hour")
+    begins = F.coalesce(F.col("hour") - F.lag("hour").over(w) > hours, F.lit(True)).cast("int")
+    crowded = own.filter("crowded").withColumn("begins", begins)
+    crowded = crowded.withColumn("chain", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chains = crowded.join(near, "hour", "left").groupBy(*key).agg(
+        F.min("hour").alias("first"), F.max("hour").alias("last"), F.min("storm").alias("storm"), F.max("storm").alias("until")
     )
-    taking_part = everyone.select("installation_id", "hour", "stretch").union(some.select("installation_id", "hour", "stretch"))
+    chains = written(chains) if storms else chains
+    reach = dict(chains.filter("storm IS NOT NULL").groupBy("storm").agg(F.max("until")).collect()) if storms else {}
+
+    # a chain joins all storms from the first to the last that it touches
+    named, until = [], -1
+    for k in range(len(storms)):
+        named.append((k, named[-1][1] if k <= until else f"all:{k}"))
+        until = max(until, reach.get(k, k))
+    felt = {(name, hour) for (k, name), (first, last) in zip(named, storms) for hour in range(first - hours, last + 1)}
+    felt = spark.createDataFrame(sorted(felt), "stretch string, hour bigint")
+    busy = spark.createDataFrame([(hour,) for first, last in storms for hour in range(first, last + 1)], "hour bigint")
+
+    alone = F.concat_ws(":", F.lit("own"), "installation_id", "chain")
+    joined = chains.join(spark.createDataFrame(named, "storm int, stretch string"), "storm", "left")
+    some = joined.select(
+        "installation_id", F.coalesce("stretch", alone).alias("stretch"),
+        F.explode(F.sequence(F.col("first") - hours, F.col("last"))).alias("hour"),
+    )
+    everyone = own.join(felt, "hour").select("installation_id", "stretch", "hour")
     flags = own.join(busy.withColumn("busy", F.lit(True)), "hour", "left").select(
         "installation_id", "hour", (F.col("crowded") | F.coalesce("busy", F.lit(False))).alias("open")
     )
     is_alone = F.col("stretch").startswith("own:").alias("alone")
-    return taking_part.distinct().join(flags, ["installation_id", "hour"]).select("*", is_alone)
+    return everyone.union(some).distinct().join(flags, ["installation_id", "hour"]).select("*", is_alone)
 
 
-def _chained(hours_of: DataFrame, keys: list[str], gap: int) -> DataFrame:
-    """Add ``chain``: the number of the run of hours, each at most ``gap`` after the one before."""
-    w = Window.partitionBy(*keys).orderBy("hour")
-    starts = F.coalesce(F.col("hour") - F.lag("hour").over(w) > gap, F.lit(True)).cast("int")
-    return hours_of.withColumn("chain", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def busy_runs(by_hour: list[tuple[int, int, int]], limit: int, hours: int) -> list[tuple[int, int]]:
+    """First and last hour of each run of busy hours that are at most ``hours`` apart.
+
+    ``by_hour``: hour, offers that count, 1 if there are others too. An hour between two busy ones of
+    a run counts as one of them.
+    """
+    offered = {hour: n for hour, n, _ in by_hour}
+    runs: list[tuple[int, int]] = []
+    for hour, _, tested in sorted(map(tuple, by_hour)):
+        if sum(offered.get(h, 0) for h in range(hour - hours, hour + 1)) + tested > limit:
+            if runs and hour - runs[-1][1] <= hours:
+                runs[-1] = (runs[-1][0], hour)
+            else:
+                runs.append((hour, hour))
+    return runs
 
 
 class Meter:

@@ -10,6 +10,7 @@ bucket); and each row adds the total of the buckets before its own.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -39,6 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table in the checkpoint folder. Unlike a checkpoint, which keeps the size that its plan
+    was estimated at, it has the size it has: estimates do not grow from round to round of a loop."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Running:
     """A running value: ``sum``, ``count``, ``min``, ``max`` or ``last`` (non-null) of a column,
