@@ -20,9 +20,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gateledger.functions.text import decisions_hash
 from gateledger.operators.filters import ROUTES, classify_prs, is_explanation
+from gateledger.operators.pull_request import folded
 from gateledger.operators.quota import DAILY_GLOBAL, DAILY_PER_INSTALL, quota_replay
 from gateledger.operators.scan import (
     HOT_ROWS, Running, cut, hot_keys, hour_of, join_null_safe, run_split, running, split_hot, written,
@@ -30,6 +32,7 @@ from gateledger.operators.scan import (
 from gateledger.operators.windows import PR
 
 ORDER = ["ts", "delivery_id"]
+GRADED = "grade:"  # before the id of a comment: the id of the event with its grade
 
 
 def gate_id(repo: Column, pr: Column, delivery: Column) -> Column:
@@ -49,7 +52,9 @@ def relevant_events(events: DataFrame) -> DataFrame:
         .when(pushed & ready, "pushed")
         .when(commented | graded, "explained")
     )
-    capped = F.col("capped") if "capped" in events.columns else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    capped = F.col("capped") if "capped" in events.columns else none
+    bound = F.when(F.col("kind") == "grade", F.col("gate_id")) if "gate_id" in events.columns else none
     # The plain filter on kind reaches the scan; the one on step cannot.
     known = events.filter(F.col("kind").isin("pull_request", "comment", "grade"))
     kept = known.withColumn("step", step).filter(F.col("step").isNotNull())
@@ -71,6 +76,7 @@ def relevant_events(events: DataFrame) -> DataFrame:
         "user_login",
         F.when(~is_pr, F.coalesce("body", F.lit(""))).alias("body"),
         F.when(~is_pr, F.col("grade")).alias("grade"),
+        bound.alias("bound"),
     )
 
 
@@ -193,15 +199,39 @@ def _machine_by_heat(rows: DataFrame, hot: bool) -> DataFrame:
     return _machine(rows, hour_of("ts") if hot else None)
 
 
+def _machine_by_fold(rows: DataFrame) -> DataFrame:
+    """The machine for pull requests with grades that name their gate, streamed in order through Python tasks."""
+    grade = {
+        "graded": F.col("grade").isNotNull(),
+        "ungraded": F.coalesce("grade.ungraded", F.lit(False)),
+        "passes": F.coalesce("grade.pass", F.lit(False)),
+    }
+    ready = rows.withColumns(grade).repartition(*PR).sortWithinPartitions(*PR, *ORDER)
+    out = StructType([*ready.schema, *StructType.fromDDL("outcome string, gate_id string, carries boolean")])
+    moves = ready.mapInArrow(folded, out).drop(*grade)
+    return moves.withColumn("capped", F.when(F.col("outcome") == "capped", F.col("capped")))
+
+
 def gate_machine(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One transition per relevant event, in event time.
 
     Explanations carry their ``grade`` (from the stored attempts, or from ``grade`` events);
-    one without a grade yet is ``requested``. A ``capped`` column, where present, holds the
+    one without a grade yet is ``requested``. A ``grade`` event with a ``gate_id`` counts for that gate,
+    however many were opened since it was asked for; without one it counts for the newest pending gate.
+    A gate that has passed can pass again, and one that the pull request never had is ``ignored``.
+    A ``capped`` column, where present, holds the
     limit an event ran into (:func:`replay_gates` works it out). Outcomes: duplicate, trivial,
     capped, gated, carried, ignored, requested, ungraded, passed, failed.
     """
-    return split_hot(relevant_events(events), PR, _machine_by_heat, hot_rows)
+    rows = relevant_events(events)
+    if "gate_id" not in events.columns:
+        return split_hot(rows.drop("bound"), PR, _machine_by_heat, hot_rows)
+    asked = events.filter((F.col("kind") == "grade") & F.col("grade").isNotNull() & F.col("gate_id").isNotNull())
+    bound = cut(asked.select(*PR).distinct())
+    if bound.isEmpty():
+        return split_hot(rows.drop("bound"), PR, _machine_by_heat, hot_rows)
+    others = split_hot(join_null_safe(rows, bound, PR, "left_anti").drop("bound"), PR, _machine_by_heat, hot_rows)
+    return others.unionByName(_machine_by_fold(join_null_safe(rows, bound, PR, "left_semi")).drop("bound"))
 
 
 def replay_gates(
@@ -218,10 +248,10 @@ def replay_gates(
     earliest label that changed is settled, pull requests without events after it are set aside,
     and the next round replays only those with a changed label and tests only the offers that are
     not settled, against the gates admitted in the window before them. Texts, decisions and grades stay
-    out of the rounds and are joined once at the end. The number of rounds follows the longest time
+    out of the rounds and are joined once at the end. Every grade counts for the newest pending gate here. The number of rounds follows the longest time
     for which the limits bind without a pause, not the length of the history.
     """
-    wide = cut(relevant_events(events.drop("capped")).drop("capped"))
+    wide = cut(relevant_events(events.drop("capped", "gate_id")).drop("capped", "bound"))
     grade = F.when(F.col("grade").isNotNull(), F.struct("grade.pass", "grade.ungraded")).alias("grade")
     narrow = wide.select(
         "delivery_id", "ts", "installation_id", *PR, "step", "head_sha", "decisions_hash", "trivial", grade
@@ -264,17 +294,19 @@ def _offers(moves: DataFrame, since: Column | None, hours: int) -> DataFrame:
 
 
 def gates_of(transitions: DataFrame, rigor: str = "medium") -> DataFrame:
-    """The gate table a history leaves behind, in one pass: a gate opens once, passes at most once
-    and takes the head of the last push that carried it."""
+    """The gate table a history leaves behind, in one pass: a gate opens once, takes the head of the last push
+    that carried it, and its last pass counts. ``closeout`` is that of the pass, where transitions have one
+    (:func:`with_closeouts`)."""
     outcome, place = F.col("outcome"), F.struct(*ORDER)
 
     def the(name: str, *columns: str) -> Column:
         return F.any_value(F.when(outcome == name, F.struct(*columns)), F.lit(True)).alias(name)
 
+    passed = ["user_login", "user_id", "ts", *(["closeout"] if "closeout" in transitions.columns else [])]
     held = transitions.filter(outcome.isin("gated", "passed", "carried"))
     gates = held.groupBy(F.col("gate_id").alias("id")).agg(
         the("gated", *PR, "head_sha", "decisions", "decisions_hash", "ts"),
-        the("passed", "user_login", "user_id", "ts"),
+        F.max_by(F.struct(*passed), F.when(outcome == "passed", place)).alias("passed"),
         F.max_by("head_sha", F.when(outcome == "carried", place)).alias("moved_head"),
         F.max("ts").alias("last_ts"),
     )
@@ -291,6 +323,7 @@ def gates_of(transitions: DataFrame, rigor: str = "medium") -> DataFrame:
         F.col("passed.ts").alias("passed_at"),
         F.col("gated.ts").alias("created_at"),
         F.col("last_ts").alias("updated_at"),
+        *([F.col("passed.closeout").alias("closeout")] if "closeout" in passed else []),
     )
 
 
@@ -314,23 +347,59 @@ def attempts_of(transitions: DataFrame) -> DataFrame:
     )
 
 
-def grade_requests(transitions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Explanations that await a grade, each with its gate's decisions and the text to grade:
+def told(transitions: DataFrame, wanted: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Explanations with the outcome ``wanted``, each with its gate's decisions and all that was told:
     every recorded attempt on the gate so far, then this explanation."""
     outcome = F.col("outcome")
-    told = transitions.filter(outcome.isin("gated", "requested", "ungraded", "passed", "failed"))
+    some = transitions.filter(outcome.isin("gated", "requested", "ungraded", "passed", "failed"))
     values = {
         "__earlier": Running("text", F.when(~outcome.isin("gated", "requested"), F.col("body")), before=True),
         "__asked": Running("last", F.when(outcome == "gated", F.col("decisions"))),
     }
     seen = split_hot(
-        told,
+        some,
         ["gate_id"],
         lambda part, hot: running(part, ["gate_id"], ORDER, values, hour_of("ts") if hot else None),
         hot_rows,
     )
-    return seen.filter("outcome = 'requested'").select(
-        "delivery_id", "ts", *PR, "gate_id", "comment_id", "user_id", "user_login",
+    return seen.filter(outcome == wanted).select(
+        "delivery_id", "ts", "installation_id", *PR, "gate_id", "comment_id", "user_id", "user_login", "body",
         F.concat_ws("\n\n", "__earlier", "body").alias("explanation"),
         F.col("__asked").alias("decisions"),
     )
+
+
+def grade_requests(transitions: DataFrame, hot_rows: int = HOT_ROWS, rigor: str = "medium") -> DataFrame:
+    """Explanations that await a grade, as :func:`gateledger.operators.scoring.grade_batch` takes them.
+
+    A request whose grade event is among the transitions has been answered and is left out.
+    """
+    answered = transitions.select(F.col("delivery_id").alias("__answer")).filter(F.col("__answer").startswith(GRADED))
+    open_ = told(transitions, "requested", hot_rows).join(
+        answered, F.concat(F.lit(GRADED), F.col("delivery_id")) == F.col("__answer"), "left_anti"
+    )
+    return open_.withColumn("rigor", F.lit(rigor))
+
+
+def grade_events(graded: DataFrame, at: Column) -> DataFrame:
+    """Graded requests as events for the log, known at the time ``at``. Each keeps the gate its explanation was
+    told to, and its id follows from the comment's, so a batch that is graded again adds no other event."""
+    return graded.select(
+        F.concat(F.lit(GRADED), "delivery_id").alias("delivery_id"), F.lit("grade").alias("kind"), F.lit("graded").alias("action"),
+        at.alias("ts"), "installation_id", *PR, "comment_id", "body", "user_id", "user_login", "grade", "gate_id",
+    )
+
+
+def graded_log(events: DataFrame, grades: DataFrame) -> DataFrame:
+    """The log with grade events added; one that is there already is not added twice."""
+    new = grades.join(events.filter("kind = 'grade'").select("delivery_id"), "delivery_id", "left_anti")
+    return events.unionByName(new, allowMissingColumns=True)
+
+
+def with_closeouts(transitions: DataFrame, closed: DataFrame) -> DataFrame:
+    """Transitions with the ``closeout`` of each pass; ``closed``: delivery_id, closeout of graded passes.
+
+    The gate table and the replies to passes take it from there.
+    """
+    mine = closed.select(F.col("delivery_id").alias("__of"), "closeout")
+    return transitions.join(mine, F.col("delivery_id") == F.col("__of"), "left").drop("__of")

@@ -46,7 +46,8 @@ EVENTS = (
     f"decisions {DECISIONS}, comment_id bigint, body string, user_id bigint, user_login string, "
     "user_type string, author_association string, is_pr boolean, account_login string, account_type string, "
     f"default_branch string, pr_node_id string, repositories {REPO_LIST}, repositories_added {REPO_LIST}, "
-    f"grade {GRADE}"
+    # a grade event names the gate it was asked for; ``capped`` is the limit an event ran into
+    f"grade {GRADE}, gate_id string, capped string"
 )
 
 # Defaults of the stored tables and the sets their text columns draw from.

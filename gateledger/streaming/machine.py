@@ -1,6 +1,6 @@
 """The gate machine as a stateful stream: one small state per pull request.
 
-State holds the latest gate and the ids of the pending ones, never texts. Each micro-batch of a
+State holds the latest gate, the ids of the pending ones and of every gate whether it has passed, never texts. Each micro-batch of a
 pull request is applied in (ts, delivery_id) order; an event older than the last applied one is
 reported as ``late`` and changes nothing. Bound the micro-batch with the source's
 ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``.
@@ -8,9 +8,7 @@ reported as ``late`` and changes nothing. Bound the micro-batch with the source'
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from gateledger.operators.machine import relevant_events
+from gateledger.operators.pull_request import PullRequest
 from gateledger.operators.windows import PR
 
 STATE = "head string, hash string, gate string, passed boolean, at bigint, delivery string, chunks int, top array<string>"
@@ -29,17 +28,9 @@ PAYLOAD = [
 ]
 
 
-class Stack(list):
-    """Ids of pending gates, newest on top."""
-
-    push = list.append
-
-    def top(self) -> str:
-        return self[-1]
-
-
 class StoredStack:
-    """The same with only the top held in the state value; full chunks below it lie in a state map.
+    """A :class:`Stack` with only the top held in the state value; full chunks below it lie in a state map,
+    and whether a gate has passed in another.
 
     A pull request costs one read and one write per micro-batch, and its value stays small
     however many gates it leaves pending.
@@ -47,74 +38,30 @@ class StoredStack:
 
     CHUNK = 64
 
-    def __init__(self, chunks, count: int, top: list[str]):
-        self.chunks, self.count, self.ids = chunks, count, top
+    def __init__(self, chunks, passed, count: int, top: list[str]):
+        self.chunks, self.passed, self.count, self.ids = chunks, passed, count, top
 
-    def __len__(self) -> int:
-        return self.count * self.CHUNK + len(self.ids)
-
-    def push(self, gate: str) -> None:
+    def open(self, gate: str) -> None:
+        self.passed.updateValue((gate,), (False,))
         self.ids.append(gate)
         if len(self.ids) > 2 * self.CHUNK:
             self.chunks.updateValue((self.count,), (self.ids[: self.CHUNK],))
             self.ids, self.count = self.ids[self.CHUNK :], self.count + 1
 
-    def top(self) -> str:
-        return self.ids[-1]
-
-    def pop(self) -> None:
-        self.ids.pop()
-        if not self.ids and self.count:
-            self.count -= 1
-            self.ids = list(self.chunks.getValue((self.count,))[0])
-            self.chunks.removeKey((self.count,))
-
-
-@dataclass
-class PullRequest:
-    """Gate state of one pull request and its transition function."""
-
-    repo_id: int
-    pr_number: int
-    head: str | None = None
-    hash: str | None = None
-    gate: str | None = None
-    passed: bool = False
-    pending: Stack | StoredStack = field(default_factory=Stack)
-
-    def apply(self, e) -> tuple[str, str | None]:
-        """Outcome of an event and the gate it concerns."""
-        if e.step == "explained":
-            return self._explain(e)
-        if e.step == "opened" and self.gate is not None and self.head == e.head_sha:
-            return "duplicate", None
-        if e.trivial:
-            return "trivial", None
-        if e.capped is not None:
-            return "capped", None
-        if e.step == "pushed" and self.passed and self.hash == e.decisions_hash:
-            self.head = e.head_sha
-            return "carried", self.gate
-        name = f"{self.repo_id}:{self.pr_number}:{e.delivery_id}"
-        self.gate = hashlib.sha256(name.encode()).hexdigest()[:32]
-        self.head, self.hash, self.passed = e.head_sha, e.decisions_hash, False
-        self.pending.push(self.gate)
-        return "gated", self.gate
-
-    def _explain(self, e) -> tuple[str, str | None]:
-        if not self.pending:
-            return "ignored", None
-        target = self.pending.top()
-        if not e.graded:
-            return "requested", target
-        if e.ungraded:
-            return "ungraded", target
-        if not e.passes:
-            return "failed", target
-        self.pending.pop()
-        if target == self.gate:
-            self.passed = True
-        return "passed", target
+    def holds(self, gate: str) -> bool:
+        return self.passed.containsKey((gate,))
+
+    def newest(self) -> str | None:
+        while self.ids and self.passed.getValue((self.ids[-1],))[0]:
+            self.ids.pop()
+            if not self.ids and self.count:
+                self.count -= 1
+                self.ids = list(self.chunks.getValue((self.count,))[0])
+                self.chunks.removeKey((self.count,))
+        return self.ids[-1] if self.ids else None
+
+    def close(self, gate: str) -> None:
+        self.passed.updateValue((gate,), (True,))
 
 
 class GateProcessor(StatefulProcessor):
@@ -123,14 +70,15 @@ class GateProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getValueState("latest", STATE)
         self.chunks = handle.getMapState("pending", "n int", "gates array<string>")
+        self.gates = handle.getMapState("gates", "gate string", "passed boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         pr, done = PullRequest(key[0], key[1]), (-(2**62), "")
         stored = self.latest.get()
-        pr.pending = StoredStack(self.chunks, 0, [])
+        pr.pending = StoredStack(self.chunks, self.gates, 0, [])
         if stored:
             pr.head, pr.hash, pr.gate, pr.passed, at, delivery, count, top = stored
-            pr.pending, done = StoredStack(self.chunks, count, list(top)), (at, delivery)
+            pr.pending, done = StoredStack(self.chunks, self.gates, count, list(top)), (at, delivery)
         for e in sorted(rows, key=lambda r: (r.at, r.delivery_id)):
             place, result = (e.at, e.delivery_id), ("late", None)
             if place > done:
@@ -167,6 +115,7 @@ def live_gate_machine(events: DataFrame) -> DataFrame:
         "decisions_hash",
         F.coalesce("trivial", F.lit(False)).alias("trivial"),
         "capped",
+        "bound",
         F.col("grade").isNotNull().alias("graded"),
         F.coalesce("grade.ungraded", F.lit(False)).alias("ungraded"),
         F.coalesce("grade.pass", F.lit(False)).alias("passes"),

@@ -6,10 +6,10 @@ from datetime import datetime, timedelta, timezone
 
 from gateledger.operators.quota import Meter
 from gateledger.schemas import EVENTS
-from gateledger.streaming.machine import PullRequest
+from gateledger.operators.pull_request import PullRequest
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
-Step = namedtuple("Step", "delivery_id ts installation repo pr step head_sha decisions_hash trivial capped graded ungraded passes")
+Step = namedtuple("Step", "delivery_id ts installation repo pr step head_sha decisions_hash trivial capped graded ungraded passes bound", defaults=[None])
 GOOD = "This holds because the bucket refills lazily on each read."
 
 
@@ -48,7 +48,11 @@ def steps(rows):
     """The relevant events in order, judged independently of Spark."""
     out = []
     for e in sorted(rows, key=lambda e: (e["ts"], e["delivery_id"])):
-        if e["kind"] == "comment":
+        if e["kind"] == "grade":
+            g = e["grade"]
+            out.append(Step(e["delivery_id"], e["ts"], e["installation_id"], e["repo_id"], e["pr_number"], "explained", None, None, False, None,
+                            True, bool(g[1]), bool(g[0]), e["gate_id"]))
+        elif e["kind"] == "comment":
             ok = e["user_type"] != "Bot" and e["author_association"] in ("MEMBER", "OWNER", "COLLABORATOR") and len(e["body"].strip()) >= 40
             if not ok:
                 continue
@@ -80,3 +84,17 @@ def replay(rows, per_install=None, limit=None, hours=24):
             meter.admit(at, s.installation)
         out[s.delivery_id] = (outcome, gate, capped)
     return out
+
+
+def with_late_grades(rows, seed, most_hours=60):
+    """The same log with every grade taken off its comment and told later, in any order, to the gate it was asked for."""
+    r = random.Random(seed)
+    bare = [e | {"grade": None} for e in rows]
+    asked = {d: gate for d, (outcome, gate, _) in replay(bare).items() if outcome == "requested"}
+    late = [
+        e | dict(kind="grade", action="graded", delivery_id=f"grade:{e['delivery_id']}", gate_id=asked[e["delivery_id"]],
+                 ts=e["ts"] + timedelta(minutes=r.randrange(1, 60 * most_hours)), grade=e["grade"])
+        for e in rows if e.get("grade") and e["delivery_id"] in asked
+    ]
+    odd = [e | {"delivery_id": f"{e['delivery_id']}:again", "gate_id": r.choice([e["gate_id"], "none such"])} for e in r.sample(late, len(late) // 6)]
+    return bare + late + odd

@@ -2,7 +2,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from history import GOOD, START, events, frame, replay
+from history import GOOD, START, events, frame, replay, with_late_grades
 from pyspark.sql import functions as F
 
 from gateledger.operators import machine, outbox, quota
@@ -21,6 +21,32 @@ def test_machine_equals_sequential_replay(spark, seed, hot_rows):
     assert {o for o, *_ in got.values()} >= {"gated", "carried", "duplicate", "trivial", "passed", "failed", "ungraded", "requested", "ignored"}
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_late_grades_count_for_the_gate_they_were_asked_for(spark, seed):
+    rows = with_late_grades(events(400, seed), seed)
+    want = replay(rows)
+    assert outcomes(machine.gate_machine(frame(spark, rows))) == want
+    graded = {d: x for d, x in want.items() if d.startswith("grade:")}
+    assert {o for o, *_ in graded.values()} == {"passed", "failed", "ungraded", "ignored"}
+
+
+def test_a_late_grade_passes_a_gate_below_the_newest(spark):
+    rows = [event(1, "opened"), event(2, "talk"), event(3, "synchronize", decisions=[("y", "s", None)]), event(5, "talk")]
+    first = machine.gate_machine(frame(spark, rows)).orderBy("ts").collect()
+    requests = machine.grade_requests(machine.gate_machine(frame(spark, rows))).orderBy("ts")
+    assert [(r.gate_id, r.decisions[0].concept, r.rigor) for r in requests.collect()] == [(first[0].gate_id, "x", "medium"), (first[2].gate_id, "y", "medium")]
+    grade = F.struct(*(F.lit(v).cast(t).alias(n) for n, t, v in (("pass", "boolean", True), ("ungraded", "boolean", False), ("covered", "array<string>", None),
+                     ("missing", "array<string>", None), ("hole", "string", ""), ("note", "string", None))))
+    graded = machine.grade_events(requests.limit(1).withColumn("grade", grade), F.col("ts") + F.expr("INTERVAL 10 HOURS"))
+    log = machine.graded_log(machine.graded_log(frame(spark, rows), graded), graded)
+    assert log.count() == 5
+    moves = machine.gate_machine(log)
+    assert [m.outcome for m in moves.orderBy("ts").collect()] == ["gated", "requested", "gated", "requested", "passed"]
+    status = {g.id: (g.status, g.passed_by) for g in machine.gates_of(moves).collect()}
+    assert status == {first[0].gate_id: ("passed", "me"), first[2].gate_id: ("pending", None)}
+    assert [r.delivery_id for r in machine.grade_requests(moves).collect()] == ["d5"]
+
+
 def event(i, kind, **more):
     e = dict(delivery_id=f"d{i}", ts=START + timedelta(hours=i), installation_id=1, repo_id=1, pr_number=1, user_id=9, user_login="me")
     if kind == "talk":

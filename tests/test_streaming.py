@@ -1,12 +1,13 @@
 from datetime import timedelta
 
-from history import events, frame, replay
+from history import events, frame, replay, with_late_grades
 from pyspark.sql import functions as F
 
 from gateledger.operators import machine, outbox
 from gateledger.sources.events import read_events
 from gateledger.streaming import jobs
-from gateledger.streaming.machine import Stack, StoredStack
+from gateledger.operators.pull_request import Stack
+from gateledger.streaming.machine import StoredStack
 
 
 def write_batches(spark, rows, folder, size):
@@ -52,19 +53,24 @@ class Chunks(dict):
     updateValue = dict.__setitem__
     removeKey = dict.__delitem__
     getValue = dict.__getitem__
+    containsKey = dict.__contains__
 
 
-def test_stored_stack_behaves_like_a_list():
+def test_stored_stack_behaves_like_the_one_in_memory():
     import random
 
     r = random.Random(0)
-    stored, plain = StoredStack(Chunks(), 0, []), Stack()
+    stored, plain, gates = StoredStack(Chunks(), Chunks(), 0, []), Stack(), []
     for i in range(5000):
-        if plain and r.random() < (0.3 if i < 2500 else 0.7):
-            stored.pop(), plain.pop()
+        newest = plain.newest()
+        assert stored.newest() == newest
+        if gates and r.random() < (0.3 if i < 2500 else 0.7):
+            gate = newest if newest and r.random() < 0.6 else r.choice(gates)  # the top, or any other, passed or not
+            stored.close(gate), plain.close(gate)
         else:
-            stored.push(str(i)), plain.push(str(i))
-        assert len(stored) == len(plain) and (not plain or stored.top() == plain.top())
+            gates.append(str(i))
+            stored.open(gates[-1]), plain.open(gates[-1])
+        assert stored.holds(gates[-1]) and not stored.holds("none")
         assert len(stored.ids) <= 2 * StoredStack.CHUNK
 
 
@@ -92,3 +98,14 @@ def test_late_events_change_nothing(spark, tmp_path):
     want = {d: o for d, (o, *_) in replay(rows[30:]).items()}
     early = set(replay(rows[:30]))
     assert got == want | dict.fromkeys(early - {e["delivery_id"] for e in rows[30:]}, "late")
+
+
+def test_late_grades_count_for_their_gate_in_stream_and_batch(spark, tmp_path):
+    rows = with_late_grades(events(260, 33), 5)
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    write_batches(spark, rows, source, 50)
+    jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), within="30 days", once=True, maxFilesPerTrigger=2).awaitTermination()
+    want = replay(rows)
+    assert {r.delivery_id: (r.outcome, r.gate_id, None) for r in spark.read.parquet(f"{out}/transitions").collect()} == want
+    batch = machine.gate_machine(read_events(spark, source)).select("delivery_id", "outcome", "gate_id", "capped").collect()
+    assert {r.delivery_id: tuple(r)[1:] for r in batch} == want
