@@ -25,10 +25,19 @@ def lean(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is above their language's threshold go."""
     lean(spark)
-    return lm.judged(docs).filter("quality.keep").drop("quality")
+    verdict = unused(docs, "verdict")
+    return lm.judged(docs, into=verdict).filter(f"{verdict}.keep").drop(verdict)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +55,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; of a document taken in part, at least half counts as whole."""
-    mixed = mixing.mix(docs, mixing.words(), mixing.quality())
-    times = F.when(F.col("mix.size") > 0, F.round(F.col("mix.taken") / F.col("mix.size"))).otherwise(0).cast("int")
-    copies = mixed.withColumn("mix", times).filter("mix > 0")
-    return copies.withColumn("mix", F.explode(F.sequence(F.lit(1), F.col("mix")))).select(*docs.columns)
+    share = unused(docs, "share")
+    mixed = mixing.mix(docs, mixing.words(), mixing.quality(), into=share)
+    size, taken = F.col(f"{share}.size"), F.col(f"{share}.taken")
+    times = F.when(size > 0, F.round(taken / size)).otherwise(0).cast("int")
+    copies = mixed.withColumn(share, times).filter(F.col(share) > 0)
+    return copies.withColumn(share, F.explode(F.sequence(F.lit(1), F.col(share)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
