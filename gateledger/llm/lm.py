@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gateledger.llm.tables import cut, set_aside, whole
+from gateledger.llm.tables import blocks_for, cut, set_aside, whole
 
 ORDER = 4
 START = "\n"  # stands before the first character of a text, ORDER - 1 times
 ALPHABET = 1 << 16  # characters that share what even single characters leave over
 BLOCK_CHARS = 24 << 20
+TASK_BYTES = 12 << 20  # text that a task takes at least, however many splits it comes in
+SALTS = 32  # copies of a language's one row, so that a hot language meets it in many tasks
 PART_CHARS = 1 << 20  # worked on at a time
 TABLE = 1 << 25  # values up to this are numbered by a table, larger ones by sorting
 QUANTILE = 0.99
@@ -221,6 +223,8 @@ def scored(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             runs = Runs(texts[part])
             values = np.fromiter((log.get(g, np.nan) for g in runs.grams), dtype=np.float64, count=len(runs.grams))
             own = runs.within(np.ones(len(runs.starts), dtype=bool))
+            if np.isnan(values[runs.places[own]]).any():
+                raise ValueError("a run of a text is in no table: the texts did not read the same twice")
             sums = np.concatenate([[0.0], np.cumsum(np.where(own, values[runs.places], 0.0))])
             ends = np.minimum(runs.starts + runs.lengths, len(runs.places))
             total = sums[ends] - sums[np.minimum(runs.starts, len(runs.places))]
@@ -251,6 +255,17 @@ def discounts(level: DataFrame) -> DataFrame:
     return level.groupBy("lang").agg(*n).select(F.col("lang").alias("of"), *[x.alias(f"d{k}") for k, x in zip((1, 2, 3), safe)])
 
 
+def by_language(rows: DataFrame, of: DataFrame, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``of`` has for their language in its single row, whose key column is ``of``.
+
+    The single row is copied for SALTS groups of rows, which the column ``spread`` deals out.
+    """
+    copies = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_group", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    same = (F.col("lang") == F.col("of")) & (F.col("_group") == F.col("_salt"))
+    return salted.join(copies, same, how).drop("of", "_salt", "_group")
+
+
 def model(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
     """Tables by length of run: (lang, gram, p) of what was seen, and (lang, gram, left) of contexts.
 
@@ -263,7 +278,7 @@ def model(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[
         levels[k] = levels[k + 1].groupBy("lang", tail("gram", k).alias("gram")).agg(F.count("*").alias("n"))
     seen, contexts, below = [], [], None
     for k in range(1, order + 1):
-        level = levels[k].join(discounts(levels[k]), F.col("lang") == F.col("of")).drop("of")
+        level = by_language(levels[k], discounts(levels[k]), "gram")
         off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.select("lang", "gram", head("gram", k).alias("context"), "n", F.least(off, F.col("n")).alias("off"))
         of = level.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum("off").alias("taken"))
@@ -303,6 +318,8 @@ def perplexities(docs: DataFrame, trusted: Column | None, text: str = "text", la
         F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), whole(text).alias("text"),
         (F.lit(None) if trusted is None else trusted).cast("boolean").alias("trusted"),
     )
+    # each task lists its own runs, so what is shuffled follows the text only if the tasks do
+    rows = rows.coalesce(blocks_for(rows, block_bytes=TASK_BYTES))
     grams = rows.mapInPandas(counted, "lang string, gram string, n long")
     counts = cut(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     logs = cut(log_probabilities(counts.select("lang", "gram"), counts.filter("n > 0")))
@@ -313,7 +330,7 @@ def perplexities(docs: DataFrame, trusted: Column | None, text: str = "text", la
         scored, "lang string, digest string, trusted boolean, repeats boolean, perplexity double"
     )
     return cut(found.groupBy("lang", "digest").agg(
-        F.max("trusted").alias("trusted"), F.first("repeats").alias("repeats"), F.first("perplexity").alias("perplexity"), F.count("*").alias("copies")
+        F.max("trusted").alias("trusted"), F.first("repeats").alias("repeats"), F.first("perplexity").alias("perplexity")
     ))
 
 
@@ -325,7 +342,7 @@ def judged(
 
     ``trusted`` marks the rows whose text the model learns from; where it is null or not given, the form
     of the text says so (:func:`trusted_form`). The threshold of a language is the
-    ``quantile`` of the perplexities of its trusted rows, times ``margin``. Null languages are one
+    ``quantile`` of the perplexities of its distinct trusted texts, times ``margin``. Null languages are one
     language. A null or blank text has no perplexity; neither it nor a text in a language without
     trusted text is rejected for that. A text that ``repeats`` a few words on and on is rejected whatever
     its perplexity. ``docs`` must read the same rows in the same order twice, as files or
@@ -336,7 +353,7 @@ def judged(
     limits = good.groupBy(F.col("lang").alias("of")).agg(
         (F.percentile_approx("perplexity", quantile, ACCURACY) * margin).alias("threshold")
     )
-    verdicts = found.join(limits, F.col("lang") == F.col("of"), "left").select(
+    verdicts = by_language(found, limits, "digest", "left").select(
         F.col("lang").alias("_lang"), F.col("digest").alias("_digest"), F.nanvl("perplexity", F.lit(None)).alias("_perplexity"),
         F.col("threshold").alias("_threshold"), F.col("repeats").alias("_repeats"),
     )

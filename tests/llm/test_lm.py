@@ -129,3 +129,21 @@ def test_words_repeated_on_and_on(spark, sf_dir):
     both = pd.merge(rows, spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas(), on="doc_id")
     good, bad = both[both.quality == 1], both[both.quality == 0]
     assert len(bad) and good.keep.mean() >= 0.98 and bad.keep.mean() <= 0.05
+
+
+def test_what_is_listed_follows_the_text_and_not_its_splits(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    whole = lm.judged(docs).select("doc_id", "quality.*").collect()
+    split = docs.repartition(40, "doc_id").sortWithinPartitions("doc_id")
+    assert sorted(map(repr, lm.judged(split).select("doc_id", "quality.*").collect())) == sorted(map(repr, whole))
+    listed = []
+    of = lm.blocks_for
+    monkeypatch.setattr(lm, "blocks_for", lambda rows, **more: listed.append(of(rows, **more)) or listed[-1])
+    lm.perplexities(split, None)
+    assert listed == [1]
+
+
+def test_a_run_without_a_probability_is_an_error():
+    rows = pd.DataFrame({"lang": ["en"], "digest": ["d"], "trusted": [True], "repeats": [False], "body": [lm.zstandard.ZstdCompressor().compress(b"abcdef")]})
+    with pytest.raises(ValueError, match="no table"):
+        lm.scored(rows, pd.DataFrame({"lang": ["en"], "gram": ["abcd"], "logp": [-1.0]}))

@@ -52,3 +52,13 @@ def test_stages_on_odd_documents(spark, odd_docs, no_docs, sf_dir, tmp_path):
             out.write.parquet(str(tmp_path / f"{k}{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{k}{name}"))
         assert (docs.count() > 0) == (k == 0)
+
+
+def test_own_columns_of_any_name_keep_their_values(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    named = docs.selectExpr("*", "doc_id + 0.5 AS quality", "doc_id * 2 AS mix", "doc_id AS verdict", "'s' AS Share", "doc_id AS _verdict")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, sf_dir)
+        assert out.columns == named.columns
+        for r in out.select("doc_id", "quality", "mix", "verdict", "Share", "_verdict").collect():
+            assert (float(r.quality), r.mix, r.verdict, r.Share, r._verdict) == (r.doc_id + 0.5, r.doc_id * 2, r.doc_id, "s", r.doc_id)
