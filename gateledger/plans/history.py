@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gateledger.functions import replies
-from gateledger.operators import filters, machine, outbox, quota
+from gateledger.operators import aggregates, filters, machine, outbox, quota, scoring
+from gateledger.operators.scan import cut
 from gateledger.plans import standins
 from gateledger.plans.registry import Source, fresh_folder, query, us
 from gateledger.plans.sql import GATES, PR_EVENTS
 from gateledger.plans.sql import machine as machine_sql
 from gateledger.plans.sql import relevant as relevant_sql
 from gateledger.plans.stored import pushes
+from gateledger.plans.texts import parity_model
 from gateledger.streaming import jobs
 from gateledger.streaming.machine import live_gate_machine as live_machine
 
@@ -193,45 +197,106 @@ def quota_replay(s: Source):
 PR_STATE = "STRUCT(k VARCHAR, head VARCHAR, dhash VARCHAR, gate VARCHAR, passed BOOLEAN, pending VARCHAR[])"
 RESULT = "STRUCT(id VARCHAR, outcome VARCHAR, gate VARCHAR, carries BOOLEAN, capped VARCHAR)"
 NOTHING = f"'p': CAST([] AS {PR_STATE}[]), 'w': CAST([] AS STRUCT(t BIGINT, i BIGINT)[]), 'o': CAST([] AS {RESULT}[])"
-LIMITED = f"""ev AS (SELECT {{'id': delivery_id, 't': epoch_us(ts), 'i': CAST(installation_id AS BIGINT), 'k': repo_id || ':' || pr_number, 'step': step,
-    'head': head_sha, 'dhash': dhash, 'trivial': trivial AND step <> 'explained', 'graded': graded, 'ungraded': g_ungraded, 'passes': g_pass, {NOTHING}}} AS e,
-    ts, delivery_id FROM relevant),
+def folded_sql(source: str, all_: str, per_install: str, result: str) -> str:
+    """``result``: id, outcome, gate, carries, capped of every event of ``source``, by a fold in time order."""
+    return f"""ev AS (SELECT {{'id': delivery_id, 't': epoch_us(ts), 'i': CAST(installation_id AS BIGINT), 'k': repo_id || ':' || pr_number, 'step': step,
+    'head': head_sha, 'dhash': dhash, 'trivial': trivial AND step <> 'explained', 'graded': graded, 'ungraded': g_ungraded, 'passes': g_pass, 'bound': bound, {NOTHING}}} AS e,
+    ts, delivery_id FROM {source}),
 folded AS (SELECT list_reduce(list(e ORDER BY ts, delivery_id), lambda a, x:
   list_transform([{{'pr': list_filter(a.p, lambda v: v.k = x.k)[1], 'w': list_filter(a.w, lambda v: v.t >= x.t - 86400000000)}}], lambda b:
   list_transform([{{'dup': x.step = 'opened' AND coalesce(b.pr.head = x.head, false),
     'carries': x.step = 'pushed' AND coalesce(b.pr.passed AND b.pr.dhash = x.dhash, false)}}], lambda c:
   list_transform([CASE WHEN x.step <> 'explained' AND NOT c.dup AND NOT x.trivial THEN
-    CASE WHEN len(b.w) >= {ALL} THEN 'global' WHEN len(list_filter(b.w, lambda v: v.i = x.i)) >= {PER_INSTALL} THEN 'install' END END], lambda cap:
+    CASE WHEN len(b.w) >= {all_} THEN 'global' WHEN len(list_filter(b.w, lambda v: v.i = x.i)) >= {per_install} THEN 'install' END END], lambda cap:
   list_transform([CASE WHEN c.dup THEN 'duplicate' WHEN x.trivial THEN 'trivial' WHEN cap IS NOT NULL THEN 'capped' WHEN c.carries THEN 'carried'
-    WHEN x.step <> 'explained' THEN 'gated' WHEN coalesce(len(b.pr.pending), 0) = 0 THEN 'ignored' WHEN NOT x.graded THEN 'requested'
+    WHEN x.step <> 'explained' THEN 'gated' WHEN x.bound IS NULL AND coalesce(len(b.pr.pending), 0) = 0 THEN 'ignored' WHEN NOT x.graded THEN 'requested'
     WHEN x.ungraded THEN 'ungraded' WHEN x.passes THEN 'passed' ELSE 'failed' END], lambda o:
   list_transform([CASE WHEN o = 'gated' THEN substr(sha256(x.k || ':' || x.id), 1, 32) WHEN o = 'carried' THEN b.pr.gate
-    WHEN o IN ('requested', 'ungraded', 'passed', 'failed') THEN b.pr.pending[-1] END], lambda g:
+    WHEN o IN ('requested', 'ungraded', 'passed', 'failed') THEN coalesce(x.bound, b.pr.pending[-1]) END], lambda g:
     {{'id': x.id, 't': x.t, 'i': x.i, 'k': x.k, 'step': x.step, 'head': x.head, 'dhash': x.dhash, 'trivial': x.trivial, 'graded': x.graded,
-      'ungraded': x.ungraded, 'passes': x.passes,
+      'ungraded': x.ungraded, 'passes': x.passes, 'bound': x.bound,
       'p': CASE o WHEN 'gated' THEN list_append(list_filter(a.p, lambda v: v.k <> x.k), {{'k': x.k, 'head': x.head, 'dhash': x.dhash, 'gate': g,
           'passed': false, 'pending': list_append(coalesce(b.pr.pending, CAST([] AS VARCHAR[])), g)}})
         WHEN 'carried' THEN list_append(list_filter(a.p, lambda v: v.k <> x.k), {{'k': x.k, 'head': x.head, 'dhash': b.pr.dhash, 'gate': b.pr.gate,
           'passed': b.pr.passed, 'pending': b.pr.pending}})
         WHEN 'passed' THEN list_append(list_filter(a.p, lambda v: v.k <> x.k), {{'k': x.k, 'head': b.pr.head, 'dhash': b.pr.dhash, 'gate': b.pr.gate,
-          'passed': b.pr.passed OR g = b.pr.gate, 'pending': b.pr.pending[:-2]}})
+          'passed': b.pr.passed OR g = b.pr.gate, 'pending': list_filter(b.pr.pending, lambda q: q <> g)}})
         ELSE a.p END,
       'w': CASE WHEN o = 'gated' THEN list_append(b.w, {{'t': x.t, 'i': x.i}}) ELSE b.w END,
       'o': list_append(a.o, {{'id': x.id, 'outcome': o, 'gate': g, 'carries': c.carries, 'capped': CASE WHEN o = 'capped' THEN cap END}})}})[1])[1])[1])[1])[1],
   {{'id': '', 't': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT), 'k': '', 'step': '', 'head': '', 'dhash': '', 'trivial': false, 'graded': false,
-    'ungraded': false, 'passes': false, {NOTHING}}}) AS f FROM ev),
-limited AS (SELECT unnest(f.o, recursive := true) FROM folded)"""
+    'ungraded': false, 'passes': false, 'bound': '', {NOTHING}}}) AS f FROM ev),
+{result} AS (SELECT unnest(f.o, recursive := true) FROM folded)"""
+
+
+UNBOUND = "unbound AS (SELECT *, CAST(NULL AS VARCHAR) AS bound FROM relevant)"
+LIMITED = folded_sql("unbound", str(ALL), str(PER_INSTALL), "limited")
 
 
 @query(
     """SELECT delivery_id, outcome, gate AS gate_id, carries, limited.capped, CASE WHEN step <> 'explained' THEN reason END AS reason, head_sha, epoch_us(ts) AS ts_us
     FROM limited JOIN relevant ON delivery_id = id""",
-    (PR_EVENTS, relevant_sql(), LIMITED),
+    (PR_EVENTS, relevant_sql(), UNBOUND, LIMITED),
 )
 def replay_gates(s: Source):
     return _outcomes(machine.replay_gates(s.pr_events, PER_INSTALL, ALL))
 
 
+# Requests are graded by what all was told, two days later, each for the gate it was asked for.
+TOLD = """told AS (SELECT *, concat_ws(chr(10) || chr(10), earlier, body) AS explanation FROM (
+  SELECT *, string_agg(CASE WHEN outcome <> 'requested' THEN body END, chr(10) || chr(10)) OVER (
+    PARTITION BY gate_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
+  FROM moves WHERE outcome IN ('requested', 'ungraded', 'passed', 'failed')))"""
+ALL_GRADED = """later AS (SELECT * REPLACE ('grade:' || delivery_id AS delivery_id, ts + INTERVAL 2 DAYS AS ts, true AS graded,
+    length(explanation) % 9 <> 0 AND length(explanation) % 2 = 0 AS g_pass, length(explanation) % 9 = 0 AS g_ungraded), gate_id AS bound
+  FROM told WHERE outcome = 'requested'),
+both_kinds AS (SELECT *, CAST(NULL AS VARCHAR) AS bound FROM relevant UNION ALL BY NAME SELECT * FROM later)"""
+NO_LIMIT = str(10**9)
+
+
+def _later(column: str) -> Column:
+    return F.col(column) + F.expr("INTERVAL 2 DAYS")
+
+
+@query(
+    "SELECT id AS delivery_id, outcome, gate AS gate_id, carries FROM looped",
+    (*MOVES, TOLD, ALL_GRADED, folded_sql("both_kinds", NO_LIMIT, NO_LIMIT, "looped")),
+)
+def grade_loop(s: Source):
+    """Requests out of the machine, graded by a model, back into the log as events, and through the machine again."""
+    requests = machine.grade_requests(machine.gate_machine(s.pr_events))
+    graded = scoring.grade_batch(requests, parity_model)
+    log = machine.graded_log(s.pr_events, machine.grade_events(graded, _later("ts")))
+    return machine.gate_machine(log).select("delivery_id", "outcome", "gate_id", "carries")
+
+
+def closing_by_length():
+    """A model that names topics and verdicts by the length of what it read; some of its answers are no close."""
+
+    def complete(system: str, user: str, model: str | None = None, timeout: float = 60.0) -> str:
+        n = len(user)
+        if n % 11 == 0:
+            return "nothing to say"
+        topics = [{"concept": f"part {n % 3}", "verdict": ("strong", "thin", "odd")[n % 3], "note": "n"}]
+        return json.dumps({"topics": topics, "strongest": "s", "growth_edge": "g", "one_line": "o"})
+
+    return complete
+
+
+@query(
+    """SELECT user_id AS passed_by_id, 'part ' || (n % 3) AS concept, count(*) FILTER (n % 3 = 0) AS strong, count(*) FILTER (n % 3 = 2) AS solid,
+      count(*) FILTER (n % 3 = 1) AS thin FROM (SELECT user_id, least(length(explanation), 6000) AS n FROM told WHERE outcome = 'passed')
+    WHERE n % 11 <> 0 GROUP BY 1, 2""",
+    (*MOVES, TOLD),
+)
+def closeout_record(s: Source):
+    """Passes closed by a model, their closes kept with the gates, and the record of every person made of those."""
+    moves = cut(machine.gate_machine(s.pr_events))
+    closed = scoring.closeout_batch(machine.told(moves, "passed"), closing_by_length)
+    gates = machine.gates_of(machine.with_closeouts(moves, closed))
+    return aggregates.topic_record(gates).select("passed_by_id", "concept", "strong", "solid", "thin")
+
+
 @query("SELECT delivery_id, kind, epoch_us(ts) AS ts_us FROM pr_events", (PR_EVENTS,))
 def dedupe_deliveries(s: Source):
     copies = s.pr_events.unionAll(s.pr_events.withColumn("ts", F.col("ts") + F.expr("INTERVAL 5 MINUTES")))
