@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gateledger.operators.store import align_schema
@@ -84,6 +84,16 @@ def append_gates(df: DataFrame, path: str) -> None:
 
 
 def append_attempts(df: DataFrame, path: str) -> None:
-    """Append attempts; the id follows from the gate, the comment and the reviewer."""
-    identity = F.concat_ws(":", "checkpoint_id", "comment_id", "reviewer_id", F.sha2("explanation", 256))
-    _append_new(with_defaults(df, "attempts", identity), path)
+    """Append attempts; the id follows from the gate, the comment, the reviewer, the words and the time.
+
+    The same comment twice is one attempt. Attempts without a comment are all kept: those that are alike
+    in everything are told apart by their place among each other, so a rerun of the same rows adds nothing.
+    """
+    full = align_schema(df, schema("attempts"))
+    parts = ["checkpoint_id", "comment_id", "reviewer_id", "explanation", "created_at"]
+    alike = F.row_number().over(Window.partitionBy(*parts).orderBy("reviewer_login", "hole"))
+    full = full.withColumn("__nth", F.when(F.col("comment_id").isNull(), alike))
+    named = F.struct(*[c for c in parts if c != "created_at"], F.when(F.col("comment_id").isNull(), F.col("created_at")).alias("at"), "__nth")
+    identity = F.to_json(named, {"ignoreNullFields": "false"})
+    rows = with_defaults(full.withColumn("id", F.coalesce("id", F.substring(F.sha2(identity, 256), 1, 32))), "attempts")
+    _append_new(rows, path)

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gateledger.operators.machine import gate_machine
 from gateledger.operators.outbox import action_outbox
-from gateledger.operators.scan import pick_per_key
+from gateledger.operators.scan import cut, join_null_safe, pick_per_key
+from gateledger.operators.windows import PR
 from gateledger.sources.events import read_events
-from gateledger.streaming.machine import live_gate_machine
+from gateledger.streaming.machine import REMEMBER_HOURS, live_gate_machine
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,6 +25,18 @@ def dedupe_deliveries(events: DataFrame, within: str = "1 day") -> DataFrame:
     return pick_per_key(events, ["delivery_id"], [F.col("ts")])
 
 
+def reconciled(transitions: DataFrame, events: DataFrame) -> DataFrame:
+    """Transitions of a stream in which pull requests that had late events are replayed from the log, in batch.
+
+    ``events`` is the whole log without redeliveries. Only pull requests with a late event are read again.
+    """
+    behind = cut(transitions.filter("outcome = 'late'").select(*PR).distinct())
+    again = gate_machine(join_null_safe(events, behind, PR, "left_semi"))
+    same = [c for c in transitions.columns if c in again.columns]
+    kept = join_null_safe(transitions, behind, PR, "left_anti")
+    return kept.select(same).unionByName(again.select(same))
+
+
 def streaming_gate_counts(
     gates: DataFrame, window: str = "24 hours", slide: str = "1 hour", late: str = "1 hour"
 ) -> DataFrame:
@@ -61,10 +75,14 @@ def streaming_pipeline(
     source: str,
     out: str,
     checkpoint: str,
-    within: str = "1 day",
+    remember_hours: int = REMEMBER_HOURS,
     once: bool = False,
     **read_options: object,
 ) -> StreamingQuery:
-    """Event log in, transitions and actions out: read, drop redeliveries, replay the gates, emit."""
-    events = dedupe_deliveries(read_events(spark, source, streaming=True, **read_options), within)
-    return write_transitions(live_gate_machine(events), out, checkpoint, once)
+    """Event log in, transitions and actions out: read, drop redeliveries, replay the gates, emit.
+
+    Every delivery comes out as one transition if it is relevant; late ones change nothing until
+    :func:`reconciled` replays their pull requests.
+    """
+    events = read_events(spark, source, streaming=True, **read_options)
+    return write_transitions(live_gate_machine(events, remember_hours), out, checkpoint, once)

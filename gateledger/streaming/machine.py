@@ -19,7 +19,9 @@ from gateledger.operators.machine import relevant_events
 from gateledger.operators.pull_request import PullRequest
 from gateledger.operators.windows import PR
 
-STATE = "head string, hash string, gate string, passed boolean, at bigint, delivery string, chunks int, top array<string>"
+STATE = "head string, hash string, gate string, passed boolean, at bigint, delivery string, chunks int, top array<string>, seen int"
+REMEMBER_HOURS = 24  # of event time before the last applied event, for which a redelivery is known
+PRUNE = 256  # remembered ids from which old ones are looked for
 OUTPUT = "repo_id bigint, pr_number int, delivery_id string, at bigint, outcome string, gate_id string, payload string"
 # Nested and wide columns cross the Python worker as one JSON string.
 PAYLOAD = [
@@ -65,21 +67,30 @@ class StoredStack:
 
 
 class GateProcessor(StatefulProcessor):
-    """Keeps a ``PullRequest`` in the state store."""
+    """Keeps a ``PullRequest`` in the state store, and the ids of its deliveries for a while."""
+
+    def __init__(self, remember_us: int):
+        self.remember_us = remember_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getValueState("latest", STATE)
         self.chunks = handle.getMapState("pending", "n int", "gates array<string>")
         self.gates = handle.getMapState("gates", "gate string", "passed boolean")
+        self.seen = handle.getMapState("seen", "delivery string", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         pr, done = PullRequest(key[0], key[1]), (-(2**62), "")
         stored = self.latest.get()
         pr.pending = StoredStack(self.chunks, self.gates, 0, [])
+        seen = 0
         if stored:
-            pr.head, pr.hash, pr.gate, pr.passed, at, delivery, count, top = stored
+            pr.head, pr.hash, pr.gate, pr.passed, at, delivery, count, top, seen = stored
             pr.pending, done = StoredStack(self.chunks, self.gates, count, list(top)), (at, delivery)
         for e in sorted(rows, key=lambda r: (r.at, r.delivery_id)):
+            if self.seen.containsKey((e.delivery_id,)):
+                continue  # delivered again
+            self.seen.updateValue((e.delivery_id,), (e.at,))
+            seen += 1
             place, result = (e.at, e.delivery_id), ("late", None)
             if place > done:
                 done, result = place, pr.apply(e)
@@ -92,16 +103,24 @@ class GateProcessor(StatefulProcessor):
                 gate_id=result[1],
                 payload=e.payload,
             )
+        if seen > PRUNE:
+            old = [k for k, (at,) in self.seen.iterator() if at < done[0] - self.remember_us]
+            for k in old:
+                self.seen.removeKey(k)
+            seen -= len(old)
         stack = pr.pending
-        self.latest.update((pr.head, pr.hash, pr.gate, pr.passed, *done, stack.count, stack.ids))
+        self.latest.update((pr.head, pr.hash, pr.gate, pr.passed, *done, stack.count, stack.ids, seen))
 
     def close(self) -> None:
         pass
 
 
-def live_gate_machine(events: DataFrame) -> DataFrame:
+def live_gate_machine(events: DataFrame, remember_hours: int = REMEMBER_HOURS) -> DataFrame:
     """``gate_machine`` over a stream of events; the same outcomes, plus ``late``.
 
+    A delivery that comes again within ``remember_hours`` of event time changes nothing and comes out
+    once. Nothing is dropped for its age: each relevant delivery has one transition.
+
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     rows = relevant_events(events)
@@ -122,7 +141,7 @@ def live_gate_machine(events: DataFrame) -> DataFrame:
         F.to_json(F.struct(*PAYLOAD)).alias("payload"),
     )
     moved = flat.groupBy(*PR).transformWithState(
-        statefulProcessor=GateProcessor(),
+        statefulProcessor=GateProcessor(remember_hours * 3_600_000_000),
         outputStructType=StructType.fromDDL(OUTPUT),
         outputMode="append",
         timeMode="none",

@@ -149,3 +149,15 @@ def test_filter_and_columns_reach_the_scan(spark, tmp_path):
     gates = spark.read.parquet(str(tmp_path / "g"))
     plan = filters.select_gates(gates, ["id"], repo_id=1)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(repo_id,1)" in plan and "head_sha" not in plan
+
+
+def test_attempts_without_a_comment_are_all_kept(spark, tmp_path):
+    from gateledger.sources import tables
+
+    path = str(tmp_path / "attempts")
+    rows = [("g", 5, None, "one"), ("g", None, 5, "one"), ("g", None, None, "two"), ("g", None, None, "two"), ("g", 7, 8, "three"), ("g", 7, 8, "three"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "checkpoint_id string, comment_id bigint, reviewer_id bigint, explanation string")
+    for _ in range(2):
+        tables.append_attempts(df, path)
+        stored = spark.read.parquet(path)
+        assert stored.count() == stored.select("id").distinct().count() == 6

@@ -22,7 +22,7 @@ def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
     rows = events(300, 21)
     source, out = str(tmp_path / "log"), str(tmp_path / "out")
     write_batches(spark, rows, source, 60)
-    query = jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), within="30 days", once=True, maxFilesPerTrigger=2)
+    query = jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), once=True, maxFilesPerTrigger=2)
     query.awaitTermination()
     moves = spark.read.parquet(f"{out}/transitions")
     got = {r.delivery_id: (r.outcome, r.gate_id, None) for r in moves.collect()}
@@ -32,7 +32,7 @@ def test_stream_equals_batch_over_many_micro_batches(spark, tmp_path):
     before = spark.read.parquet(f"{out}/actions").count()
     again = [e | {"ts": e["ts"] + timedelta(minutes=1)} for e in rows[:40]]
     frame(spark, again).coalesce(1).write.mode("append").parquet(source)
-    jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), within="30 days", once=True, maxFilesPerTrigger=2).awaitTermination()
+    jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), once=True, maxFilesPerTrigger=2).awaitTermination()
     actions = spark.read.parquet(f"{out}/actions")
     assert actions.count() == before == actions.select("action_id").distinct().count()
     whole = outbox.action_outbox(machine.gate_machine(jobs.dedupe_deliveries(read_events(spark, source))))
@@ -93,7 +93,7 @@ def test_late_events_change_nothing(spark, tmp_path):
     source, out = str(tmp_path / "log"), str(tmp_path / "out")
     for part in (rows[30:], rows[:30]):
         frame(spark, part).coalesce(1).write.mode("append").parquet(source)
-        jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), within="60 days", once=True).awaitTermination()
+        jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), once=True).awaitTermination()
     got = {r.delivery_id: r.outcome for r in spark.read.parquet(f"{out}/transitions").collect()}
     want = {d: o for d, (o, *_) in replay(rows[30:]).items()}
     early = set(replay(rows[:30]))
@@ -104,8 +104,24 @@ def test_late_grades_count_for_their_gate_in_stream_and_batch(spark, tmp_path):
     rows = with_late_grades(events(260, 33), 5)
     source, out = str(tmp_path / "log"), str(tmp_path / "out")
     write_batches(spark, rows, source, 50)
-    jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), within="30 days", once=True, maxFilesPerTrigger=2).awaitTermination()
+    jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), once=True, maxFilesPerTrigger=2).awaitTermination()
     want = replay(rows)
     assert {r.delivery_id: (r.outcome, r.gate_id, None) for r in spark.read.parquet(f"{out}/transitions").collect()} == want
     batch = machine.gate_machine(read_events(spark, source)).select("delivery_id", "outcome", "gate_id", "capped").collect()
     assert {r.delivery_id: tuple(r)[1:] for r in batch} == want
+
+
+def test_out_of_order_backfill_reconciles_to_the_batch_result(spark, tmp_path):
+    rows = sorted(events(160, 12), key=lambda e: (e["ts"], e["delivery_id"]))
+    source, out = str(tmp_path / "log"), str(tmp_path / "out")
+    parts = [rows[i : i + 40] for i in range(0, 160, 40)]
+    for part in (parts[1], parts[0] + parts[1][:9], parts[3], parts[2]):
+        frame(spark, part).coalesce(1).write.mode("append").parquet(source)
+    jobs.streaming_pipeline(spark, source, out, str(tmp_path / "cp"), once=True, maxFilesPerTrigger=1).awaitTermination()
+    moves = spark.read.parquet(f"{out}/transitions")
+    want = replay(rows)
+    assert sorted(r.delivery_id for r in moves.collect()) == sorted(want)
+    assert moves.filter("outcome = 'late'").count() > 10
+    log = jobs.dedupe_deliveries(read_events(spark, source))
+    got = jobs.reconciled(moves, log).select("delivery_id", "outcome", "gate_id", "capped").collect()
+    assert {r.delivery_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
