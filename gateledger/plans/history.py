@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from gateledger.functions import replies
 from gateledger.operators import aggregates, filters, machine, outbox, quota, scoring
 from gateledger.operators.scan import cut
+from gateledger.operators.store import align_schema
 from gateledger.plans import standins
 from gateledger.plans.registry import Source, fresh_folder, query, us
 from gateledger.plans.sql import GATES, PR_EVENTS
@@ -17,6 +20,8 @@ from gateledger.plans.sql import machine as machine_sql
 from gateledger.plans.sql import relevant as relevant_sql
 from gateledger.plans.stored import pushes
 from gateledger.plans.texts import parity_model
+from gateledger.schemas import schema
+from gateledger.sources.events import read_events
 from gateledger.streaming import jobs
 from gateledger.streaming.machine import live_gate_machine as live_machine
 
@@ -337,6 +342,48 @@ def live_gate_machine(s: Source):
     return moves.select("delivery_id", "outcome", "gate_id", "reason", us("ts"))
 
 
+def _log_in_slices(s: Source, order: list[int]) -> str:
+    """The event log as files of four stretches of time, written one after another in the given order."""
+    folder = fresh_folder(s.spark, "log")
+    rows = s.pr_events
+    edges = rows.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75], 1000)).head()[0]
+    slice_ = reduce(add, (F.when(F.unix_micros("ts") > e, 1).otherwise(0) for e in edges))
+    full = align_schema(rows, schema("events")).withColumn("slice", slice_)
+    for k in order:
+        full.filter(F.col("slice") == k).drop("slice").repartition(FILES, "delivery_id").write.mode("append").parquet(folder)
+    return folder
+
+
+FILES = 4
+LIVE_SQL = "SELECT delivery_id, outcome, gate_id, epoch_us(ts) AS ts_us FROM moves"
+
+
+def _streamed(s: Source, log: str) -> DataFrame:
+    """Transitions of the whole stream job over a log, a slice in each micro-batch."""
+    spark = s.spark.newSession()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    tasks = str(min(int(s.spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    out = fresh_folder(s.spark, "live")
+    jobs.streaming_pipeline(spark, log, out, f"{out}/checkpoint", once=True, maxFilesPerTrigger=FILES).awaitTermination()
+    return s.spark.read.parquet(f"{out}/transitions")
+
+
+@query(LIVE_SQL, MOVES)
+def streaming_pipeline(s: Source):
+    """Event log to transitions in several micro-batches, state read back in each."""
+    return _streamed(s, _log_in_slices(s, [0, 1, 2, 3])).select("delivery_id", "outcome", "gate_id", us("ts"))
+
+
+@query(LIVE_SQL, MOVES)
+def reconciled(s: Source):
+    """The same with stretches out of order: late events come out as such and their pull requests are replayed."""
+    log = _log_in_slices(s, [1, 0, 3, 2])
+    moves = jobs.reconciled(_streamed(s, log), read_events(s.spark, log))
+    return moves.select("delivery_id", "outcome", "gate_id", us("ts"))
+
+
 @query(
     f"SELECT kind, outcome, count(*) AS n FROM ({_outbox_sql()}) GROUP BY 1, 2",
     MOVES,

@@ -46,7 +46,8 @@ def append_gates(s: Source):
 
 
 @query(
-    """SELECT DISTINCT substr(sha256(checkpoint_id || ':' || reviewer_id || ':' || sha256(explanation)), 1, 32) AS id,
+    """SELECT substr(sha256('{"checkpoint_id":"' || checkpoint_id || '","comment_id":null,"reviewer_id":' || reviewer_id || ',"words":"' || sha256(explanation)
+        || '","at":null,"nth":' || row_number() OVER (PARTITION BY checkpoint_id, reviewer_id, explanation) || '}'), 1, 32) AS id,
       checkpoint_id, explanation, true AS assisted, false AS ungraded FROM attempts""",
     (ATTEMPTS,),
 )

@@ -93,7 +93,10 @@ def append_attempts(df: DataFrame, path: str) -> None:
     parts = ["checkpoint_id", "comment_id", "reviewer_id", "explanation", "created_at"]
     alike = F.row_number().over(Window.partitionBy(*parts).orderBy("reviewer_login", "hole"))
     full = full.withColumn("__nth", F.when(F.col("comment_id").isNull(), alike))
-    named = F.struct(*[c for c in parts if c != "created_at"], F.when(F.col("comment_id").isNull(), F.col("created_at")).alias("at"), "__nth")
+    when = F.when(F.col("comment_id").isNull(), F.unix_micros("created_at"))
+    named = F.struct(
+        "checkpoint_id", "comment_id", "reviewer_id", F.sha2("explanation", 256).alias("words"), when.alias("at"), F.col("__nth").alias("nth")
+    )
     identity = F.to_json(named, {"ignoreNullFields": "false"})
     rows = with_defaults(full.withColumn("id", F.coalesce("id", F.substring(F.sha2(identity, 256), 1, 32))), "attempts")
     _append_new(rows, path)
