@@ -6,6 +6,7 @@ a lost executor never costs more than the stage at work.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,14 @@ BATCH_ROWS = 2000
 
 
 def lean(spark: SparkSession) -> None:
+    """Small batches for Python workers, and the disk of the stage before set free.
+
+    Spark deletes shuffle files once the frames that wrote them are collected on the driver, which an
+    idle driver puts off for up to half an hour, longer than a stage takes.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def unused(docs: DataFrame, name: str) -> str:
@@ -55,6 +63,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; of a document taken in part, at least half counts as whole."""
+    lean(spark)
     share = unused(docs, "share")
     mixed = mixing.mix(docs, mixing.words(), mixing.quality(), into=share)
     size, taken = F.col(f"{share}.size"), F.col(f"{share}.taken")
