@@ -18,6 +18,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from gateledger.llm.tables import whole
 SPACE = "\u2581"  # how a vocabulary writes a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
 BPE = 2  # the model type of merge vocabularies
-MEMO_CHARS = 3_000_000  # characters of the distinct stretches a task remembers before it starts afresh
+MEMO_CHARS = 2_000_000  # characters of the distinct stretches a task remembers before it starts afresh
 SHORT = 40  # characters up to which stretches are merged side by side, longer ones each by a heap
 NONE = (1 << 31) - 1  # the rank of what is no piece
 UNKNOWN_SIGN, PAD = -1, -2  # symbols of a character that is no piece, and of no character
@@ -80,7 +81,7 @@ class Vocabulary:
             raise ValueError("only merge vocabularies with spaces before words are known")
         if norm.get(2) or not norm.get(3, 1) or norm.get(4, 1) or not norm.get(5, 1):
             raise ValueError("only the identity normaliser with a leading space is known")
-        self.scores: dict[str, float] = {}
+        scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
         self.kinds: list[int] = []
@@ -90,7 +91,7 @@ class Vocabulary:
             piece, kind = parts[1].decode(), parts.get(3, NORMAL)
             self.kinds.append(kind)
             if kind == NORMAL:
-                self.ids[piece], self.scores[piece] = id_, struct.unpack("<f", parts.get(2, bytes(4)))[0]
+                self.ids[piece], scores[piece] = id_, struct.unpack("<f", parts.get(2, bytes(4)))[0]
                 self.surface.append(piece.replace(SPACE, " ").encode())
             elif kind == BYTE:
                 self.bytes[int(piece[1:-1], 16)] = id_
@@ -102,13 +103,13 @@ class Vocabulary:
         if len(self.bytes) < 256:
             raise ValueError("only vocabularies with all byte pieces are known")
         self.begin, self.end = trainer.get(41, 1), trainer.get(42, 2)
-        by_score = {score: k for k, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        by_score = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
         self.ranks: dict[tuple[int, int], int] = {}  # of pairs of pieces that together are one, the best score first
         self.merged: dict[tuple[int, int], int] = {}
         for piece, id_ in self.ids.items():
             for k in range(1, len(piece)):
                 if (left := self.ids.get(piece[:k])) is not None and (right := self.ids.get(piece[k:])) is not None:
-                    self.ranks[left, right], self.merged[left, right] = by_score[self.scores[piece]], id_
+                    self.ranks[left, right], self.merged[left, right] = by_score[scores[piece]], id_
         # where no piece goes on with a space after another sign, no merge crosses the place before a space
         crossing = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
         self.stretch = re.compile(r"(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -119,6 +120,13 @@ class Vocabulary:
             return cls(f.read())
 
 
+class Spoken(NamedTuple):
+    """What decoding needs of a vocabulary."""
+
+    surface: list[bytes]
+    kinds: list[int]
+
+
 class Agendas:
     """The agendas of many stretches at once: a row of symbols each, and a row of the ranks of its pairs.
 
@@ -305,7 +313,7 @@ def valid(spelled: bytes) -> bytes:
     return b"".join(out)
 
 
-def text_of(ids: list[int], v: Vocabulary) -> bytes:
+def text_of(ids: list[int], v: Vocabulary | Spoken) -> bytes:
     """The text of ids in UTF-8: pieces joined, runs of byte pieces read as characters."""
     joined = b"".join(map(v.surface.__getitem__, ids))
     first = next((i for i in ids if v.kinds[i] != CONTROL), None)
@@ -331,16 +339,18 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, tokens: str = "tokens", into
     that the vocabulary does not hold is an error.
     """
 
+    spoken, model = Spoken(vocabulary.surface, vocabulary.kinds), vocabulary.model
+
     @F.arrow_udf(T.StringType())
     def texts_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        other = library(vocabulary.model)
+        other = library(model)
         for batch in batches:
             parts = []
             for coded in portions(batch):
                 rows = [None if c is None else np.frombuffer(c, "<u4").tolist() for c in coded.to_pylist()]
-                if any(max(r) >= len(vocabulary.kinds) for r in rows if r):
+                if any(max(r) >= len(spoken.kinds) for r in rows if r):
                     raise ValueError("an id is not in the vocabulary")
-                texts = [None if r is None else text_of(r, vocabulary).decode() for r in rows]
+                texts = [None if r is None else text_of(r, spoken).decode() for r in rows]
                 theirs = iter(other.decode([r for r in rows if r is not None], num_threads=1))
                 if any(t != next(theirs) for t in texts if t is not None):
                     raise ValueError("the library decodes a text otherwise")
