@@ -18,6 +18,7 @@ from gateledger.plans.registry import Source, fresh_folder, query, us
 from gateledger.plans.sql import GATES, PR_EVENTS
 from gateledger.plans.sql import machine as machine_sql
 from gateledger.plans.sql import relevant as relevant_sql
+from gateledger.plans.sql import sql_pick, sql_text
 from gateledger.plans.stored import pushes
 from gateledger.plans.texts import parity_model
 from gateledger.schemas import schema
@@ -98,42 +99,31 @@ def grade_requests(s: Source):
     return requests.select("delivery_id", "gate_id", "explanation")
 
 
-def _sql_text(value: str | None) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
-
-
-def _sql_pick(options: list[str], seed: str) -> str:
-    listed = ", ".join(map(_sql_text, options))
-    codes = f"list_transform(string_split({seed}, ''), lambda c: CAST(unicode(c) AS BIGINT))"
-    n = f"list_reduce({codes}, lambda h, x: (h * 31 + x) % 4294967296, CAST(0 AS BIGINT)) % {len(options)}"
-    return f"([{listed}])[CAST({n} AS INTEGER) + 1]"
-
-
 def _outbox_sql() -> str:
     nl = "chr(10) || chr(10)"
     seed = "CASE WHEN no_decisions THEN 'whole' ELSE topic END"
     listed = (
-        f"CASE WHEN NOT no_decisions THEN {_sql_pick(replies.PLAIN.lead_ins, f'({seed}) || ' + _sql_text('^'))} || ':' || chr(10)"
+        f"CASE WHEN NOT no_decisions THEN {sql_pick(replies.PLAIN.lead_ins, f'({seed}) || ' + sql_text('^'))} || ':' || chr(10)"
         " || '- the ' || replace(topic, '-', ' ') || ': how it works and why' END"
     )
     elicit = (
-        f"concat_ws({nl}, '### Explain this change to merge', {_sql_pick(replies.PLAIN.openings, seed)}, {listed}, "
-        f"{_sql_pick(replies.PLAIN.closings, f'({seed}) || ' + _sql_text('~'))})"
+        f"concat_ws({nl}, '### Explain this change to merge', {sql_pick(replies.PLAIN.openings, seed)}, {listed}, "
+        f"{sql_pick(replies.PLAIN.closings, f'({seed}) || ' + sql_text('~'))})"
     )
-    rescue = f"concat_ws({nl}, {_sql_pick(replies.PLAIN.rescue_heads, 'topic')}, topic, 'Another reply here will be graded too.')"
+    rescue = f"concat_ws({nl}, {sql_pick(replies.PLAIN.rescue_heads, 'topic')}, topic, 'Another reply here will be graded too.')"
     passed = f"concat_ws({nl}, '{replies.PASS_HEAD}', 'Thank you, @' || user_login || '. Your reply explains the mechanism.')"
     ungraded = f"concat_ws({nl}, '### Grader unavailable', 'No grade was given (no answer). The check is neutral, not passed.')"
     summary = {
         "trivial": "reason",
-        "gated": _sql_text(outbox.PENDING_SUMMARY),
-        "carried": _sql_text(outbox.CARRIED_SUMMARY),
+        "gated": sql_text(outbox.PENDING_SUMMARY),
+        "carried": sql_text(outbox.CARRIED_SUMMARY),
         "ungraded": "'no answer'",
         "passed": "'Explained by @' || user_login || '.'",
     }
     body = {"gated": elicit, "failed": rescue, "passed": passed, "ungraded": ungraded}
     parts = [
-        f"SELECT delivery_id || ':{kind}' AS action_id, outcome, '{kind}' AS kind, {_sql_text(status)} AS status, "
-        f"{_sql_text(conclusion)} AS conclusion, {_sql_text(title)} AS title, {summary[name]} AS summary, NULL AS body "
+        f"SELECT delivery_id || ':{kind}' AS action_id, outcome, '{kind}' AS kind, {sql_text(status)} AS status, "
+        f"{sql_text(conclusion)} AS conclusion, {sql_text(title)} AS title, {summary[name]} AS summary, NULL AS body "
         f"FROM moves WHERE outcome = '{name}'"
         for name, (kind, status, conclusion, title) in outbox.CHECKS.items()
         if name in summary

@@ -124,3 +124,16 @@ moves AS (
       WHEN NOT graded THEN 'requested' WHEN g_ungraded THEN 'ungraded' WHEN passes THEN 'passed' ELSE 'failed' END AS outcome,
     CASE WHEN is_new THEN own WHEN effective THEN latest WHEN step = 'explained' AND level > 0 THEN target END AS gate_id
   FROM m12)"""
+
+
+def sql_text(value: str | None) -> str:
+    """A string literal."""
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def sql_pick(options: list[str], seed: str) -> str:
+    """The option that the expression ``seed`` picks."""
+    listed = ", ".join(map(sql_text, options))
+    codes = f"list_transform(string_split({seed}, ''), lambda c: CAST(unicode(c) AS BIGINT))"
+    n = f"list_reduce({codes}, lambda h, x: (h * 31 + x) % 4294967296, CAST(0 AS BIGINT)) % {len(options)}"
+    return f"([{listed}])[CAST({n} AS INTEGER) + 1]"

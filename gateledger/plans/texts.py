@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gateledger.functions import answers, replies, text
 from gateledger.functions.diffs import GENERATED_RE, TRIVIAL_RE
 from gateledger.operators import aggregates, filters, overlap, policy, scoring
 from gateledger.plans.registry import Source, query
-from gateledger.plans.sql import TRIM, classified
-from gateledger.schemas import DECISIONS
+from gateledger.plans.sql import TRIM, classified, sql_pick
+from gateledger.schemas import CLOSEOUT, DECISIONS
 
 @query(
     f"""SELECT conv_id, turn FROM conversations WHERE role <> 'assistant' AND role = 'user' AND length({TRIM.format("text")}) >= 40"""
@@ -248,20 +249,58 @@ def clip(s: Source):
     )
 
 
+WORDINGS = replies.Texts(
+    openings=("What does this change do?", "How does this change work?", "Why is this change right?"),
+    lead_ins=("Cover", "Say something about"),
+    closings=("Reply here.", "Answer below.", "A reply will be graded."),
+    rescue_heads=("### Not yet", "### One more point"),
+)
+NL = "chr(10) || chr(10)"
+CONCEPT = "'part-' || lang"
+ELICIT = f"""concat_ws({NL}, '### Explain this change to merge', {sql_pick(WORDINGS.openings, f"CASE WHEN doc_id % 4 = 0 THEN 'whole' ELSE {CONCEPT} || '|' || source END")},
+  CASE WHEN doc_id % 4 <> 0 THEN {sql_pick(WORDINGS.lead_ins, f"({CONCEPT} || '|' || source || '^')")} || ':' || chr(10) || '- the part ' || lang || ': how it works and why'
+    || chr(10) || '- why ' || doc_id || '?' END,
+  {sql_pick(WORDINGS.closings, f"CASE WHEN doc_id % 4 = 0 THEN 'whole~' ELSE {CONCEPT} || '|' || source || '~' END")})"""
+
+
 @query(
-    """SELECT doc_id, '### Daily limit reached' || chr(10) || chr(10) || 'Not gated: '
+    f"""SELECT doc_id, '### Daily limit reached' || {NL} || 'Not gated: '
       || CASE WHEN doc_id % 2 = 0 THEN 'this account has used up its daily gates' ELSE 'the service has used up its daily gates' END
       || '. The check is neutral and does not block.' AS capped,
-      '### Grader unavailable' || chr(10) || chr(10) || 'No grade was given (' || source || ', ' || lang || '). The check is neutral, not passed.' AS ungraded
+      '### Grader unavailable' || {NL} || 'No grade was given (' || source || ', ' || lang || '). The check is neutral, not passed.' AS ungraded,
+      {ELICIT} AS elicit,
+      concat_ws({NL}, {sql_pick(WORDINGS.rescue_heads, "(source || ' ' || doc_id)")}, source || ' ' || doc_id, 'Another reply here will be graded too.') AS rescue,
+      CASE WHEN doc_id % 3 = 0 THEN concat_ws({NL}, '{replies.PASS_HEAD}', 'Thank you, @' || lang || '. Your reply explains the mechanism.')
+        ELSE concat_ws({NL}, '{replies.PASS_HEAD}', concat_ws(' ', 'Thank you, @' || lang || '.', nullif(CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END, '')),
+          '**Best explained:** ' || source, CASE WHEN doc_id % 7 <> 0 THEN '**Go deeper on:** ' || lang || ', ' || source END, 'This close is kept on your record.') END AS passed
     FROM documents"""
 )
 def comment_body(s: Source):
+    """All five kinds, with and without decisions and closes."""
     scope = F.when(F.col("doc_id") % 2 == 0, "install").otherwise("global")
     note = F.concat("source", F.lit(" — "), "lang")
+
+    def decision(concept: Column, question: Column) -> Column:
+        return F.struct(concept.alias("concept"), F.lit("s").alias("summary"), question.alias("question"))
+
+    none = F.lit(None).cast("string")
+    two = F.array(
+        decision(F.concat(F.lit("part-"), "lang"), none), decision(F.col("source"), F.concat(F.lit(" why "), F.col("doc_id"), F.lit("? ")))
+    ).cast(DECISIONS)
+    decisions = F.when(F.col("doc_id") % 4 == 0, F.array().cast(DECISIONS)).otherwise(two)
+    close = F.struct(
+        F.array().cast("array<struct<concept:string,verdict:string,note:string>>").alias("topics"),
+        F.col("source").alias("strongest"),
+        F.when(F.col("doc_id") % 7 != 0, F.concat("lang", F.lit(" – "), "source")).alias("growth_edge"),
+        F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")).alias("one_line"),
+    ).cast(CLOSEOUT)
     return s.documents.select(
         "doc_id",
         replies.comment_body("capped", scope=scope).alias("capped"),
         replies.comment_body("ungraded", note=note).alias("ungraded"),
+        replies.elicit_body(decisions, WORDINGS).alias("elicit"),
+        replies.rescue_body(F.concat_ws(" ", "source", "doc_id"), WORDINGS).alias("rescue"),
+        replies.comment_body("pass", login=F.col("lang"), closeout=F.when(F.col("doc_id") % 3 != 0, close)).alias("passed"),
     )
 
 
