@@ -34,8 +34,8 @@ ALPHABET = 1 << 16  # characters that share what even single characters leave ov
 BLOCK_CHARS = 24 << 20
 TASK_BYTES = 12 << 20  # text that a task takes at least, however many splits it comes in
 SALTS = 32  # copies of a language's one row, so that a hot language meets it in many tasks
-PART_CHARS = 1 << 20  # worked on at a time
-TABLE = 1 << 25  # values up to this are numbered by a table, larger ones by sorting
+PART_CHARS = 1 << 19  # worked on at a time
+TABLE = 1 << 23  # values up to this are numbered by a table, larger ones by sorting
 QUANTILE = 0.99
 MARGIN = 2.0
 ACCURACY = 10_000
