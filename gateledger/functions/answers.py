@@ -10,9 +10,11 @@ from gateledger.functions.text import SPACE, clip, let
 # Fixed value: how a code fence around an answer is recognised.
 FENCE = rf"```(?:json)?{SPACE}*((?s:.*?))```"
 
+# A token of JSON text.
+TOKEN = r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+'
+
 # The verdicts a topic may carry and the length bound of each text field.
 VERDICTS = ["strong", "solid", "thin"]
-NESTED = 3  # lists in lists that are written out
 CONCEPT_CHARS, NOTE_CHARS = 120, 240
 STRONGEST_CHARS, EDGE_CHARS, ONE_LINE_CHARS = 400, 400, 300
 
@@ -31,7 +33,11 @@ def json_text(raw: Column) -> Column:
 
 
 def extract_json(raw: Column) -> Column:
-    """The answer's JSON object as a Variant; null when absent or not strict JSON."""
+    """The answer's JSON object as a Variant; null when absent or not strict JSON.
+
+    Of a repeated key the last value stays where the session sets ``spark.sql.variant.allowDuplicateKeys``, as in
+    JavaScript; without it such an answer is null.
+    """
     return F.try_parse_json(json_text(raw))
 
 
@@ -54,23 +60,40 @@ def _number(text: Column) -> Column:
     return F.when(~plain, power).when(n == F.floor(n).cast("double"), whole).otherwise(part)
 
 
-def _item(value: Column, depth: int = NESTED) -> Column:
-    """``String(x)`` of what a list holds; lists in lists are written out to ``depth``."""
-
-    def written(v: Column) -> Column:
-        inner = F.lit("")
-        if depth:
-            items = F.transform(F.try_variant_get(v["value"], "$", "array<variant>"), lambda x: _item(x, depth - 1))
-            inner = F.array_join(items, ",")
-        return (
-            F.when(v["value"].isNull() | (v["kind"] == "VOID"), F.lit(""))
-            .when(v["kind"] == "OBJECT", F.lit("[object Object]"))
-            .when(v["kind"] == "ARRAY", inner)
-            .when(v["kind"] == "DOUBLE", _number(v["text"]))
-            .otherwise(F.coalesce(v["text"], F.lit("")))
+def _listed(value: Column) -> Column:
+    """``String(x)`` of a Variant list: what its lists hold at any depth, comma after comma.
+
+    A fold over the tokens of its JSON text. The state is the text so far and how many objects are open:
+    an object is named where it opens, and what it holds is passed over.
+    """
+
+    def step(state: Column, token: Column) -> Column:
+        inside = state["open"] > 0
+        opened = F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        plain = F.when(token.rlike(r"[.eE]"), _number(token)).otherwise(token)
+        text = (
+            F.when(token.startswith('"'), F.try_variant_get(F.try_parse_json(token), "$", "string"))
+            .when(inside | token.isin("[", "]", "}", ":", "null"), F.lit(""))
+            .when(token == "{", F.lit("[object Object]"))
+            .when(token.isin(",", "true", "false"), token)
+            .otherwise(plain)
         )
+        told = F.when(inside, F.lit("")).otherwise(text)
+        return F.struct(F.concat(state["text"], told).alias("text"), (state["open"] + opened).alias("open"))
 
-    return let(_parts(value), written)
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("open"))
+    return F.aggregate(F.regexp_extract_all(F.to_json(value), F.lit(TOKEN), F.lit(0)), start, step, lambda s: s["text"])
+
+
+def _item(v: Column) -> Column:
+    """``String(x)`` of the parts of a value that is not falsy."""
+    return (
+        F.when(v["value"].isNull() | (v["kind"] == "VOID"), F.lit(""))
+        .when(v["kind"] == "OBJECT", F.lit("[object Object]"))
+        .when(v["kind"] == "ARRAY", _listed(v["value"]))
+        .when(v["kind"] == "DOUBLE", _number(v["text"]))
+        .otherwise(F.coalesce(v["text"], F.lit("")))
+    )
 
 
 def _parts(value: Column) -> Column:
@@ -86,7 +109,7 @@ def _js_text(v: Column) -> Column:
         F.when(kind == "STRING", text)
         .when(kind == "BOOLEAN", F.when(text == "true", text).otherwise(F.lit("")))
         .when(number == 0, F.lit(""))
-        .otherwise(_item(v["value"]))
+        .otherwise(_item(v))
     )
 
 

@@ -8,11 +8,13 @@ columns. A failed or unreadable grade is ``ungraded`` and never a pass.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gateledger.functions.answers import extract_json, normalise_closeout
 from gateledger.functions.text import ask_for, clip, ground_truth, let, numbered
@@ -28,6 +30,9 @@ Scorer = Callable[[], Complete]
 TIMEOUT_S, CLOSEOUT_TIMEOUT_S = 60.0, 30.0
 CLOSEOUT_CHARS = 6000
 
+ROUNDS = 16  # parts in which requests without a stored answer are asked
+ANSWERS = "__key string, raw string, error string"
+
 COVERED_SHARE = {"medium": 0.5, "harsh": 0.8}
 WHOLE_CHANGE = "the change as a whole"
 
@@ -40,18 +45,31 @@ def score_text(
     model: str | None = None,
     timeout: float = TIMEOUT_S,
     calls_at_once: int | None = None,
+    ledger: str | None = None,
+    rounds: int = ROUNDS,
+    pause_s: float = 0.0,
+    observed: Observation | str | None = None,
 ) -> DataFrame:
     """Add ``raw`` (the answer, '' when the model gave none) and ``error`` (null when it answered).
 
-    ``calls_at_once`` bounds the partitions and with them the concurrent calls. Answers are
+    ``calls_at_once`` bounds the partitions and with them the concurrent calls; ``pause_s`` is the least
+    time between the starts of two calls of a partition. Answers are
     written to the checkpoint folder: a lost executor must not repeat paid calls downstream.
+
+    With a ``ledger``, a shared folder, answers are kept there by digest of model, system and user, and only
+    requests without one are asked, in ``rounds`` parts of their digests. Tasks that are done keep their answers
+    even if the job dies: a later run repeats at most the calls of the tasks that were at work. Failed calls are
+    not kept, so the next run asks again. One ledger may serve many prompts and models; name another model,
+    or another folder, when a model changes under its name. ``observed`` counts rows, answered and failed ones.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        complete = None
+        complete, free = None, 0.0
         for batch in batches:
             raws, errors = [], []
             for s, u in zip(batch["__system"], batch["__user"], strict=True):
+                time.sleep(max(0.0, free - time.monotonic()))
+                free = time.monotonic() + pause_s
                 try:
                     complete = complete or scorer()
                     raws.append(complete(s, u, model=model, timeout=timeout) or "")
@@ -61,14 +79,47 @@ def score_text(
                     errors.append(str(err) or type(err).__name__)
             yield pd.DataFrame({"__key": batch["__key"], "raw": raws, "error": errors}, dtype=object)
 
-    keyed = df.withColumns({"__system": system, "__user": user}).withColumn(
-        "__key", F.sha2(F.concat_ws("\x1f", "__system", "__user"), 256)
-    )
-    requests = keyed.select("__key", "__system", "__user").dropDuplicates(["__key"])
     # a given number of partitions, which adaptive execution does not merge
-    requests = requests.repartition(calls_at_once or df.sparkSession.sparkContext.defaultParallelism)
-    answers = cut(requests.mapInPandas(call, "__key string, raw string, error string"))
-    return keyed.join(answers, "__key").drop("__key", "__system", "__user")
+    tasks = calls_at_once or df.sparkSession.sparkContext.defaultParallelism
+
+    def ask(requests: DataFrame) -> DataFrame:
+        return requests.repartition(tasks).mapInPandas(call, ANSWERS)
+
+    request = F.struct(F.lit(model).cast("string").alias("model"), "__system", "__user")
+    key = F.sha2(F.to_json(request, {"ignoreNullFields": "false"}), 256)
+    keyed = df.withColumns({"__system": system, "__user": user}).withColumn("__key", key)
+    requests = keyed.select("__key", "__system", "__user").dropDuplicates(["__key"])
+    answers = cut(ask(requests)) if ledger is None else _kept(requests, ask, ledger, rounds)
+    scored = keyed.join(answers, "__key").drop("__key", "__system", "__user")
+    if observed is None:
+        return scored
+    counts = F.count("*").alias("asked"), F.count("raw").alias("answered"), F.count("error").alias("failed")
+    return scored.observe(observed, *counts)
+
+
+def _kept(requests: DataFrame, ask: Callable[[DataFrame], DataFrame], ledger: str, rounds: int) -> DataFrame:
+    """Answers of all requests: those in the ledger, and new ones that each round adds to it."""
+    spark = requests.sparkSession
+    columns = StructType.fromDDL(ANSWERS)
+
+    def stored() -> DataFrame:
+        # two jobs at once may have asked the same: any answer will do, but the same one every time
+        kept = spark.read.schema(columns).parquet(ledger).filter("raw IS NOT NULL")
+        return kept.groupBy("__key").agg(F.min("raw").alias("raw"), F.lit(None).cast("string").alias("error"))
+
+    # an empty part, so that the folder is there
+    spark.createDataFrame([], columns).write.mode("append").parquet(ledger)
+    missing = cut(requests.join(stored().select("__key"), "__key", "left_anti"))
+    part = F.pmod(F.xxhash64("__key"), F.lit(rounds))
+    for n in range(0 if missing.isEmpty() else rounds):
+        asked = ask(missing.filter(part == n))
+        # the second committer moves the files of a task when the task is done, not when the job is
+        asked.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(ledger)
+    failed = spark.read.schema(columns).parquet(ledger).filter("raw IS NULL").groupBy("__key").agg(F.max("error").alias("error"))
+    known = requests.select("__key").join(stored(), "__key", "left").join(
+        failed.withColumnRenamed("error", "__failed"), "__key", "left"
+    )
+    return cut(known.select("__key", "raw", F.when(F.col("raw").isNull(), F.col("__failed")).alias("error")))
 
 
 def decompose_batch(prs: DataFrame, scorer: Scorer, **options: object) -> DataFrame:

@@ -68,6 +68,33 @@ def explanations_in_order(
     return placed.select("checkpoint_id", "position", "explanation")
 
 
+def explanation_places(attempts: DataFrame, bucket: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``position``: what an attempt was graded on are the explanations of its gate up to this place.
+
+    Texts are stored once, by :func:`explanations_in_order`, and an attempt refers to (gate, position), so
+    memory and disk grow with the texts of a gate, not with their square.
+    """
+    narrow = attempts.drop("explanation")
+    return running_by_key(narrow, ["checkpoint_id"], ATTEMPT_ORDER, {"position": Running("count", F.lit(1))}, bucket, hot_rows)
+
+
+def told_at(requested: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add ``cumulative`` to references (checkpoint_id, position, ...), the text told up to each of them.
+
+    ``texts``: checkpoint_id, position, explanation. Only texts of requested gates, up to the last place
+    asked for, are shuffled; equal references are built once. Null if nothing was told.
+    """
+    place = ["checkpoint_id", "position"]
+    asked = requested.select(*place).dropna().distinct()
+    upto = asked.groupBy("checkpoint_id").agg(F.max("position").alias("__upto"))
+    needed = texts.join(upto, "checkpoint_id").filter("position <= __upto AND explanation IS NOT NULL")
+    pieces = needed.select("checkpoint_id", F.col("position").alias("__at"), "explanation")
+    listed = F.array_sort(F.collect_list(F.struct("__at", "explanation")))
+    told = F.array_join(F.transform(listed, lambda r: r["explanation"]), "\n\n")
+    built = asked.join(pieces, "checkpoint_id").filter("__at <= position").groupBy(*place).agg(F.nullif(told, F.lit("")).alias("cumulative"))
+    return requested.join(built, place, "left").select(*requested.columns, "cumulative")
+
+
 def cumulative_explanation(
     attempts: DataFrame,
     bucket: Column | None = None,

@@ -22,6 +22,7 @@ from gateledger.plans.sql import sql_pick, sql_text
 from gateledger.plans.stored import pushes
 from gateledger.plans.texts import parity_model
 from gateledger.schemas import schema
+from gateledger.sources import tables
 from gateledger.sources.events import read_events
 from gateledger.streaming import jobs
 from gateledger.streaming.machine import live_gate_machine as live_machine
@@ -99,6 +100,9 @@ def grade_requests(s: Source):
     return requests.select("delivery_id", "gate_id", "explanation")
 
 
+HALF = "000000005"  # ids below it come under one checkpoint first; they start with twelve digits
+
+
 def _outbox_sql() -> str:
     nl = "chr(10) || chr(10)"
     seed = "CASE WHEN no_decisions THEN 'whole' ELSE topic END"
@@ -141,6 +145,17 @@ def action_outbox(s: Source):
     return actions.select("action_id", "outcome", "kind", "status", "conclusion", "title", "summary", "body")
 
 
+@query(f"SELECT action_id, outcome, kind, CASE WHEN action_id < '{HALF}' THEN 'a' ELSE 'b' END AS run FROM ({_outbox_sql()})", MOVES)
+def append_actions(s: Source):
+    """Actions under two checkpoints, the second over the whole log, and its batch written twice."""
+    folder = fresh_folder(s.spark, "actions")
+    actions = cut(outbox.action_outbox(machine.gate_machine(s.pr_events)))
+    tables.append_actions(actions.filter(F.col("action_id") < HALF), folder, "a", 0)
+    for _ in range(2):
+        tables.append_actions(actions, folder, "b", 0)
+    return s.spark.read.parquet(folder).select("action_id", "outcome", "kind", "run")
+
+
 @query(
     """SELECT delivery_id, coalesce(same AND last_pass > run_start, false) AS carried FROM (
       SELECT *, max(CASE WHEN is_push AND NOT same THEN ts END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_start FROM (

@@ -497,6 +497,19 @@ def cumulative_explanation(s: Source):
     return rows.select("id", "cumulative")
 
 
+@query(
+    """SELECT id, position, cumulative FROM (SELECT *, row_number() OVER w AS position, string_agg(explanation, chr(10) || chr(10)) OVER w AS cumulative FROM attempts
+      WINDOW w AS (PARTITION BY checkpoint_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE grade_pass""",
+    (ATTEMPTS,),
+)
+def told_at(s: Source):
+    """Texts of the passing attempts alone, built from places in texts that are stored once."""
+    bucket = F.floor(F.col("created_at") / 100)
+    asked = windows.explanation_places(s.attempts, bucket).filter("grade_pass")
+    rows = windows.told_at(asked, windows.explanations_in_order(s.attempts, bucket))
+    return rows.select("id", "position", "cumulative")
+
+
 @query(
     """SELECT id, row_number() OVER w AS attempt_no, sum(CAST(grade_pass AS INTEGER)) OVER w = 1 AND grade_pass AS first_pass
     FROM attempts WINDOW w AS (PARTITION BY checkpoint_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",

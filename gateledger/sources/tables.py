@@ -1,10 +1,11 @@
-"""The six stored tables: typed scans and appends with defaults."""
+"""The six stored tables: typed scans and appends with defaults; the ledger of outward actions."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gateledger.operators.store import align_schema
 from gateledger.schemas import TABLE_DEFAULTS, schema
@@ -100,3 +101,29 @@ def append_attempts(df: DataFrame, path: str) -> None:
     identity = F.to_json(named, {"ignoreNullFields": "false"})
     rows = with_defaults(full.withColumn("id", F.coalesce("id", F.substring(F.sha2(identity, 256), 1, 32))), "attempts")
     _append_new(rows, path)
+
+
+def append_actions(actions: DataFrame, path: str, run: str, batch: int, redelivered_days: int = 1) -> None:
+    """Write those actions of a batch that no other batch under ``path`` has written, so each is there once.
+
+    What is stored is the ledger: a batch owns the folder of its ``run`` and number and replaces what a
+    failed try of it left there, and is compared with all other folders, those of other checkpoints too.
+    Folders hold a part for each day; a batch reads the ids of its own days and of those around them in
+    which a delivery can have come again. One writer at a time: two at once do not see each other.
+    ``actions`` is read twice, so give a written table.
+    """
+    spark = actions.sparkSession
+    rows = actions.dropDuplicates(["action_id"]).withColumn("day", F.to_date("ts"))
+    first, last = actions.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).head()
+    keys = StructType.fromDDL("action_id string, run string, batch bigint, day date")
+    try:
+        stored = spark.read.schema(keys).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        day = F.col("day")
+        near = day.between(F.date_sub(F.lit(first), redelivered_days), F.date_add(F.lit(last), redelivered_days))
+        others = stored.filter((F.col("run") != run) | (F.col("batch") != batch)).filter(near | day.isNull())
+        rows = rows.join(others.select("action_id"), "action_id", "left_anti").select(*rows.columns)
+    rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/run={run}/batch={batch}")

@@ -13,6 +13,7 @@ from gateledger.operators.outbox import action_outbox
 from gateledger.operators.scan import cut, join_null_safe, pick_per_key
 from gateledger.operators.windows import PR
 from gateledger.sources.events import read_events
+from gateledger.sources.tables import append_actions
 from gateledger.streaming.machine import REMEMBER_HOURS, live_gate_machine
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,13 +59,14 @@ def streaming_gate_counts(
 
 def write_transitions(transitions: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Write transitions and their actions. Each micro-batch owns the folder of its checkpoint and id,
-    so a repeated batch replaces what it wrote before, and another checkpoint replaces nothing."""
+    so a repeated batch replaces what it wrote before, and another checkpoint replaces nothing. An action that
+    another batch or checkpoint has written under ``out`` is not written again."""
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/transitions/run={run}/batch={batch_id}")
         written = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/transitions/run={run}/batch={batch_id}")
-        action_outbox(written).write.mode("overwrite").parquet(f"{out}/actions/run={run}/batch={batch_id}")
+        append_actions(action_outbox(written), f"{out}/actions", run, batch_id)
 
     writer = transitions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

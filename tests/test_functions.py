@@ -113,6 +113,7 @@ TOPIC = {"concept": "c", "verdict": "strong", "note": "n"}
         ('{"topics": [{"concept": 12, "verdict": "great", "note": false}]}', [("12", "solid", "")]),
         ('{"topics": [{"concept": true, "verdict": 1, "note": {"a": 1}}]}', [("true", "solid", "[object Object]")]),
         ('{"topics": [{"concept": ["a", "b"], "verdict": null, "note": 0}]}', [("a,b", "solid", "")]),
+        ('{"topics": 1, "topics": [{"concept": "a", "concept": "b"}]}', [("b", "solid", "")]),
         ('{"topics": [{"concept": "%s", "note": "%s"}]}' % ("k" * 130, "n" * 250), [("k" * 120, "solid", "n" * 240)]),
     ],
 )
@@ -151,6 +152,7 @@ def test_text_of_json_values_as_javascript_has_it(spark):
     cases = {
         "1e3": "1000", "1e21": "1e+21", "1.5e-7": "1.5e-7", "123456789.5": "123456789.5", "12": "12", "1.50": "1.5", "0": "", "-0.0": "",
         "[null,[1,2],3]": ",1,2,3", '[{"a":1}]': "[object Object]", "[[[1e3]]]": "1000", "[true,false]": "true,false", "[]": "",
+        "[" * 10 + '1,"a,[b]\\n",[],{"x":[2,{"y":"}"}]},-2.50' + "]" * 10: "1,a,[b]\n,,[object Object],-2.5",
         "true": "true", "false": "", "null": "", '{"a":1}': "[object Object]", '"x"': "x",
     }
     df = spark.createDataFrame(list(cases), "string")

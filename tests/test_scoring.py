@@ -1,6 +1,9 @@
 import json
 import os
+import time
 
+import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gateledger.operators import overlap, scoring
@@ -28,6 +31,59 @@ def test_equal_requests_are_scored_once_and_errors_stay_local(spark, tmp_path):
         assert sorted(f.read().split()) == ["c", "e", "m"]  # not called again by a second action
 
 
+def test_answers_in_the_ledger_are_not_asked_for_again(spark, tmp_path):
+    log, ledger = os.path.join(tmp_path, "calls"), str(tmp_path / "ledger")
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(9)] + [(9, "boom"), (10, "none"), (11, None)], "i int, t string")
+
+    def ask(rows, **options):
+        scored = scoring.score_text(rows, counting_model, F.lit(log), F.coalesce("t", F.lit("x")), calls_at_once=2, ledger=ledger, rounds=3, **options)
+        return {r.i: (r.raw, r.error) for r in scored.collect()}
+
+    def calls():
+        with open(log) as f:
+            return len(f.read().split())
+
+    few = ask(df.filter("i < 5"))
+    assert few[3] == ("60 r3", None) and calls() == 5
+    seen = Observation()
+    got = ask(df, observed=seen)
+    assert calls() == 12 and got[3] == few[3] and got[9] == (None, "boom") and got[10] == ("", None) and got[11] == ("60 x", None)
+    assert seen.get == {"asked": 12, "answered": 11, "failed": 1}
+    assert ask(df) == got and calls() == 13  # only the failed one
+    assert ask(df, model="other") == got and calls() == 25
+    assert ask(df.limit(0)) == {}
+
+
+def failing_model():
+    """Dies as a worker does when its machine goes, at one request."""
+
+    def complete(system, user, model=None, timeout=60.0):
+        if user == "r7" and not os.path.exists(system + ".mended"):
+            time.sleep(2)
+            os._exit(1)
+        return counting_model()(system, user, model, timeout)
+
+    return complete
+
+
+def test_a_job_that_dies_keeps_the_answers_of_tasks_that_were_done(spark, tmp_path):
+    log, ledger = os.path.join(tmp_path, "calls"), str(tmp_path / "ledger")
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(40)], "i int, t string")
+
+    def ask():
+        return scoring.score_text(df, failing_model, F.lit(log), F.col("t"), calls_at_once=8, ledger=ledger, rounds=2).count()
+
+    with pytest.raises(Exception):
+        ask()
+    kept = spark.read.schema(scoring.ANSWERS).parquet(ledger).count()
+    with open(log) as f:
+        before = len(f.read().split())
+    open(log + ".mended", "w").close()
+    assert kept > 0 and ask() == 40
+    with open(log) as f:
+        assert len(f.read().split()) - before == 40 - kept
+
+
 BATTERY = {  # name: (explanation, assisted, medium, harsh)
     "strong": ("Tokens come back on each read in proportion to the time gone by, so no timer is needed; two hosts would each allow the full rate.", False, True, True),
     "restated": ("The change adds a limiter with a map of buckets and returns false under one token.", False, False, False),

@@ -109,6 +109,10 @@ def test_attempt_order_and_first_pass(spark):
         assert rows(aggregates.gate_pass(df, b, hot), "checkpoint_id", "attempt_id", "passed_by_id", "attempts_to_pass") == [("g", "c", 9, 3)]
         texts = dict(rows(windows.cumulative_explanation(df, b, hot), "id", "cumulative"))
         assert texts["d"] == "a\n\nb\n\nc\n\nd" and texts["e"] == "e"
+        asked = windows.explanation_places(df, b, hot)
+        assert "explanation" not in asked.columns
+        built = windows.told_at(asked.filter("id <> 'b'").union(asked.filter("id = 'd'")), windows.explanations_in_order(df, b, hot))
+        assert rows(built, "id", "cumulative") == sorted([*((i, t) for i, t in texts.items() if i != "b"), ("d", texts["d"])])
         own = dict(rows(windows.cumulative_explanation(df, b, hot, by_reviewer=True), "id", "cumulative"))
         assert own["d"] == "b\n\nd"
 
@@ -161,3 +165,25 @@ def test_attempts_without_a_comment_are_all_kept(spark, tmp_path):
         tables.append_attempts(df, path)
         stored = spark.read.parquet(path)
         assert stored.count() == stored.select("id").distinct().count() == 6
+
+
+def test_each_action_is_stored_once_under_all_checkpoints(spark, tmp_path):
+    path = str(tmp_path / "actions")
+
+    def actions(*ids, day=1):
+        data = [(i, datetime(2024, 1, day) if i != "null" else None, i) for i in ids]
+        return spark.createDataFrame(data, "action_id string, ts timestamp, body string")
+
+    def stored():
+        return rows(spark.read.schema("action_id string, run string, batch long, body string, day date").parquet(path), "action_id", "run", "batch")
+
+    tables.append_actions(actions("a", "b", "b"), path, "1e5", 0)
+    tables.append_actions(actions("b", "c", "null", day=2), path, "1e5", 1)  # b came again a day later
+    tables.append_actions(actions("b", "c", "d", "null", day=2), path, "1e5", 1)  # tried again, with more
+    assert stored() == [("a", "1e5", 0), ("b", "1e5", 0), ("c", "1e5", 1), ("d", "1e5", 1), ("null", "1e5", 1)]
+    before = stored()
+    tables.append_actions(actions("a", "b", "c", "d", "null"), path, "other", 0)
+    tables.append_actions(actions(), path, "other", 1)
+    assert stored() == before
+    tables.append_actions(actions("a", "z"), path, "other", 0)
+    assert stored() == [*before, ("z", "other", 0)]
