@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateledger.schemas import ENUMS, NOT_NULL
+from gateledger.schemas import ENUMS, NOT_NULL, schema
 
 
 def fk_orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
@@ -39,9 +39,7 @@ def table_checks(
 
 
 def check_table(df: DataFrame, name: str) -> DataFrame:
-    """``table_checks`` with the rules of one of the six tables."""
-    return table_checks(
-        df,
-        [c for c in NOT_NULL[name] if c in df.columns],
-        {c: v for c, v in ENUMS.items() if c in df.columns},
-    )
+    """``table_checks`` with the rules of one of the six tables; in a column that is absent every row is null."""
+    absent = [c for c in NOT_NULL[name] if c not in df.columns]
+    allowed = {c: v for c, v in ENUMS.items() if c in schema(name).names and c in df.columns}
+    return table_checks(df.withColumns({c: F.lit(None).cast("string") for c in absent}), NOT_NULL[name], allowed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gateledger.operators import aggregates, checks, filters, joins, policy, profile, store, windows
+from gateledger.operators import aggregates, checks, filters, joins, parents, policy, profile, store, windows
 from gateledger.plans.registry import Source, fresh_folder, query, us
 from gateledger.plans.sql import ATTEMPTS, GATES, LOCAL_EVENTS, PR_EVENTS, REPOS, USER_ATTEMPTS
 from gateledger.plans.standins import props_k, text_id
@@ -121,6 +121,66 @@ def ruleset_gap(s: Source):
     return joins.ruleset_gap(repos, repos.select("owner", "repo", managed.alias("name")), "managed")
 
 
+# The log with what installations and repositories are called, which changes with the hour and is left out at times.
+NAMED = """named AS (SELECT *, installation_id AS i, CASE WHEN k % 5 <> 0 THEN 'acct-' || (installation_id + hour(ts) // 12) END AS login,
+    CASE WHEN k % 5 <> 0 AND k % 3 = 0 THEN 'User' WHEN k % 3 = 1 THEN '' END AS kind_of,
+    CASE WHEN k % 7 <> 0 THEN 'acct/r' || repo_id || '-' || hour(ts) END AS full_name, CASE WHEN k % 6 = 0 THEN 'trunk' WHEN k % 6 = 1 THEN '' END AS branch
+  FROM (SELECT *, lpad(CAST(event_id AS VARCHAR), 12, '0') AS delivery_id, user_id AS repo_id, user_id % 10 AS installation_id FROM src) WHERE installation_id <> 9)"""
+
+
+def named(s: Source):
+    hour = F.hour("ts")
+    events = s.events.select(
+        text_id("event_id").alias("delivery_id"), "ts", F.col("user_id").alias("repo_id"),
+        (F.col("user_id") % 10).alias("installation_id"), props_k().alias("k"),
+    )
+    k, some = F.col("k"), F.col("k") % 5 != 0
+    account = (F.col("installation_id") + F.floor(hour / 12)).cast("string")
+    return events.select(
+        "delivery_id", "ts", "repo_id",
+        F.when(F.col("installation_id") != 9, F.col("installation_id")).alias("installation_id"),
+        F.when(some, F.concat(F.lit("acct-"), account)).alias("account_login"),
+        F.when(some & (k % 3 == 0), "User").when(k % 3 == 1, "").alias("account_type"),
+        F.when(k % 7 != 0, F.concat(F.lit("acct/r"), F.col("repo_id").cast("string"), F.lit("-"), hour.cast("string"))).alias("repo_full_name"),
+        F.when(k % 6 == 0, "trunk").when(k % 6 == 1, "").alias("default_branch"),
+    )
+
+
+@query(
+    """SELECT i AS id, arg_max(login, (ts, delivery_id)) FILTER (login IS NOT NULL) AS account_login,
+      coalesce(arg_max(coalesce(nullif(kind_of, ''), 'Organization'), (ts, delivery_id)) FILTER (login IS NOT NULL OR nullif(kind_of, '') IS NOT NULL), 'Organization') AS account_type,
+      epoch_us(min(ts)) AS created_at_us FROM named GROUP BY 1""",
+    (PR_EVENTS, NAMED),
+)
+def installations_of(s: Source):
+    return parents.installations_of(named(s)).select("id", "account_login", "account_type", us("created_at"))
+
+
+@query(
+    """SELECT repo_id AS id, arg_max(i, (ts, delivery_id)) AS installation_id, arg_max(full_name, (ts, delivery_id)) FILTER (full_name IS NOT NULL) AS full_name,
+      coalesce(arg_max(branch, (ts, delivery_id)) FILTER (nullif(branch, '') IS NOT NULL), 'main') AS default_branch, '{}' AS config, epoch_us(min(ts)) AS created_at_us
+    FROM named GROUP BY 1""",
+    (PR_EVENTS, NAMED),
+)
+def repos_of(s: Source):
+    return parents.repos_of(named(s)).select("id", "installation_id", "full_name", "default_branch", "config", us("created_at"))
+
+
+@query(
+    """SELECT unnest([{'rule': 'id is null', 'violations': count(*) FILTER (id IS NULL)}, {'rule': 'repo_id is null', 'violations': count(*) FILTER (repo_id IS NULL)},
+      {'rule': 'pr_number is null', 'violations': count(*) FILTER (pr_number IS NULL)}, {'rule': 'pr_node_id is null', 'violations': count(*)},
+      {'rule': 'head_sha is null', 'violations': count(*) FILTER (head_sha IS NULL)}, {'rule': 'decisions is null', 'violations': count(*)},
+      {'rule': 'decisions_hash is null', 'violations': count(*) FILTER (decisions_hash IS NULL)}, {'rule': 'rigor is null', 'violations': count(*) FILTER (rigor IS NULL)},
+      {'rule': 'status is null', 'violations': count(*) FILTER (status IS NULL)}, {'rule': 'created_at is null', 'violations': count(*) FILTER (created_at IS NULL)},
+      {'rule': 'updated_at is null', 'violations': count(*)}, {'rule': 'status out of range', 'violations': count(*) FILTER (status NOT IN ('pending', 'passed', 'trivial', 'error'))},
+      {'rule': 'rigor out of range', 'violations': count(*) FILTER (rigor NOT IN ('medium', 'harsh'))}], recursive := true) FROM gates""",
+    (GATES,),
+)
+def check_table(s: Source):
+    """The rules of the gate table over gates that lack three of its columns."""
+    return checks.check_table(s.gates, "gates")
+
+
 @query(
     """SELECT coalesce(b.id, n.id) AS id, b.full_name, CASE WHEN n.id IS NOT NULL THEN n.branch ELSE b.branch END AS default_branch
     FROM (SELECT c_custkey AS id, c_name AS full_name, c_mktsegment AS branch FROM customer WHERE c_custkey % 2 = 0) b

@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from gateledger.operators import aggregates, checks, filters, policy, profile, store, windows
+from gateledger.operators import aggregates, checks, filters, parents, policy, profile, store, windows
 from gateledger.schemas import CLOSEOUT, REPO_LIST, TABLES, schema
 from gateledger.sources import events as event_source
 from gateledger.sources import tables
@@ -187,3 +187,21 @@ def test_each_action_is_stored_once_under_all_checkpoints(spark, tmp_path):
     assert stored() == before
     tables.append_actions(actions("a", "z"), path, "other", 0)
     assert stored() == [*before, ("z", "other", 0)]
+
+
+def test_parents_of_a_history(spark):
+    at = [datetime(2024, 1, d) for d in range(1, 6)]
+    data = [("a", at[1], 1, 10, "old", "User", "old/r", "dev"), ("b", at[2], 1, 10, "new", None, "new/r", None), ("c", at[0], 1, 11, None, None, None, ""),
+            ("d", at[3], 2, 10, "two", "", None, None), ("e", at[4], None, 10, "x", "x", "x/x", "x"), ("f", at[4], 3, None, "x", "x", "x/x", "x"), ("d", at[3], 2, 10, "two", "", None, None)]
+    df = spark.createDataFrame(data, "delivery_id string, ts timestamp, installation_id long, repo_id long, account_login string, account_type string, repo_full_name string, default_branch string")
+    installs, repos = parents.installations_of(df), parents.repos_of(df)
+    assert rows(installs, "id", "account_login", "account_type", "created_at") == [(1, "new", "Organization", at[0]), (2, "two", "Organization", at[3])]
+    assert rows(repos, "id", "installation_id", "full_name", "default_branch", "config", "created_at") == [(10, 2, "new/r", "dev", "{}", at[1]), (11, 1, None, "main", "{}", at[0])]
+    assert checks.fk_orphans(repos, installs, "installation_id").count() == 0
+    assert installs.schema.names == schema("installations").names and parents.repos_of(df.limit(0)).count() == 0
+
+
+def test_an_absent_column_breaks_its_rule_in_every_row(spark):
+    df = spark.createDataFrame([(1, "User"), (None, "Robot")], "id long, account_type string")
+    got = dict(rows(checks.check_table(df, "installations"), "rule", "violations"))
+    assert got == {"id is null": 1, "account_login is null": 2, "account_type is null": 0, "created_at is null": 2, "account_type out of range": 1}
