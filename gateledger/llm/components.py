@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gateledger.llm.tables import cut
+from gateledger.llm.tables import cut, sized
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,21 +23,22 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
-        edges = cut(small_star(large_star(edges)))
+        edges = cut(small_star(large_star(sized(edges, now[0]), now[0]), now[0]))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
     ).distinct()
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
     # u > v: the larger neighbours u of a centre v
-    return edges.join(least, F.col("v") == F.col("c")).select("u", F.col("m").alias("v")).distinct()
+    hung = edges.join(least, F.col("v") == F.col("c")).select("u", F.col("m").alias("v"))
+    return sized(sized(hung, n).distinct(), n)
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, n: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
     joined = edges.join(least, F.col("u") == F.col("c"))
     moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-    return moved.filter("u <> v").distinct()
+    return sized(sized(moved, n).filter("u <> v").distinct(), n)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gateledger.llm.tables import blocks_for, cut, set_aside, whole
+from gateledger.llm.tables import blocks_for, cut, set_aside, sized, whole
 
 ORDER = 4
 START = "\n"  # stands before the first character of a text, ORDER - 1 times
@@ -266,49 +266,54 @@ def by_language(rows: DataFrame, of: DataFrame, spread: str, how: str = "inner")
     return salted.join(copies, same, how).drop("of", "_salt", "_group")
 
 
-def model(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
+def model(counts: DataFrame, n_runs: int, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
     """Tables by length of run: (lang, gram, p) of what was seen, and (lang, gram, left) of contexts.
 
-    ``counts``: lang, gram, n of the longest runs. Shorter runs count the characters that precede
+    ``counts``: lang, gram, n of the longest runs, ``n_runs`` at most. Shorter runs count the characters that precede
     them. p is the interpolated probability of the last character after the others, and ``left`` the
     share that a context gives to the next shorter one.
     """
-    levels = {order: counts}
+    levels = {order: sized(counts, n_runs)}
     for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", tail("gram", k).alias("gram")).agg(F.count("*").alias("n"))
+        shorter = levels[k + 1].groupBy("lang", tail("gram", k).alias("gram")).agg(F.count("*").alias("n"))
+        levels[k] = sized(shorter, n_runs)
     seen, contexts, below = [], [], None
     for k in range(1, order + 1):
         level = by_language(levels[k], discounts(levels[k]), "gram")
         off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.select("lang", "gram", head("gram", k).alias("context"), "n", F.least(off, F.col("n")).alias("off"))
+        level = sized(level, n_runs)
         of = level.groupBy("lang", "context").agg(F.sum("n").alias("all"), F.sum("off").alias("taken"))
-        contexts.append(cut(of.select("lang", F.col("context").alias("gram"), (F.col("taken") / F.col("all")).alias("left"), "all")))
+        of = of.select("lang", F.col("context").alias("gram"), (F.col("taken") / F.col("all")).alias("left"), "all")
+        contexts.append(cut(sized(of, n_runs)))
         context = contexts[-1].select(F.col("lang").alias("l"), F.col("gram").alias("c"), "left", "all")
         joined = level.join(context, (F.col("lang") == F.col("l")) & (F.col("context") == F.col("c")))
         if below is None:
             lower = joined.withColumn("lower", F.lit(1.0 / ALPHABET))
         else:
             shorter = below.select(F.col("lang").alias("sl"), F.col("gram").alias("sg"), F.col("p").alias("lower"))
-            lower = joined.join(shorter, (F.col("lang") == F.col("sl")) & (tail("gram", k - 1) == F.col("sg")))
+            lower = sized(joined, n_runs).join(shorter, (F.col("lang") == F.col("sl")) & (tail("gram", k - 1) == F.col("sg")))
         p = (F.col("n") - F.col("off")) / F.col("all") + F.col("left") * F.col("lower")
-        below = cut(lower.select("lang", "gram", p.alias("p")))
+        below = cut(sized(lower.select("lang", "gram", p.alias("p")), n_runs))
         seen.append(below)
     return seen, contexts
 
 
 def log_probabilities(grams: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, gram, logp for every run, seen in trusted text or not."""
-    seen, contexts = model(counts, order)
+    n_runs = grams.count()
+    seen, contexts = model(counts, n_runs, order)
     rows = grams.select("lang", "gram", F.lit(1.0 / ALPHABET).alias("p"))
     for k in range(1, order + 1):
         own = seen[k - 1].select(F.col("lang").alias("l1"), F.col("gram").alias("g1"), F.col("p").alias("known"))
         share = contexts[k - 1].select(F.col("lang").alias("l2"), F.col("gram").alias("g2"), "left")
+        rows = rows.withColumn("own", tail("gram", k)).withColumn("context", F.substring("own", 1, k - 1))
+        rows = sized(rows.join(own, (F.col("lang") == F.col("l1")) & (F.col("own") == F.col("g1")), "left"), n_runs)
         rows = (
-            rows.withColumn("own", tail("gram", k)).withColumn("context", F.substring("own", 1, k - 1))
-            .join(own, (F.col("lang") == F.col("l1")) & (F.col("own") == F.col("g1")), "left")
-            .join(share, (F.col("lang") == F.col("l2")) & (F.col("context") == F.col("g2")), "left")
+            rows.join(share, (F.col("lang") == F.col("l2")) & (F.col("context") == F.col("g2")), "left")
             .select("lang", "gram", F.coalesce("known", F.coalesce("left", F.lit(1.0)) * F.col("p")).alias("p"))
         )
+        rows = sized(rows, n_runs)
     return rows.select("lang", "gram", F.log("p").alias("logp"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gateledger.llm.components import components
-from gateledger.llm.tables import cut, set_aside, whole
+from gateledger.llm.tables import cut, set_aside, sized, whole
 
 SHINGLE = 4
 SEED = 42
@@ -101,33 +101,36 @@ def celled(prints: DataFrame) -> DataFrame:
 def roots(prints: DataFrame) -> DataFrame:
     """node, root of every fingerprint (column fp, distinct) that is linked to another one."""
     key = ["choice", "cell"]
-    prints = prints.select("fp")
+    n = prints.count()
+    many = n * len(masks())
+    prints = sized(prints.select("fp"), n)
     cells = celled(prints)
     hubs = cells.groupBy(*key).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
     # conditions on both sides are part of the join: only verified links leave it
     to_low, to_high = (near("fp", hub) & (F.col("fp") != F.col(hub)) for hub in ("low", "high"))
-    star = cells.join(hubs, key).filter(to_low | to_high)
+    star = sized(cells.join(hubs, key).filter(to_low | to_high), many)
     hub = F.explode(F.filter(F.array(F.when(to_low, F.col("low")), F.when(to_high, F.col("high"))), F.isnotnull))
     found = components(star.select(F.col("fp").alias("a"), hub.alias("b")))
     links = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     named = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    cells = celled(cut(named))
+    cells = celled(cut(sized(named, n)))
     one = cells.groupBy(*key).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     closed = one.filter((F.col("n") >= CROWD) & (F.col("lo") == F.col("hi"))).select(*key)
     rest = cells.join(closed, key, "left_anti")
     left = rest.select(*key, F.col("fp").alias("a"), F.col("root").alias("ra"))
     right = rest.select(*key, F.col("fp").alias("b"), F.col("root").alias("rb"))
     across = left.join(right, key).filter("ra < rb").filter(near("a", "b")).select("a", "b")
-    return components(links.union(across))
+    return components(sized(links, n).union(sized(across, many)))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id of every row, and the root that only its own class has."""
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(whole(text)).alias("fp")))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    n = rows.count()
+    prints = cut(sized(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), n))
     found = roots(prints.select("fp"))
     named = prints.join(found, F.col("fp") == F.col("node"), "left")
-    named = cut(named.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = cut(sized(named.select("fp", "least", F.coalesce("root", "fp").alias("root")), n))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(least, "root").select("fp", "component_id", "root")
     return rows.join(of, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id", "root")
@@ -153,7 +156,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     by_id = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint")
     first = found.groupBy("root").agg(F.min(by_id).alias("first"))
     name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    chosen = cut(first.select(name(F.col("first.doc_id")).alias("_name"), F.col("first.fingerprint").alias("_print")).distinct())
+    chosen = first.select(name(F.col("first.doc_id")).alias("_name"), F.col("first.fingerprint").alias("_print")).distinct()
+    chosen = cut(chosen)
     away, back = set_aside(docs, "")
     rows = docs.select(*away, name(F.col(doc_id)).alias("_name")).join(chosen, "_name")
     own = whole(f"_own{docs.columns.index(text)}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gateledger.operators.scan import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
+TASK_ROWS = 1 << 16  # of a narrow table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` in as many tasks as ``n_rows`` narrow rows are worth, never in more than it has.
+
+    A shuffle leaves files for each of its tasks, so steps over little data that run in many tasks cost
+    disk and time that no row accounts for.
+    """
+    return df.coalesce(max(1, math.ceil(n_rows / TASK_ROWS)))
+
+
 def numbered(df: DataFrame, *order: Column, into: str = "rank") -> DataFrame:
     """Adds the place of each row in a global order, from 0, without bringing the rows together.
 
