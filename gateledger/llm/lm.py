@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gateledger.llm.tables import blocks_for, cut, set_aside, sized, whole
+from gateledger.llm.tables import blocks_for, cut, give_back, lean, set_aside, sized, whole
 
 ORDER = 4
 START = "\n"  # stands before the first character of a text, ORDER - 1 times
@@ -232,6 +232,8 @@ def scored(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
             with np.errstate(over="ignore"):
                 perplexity[part][some_chars] = np.exp(-total[some_chars] / runs.lengths[some_chars])
         out.append(some[["lang", "digest", "trusted", "repeats"]].assign(perplexity=perplexity))
+        del mine, log, texts
+        give_back()
     return pd.concat(out) if out else pd.DataFrame(columns=["lang", "digest", "trusted", "repeats", "perplexity"])
 
 
@@ -325,12 +327,12 @@ def perplexities(docs: DataFrame, trusted: Column | None, text: str = "text", la
     )
     # each task lists its own runs, so what is shuffled follows the text only if the tasks do
     rows = rows.coalesce(blocks_for(rows, block_bytes=TASK_BYTES))
-    grams = rows.mapInPandas(counted, "lang string, gram string, n long")
+    grams = rows.mapInPandas(lean(counted), "lang string, gram string, n long")
     counts = cut(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     logs = cut(log_probabilities(counts.select("lang", "gram"), counts.filter("n > 0")))
-    needed = rows.mapInPandas(listed, "block long, lang string, gram string")
+    needed = rows.mapInPandas(lean(listed), "block long, lang string, gram string")
     known = needed.join(logs, ["lang", "gram"]).select("block", "lang", "gram", "logp")
-    bodies = rows.mapInPandas(packed, "block long, lang string, digest string, trusted boolean, repeats boolean, body binary")
+    bodies = rows.mapInPandas(lean(packed), "block long, lang string, digest string, trusted boolean, repeats boolean, body binary")
     found = bodies.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
         scored, "lang string, digest string, trusted boolean, repeats boolean, perplexity double"
     )

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gateledger.llm.components import components
-from gateledger.llm.tables import cut, set_aside, sized, whole
+from gateledger.llm.tables import cut, give_back, set_aside, sized, whole
 
 SHINGLE = 4
 SEED = 42
@@ -70,6 +70,7 @@ def fingerprint_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         found = np.fromiter(map(fingerprint, batch), dtype=np.uint64, count=len(batch))
         yield pd.Series(found.view(np.int64))
+    give_back()
 
 
 def unary(fp: Column) -> Column:

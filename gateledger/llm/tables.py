@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,24 @@ def sized(df: DataFrame, n_rows: int) -> DataFrame:
     return df.coalesce(max(1, math.ceil(n_rows / TASK_ROWS)))
 
 
+def give_back() -> None:
+    """What a Python worker no longer uses goes back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over the batches of a task, after which its memory is given back."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def numbered(df: DataFrame, *order: Column, into: str = "rank") -> DataFrame:
     """Adds the place of each row in a global order, from 0, without bringing the rows together.
 
