@@ -37,9 +37,13 @@ def usable(embedding: str) -> Column:
 
 
 def blocks(vectors: DataFrame, size: int, n_rows: int) -> DataFrame:
-    """Rows (id, v) in blocks of about ``size`` with equally long vectors: block, dims, ids, vs (flat)."""
+    """Rows (id, v) in blocks of about ``size`` with equally long vectors: block, dims, ids, vs (flat).
+
+    Rows are dealt by their place, so rows that repeat an id spread like any others.
+    """
     n = max(1, -(-n_rows // size))
-    keyed = vectors.select("id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
+    dealt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n))
+    keyed = vectors.select("id", "v", F.size("v").alias("dims"), dealt.alias("block"))
     return keyed.groupBy("block", "dims").agg(
         F.collect_list(F.struct("id", "v")).alias("rows")
     ).select("block", "dims", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vs"))
@@ -103,10 +107,18 @@ def paired(state: DataFrame, spread: DataFrame) -> DataFrame:
     return state.join(spread, (F.col("block") == F.col("to")) & (F.col("dims") == F.col("long"))).drop("to", "long")
 
 
-def histogram(state: DataFrame, spread: DataFrame, width: int, step: int) -> DataFrame:
-    """block, dims, nth (of the query in its block), bin, n: scores of low + bin * step and on."""
+def counted(state: DataFrame, spread: DataFrame, width: int, step: int) -> DataFrame:
+    """block, dims, nth (of the query in its block), bin, n: scores of low + bin * step and on, by task.
+
+    Candidate blocks that follow each other for the same queries are added up in the task.
+    """
+
+    def told(key: tuple[int, int], total: np.ndarray) -> pd.DataFrame:
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"block": key[0], "dims": key[1], "nth": at // BINS, "bin": at % BINS, "n": total[at]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, np.zeros(0, dtype=np.int64)
         for batch in batches:
             for r in batch.itertuples():
                 s = scores(matrix(r.vs, len(r.ids)), matrix(r.cvs, len(r.cids)))
@@ -117,11 +129,20 @@ def histogram(state: DataFrame, spread: DataFrame, width: int, step: int) -> Dat
                 inside = (at >= 0) & (at < width) & (ids[:, None] != cids[None, :])
                 nth, _ = np.nonzero(inside)
                 bins = (at[inside] // step).astype(np.int64)
-                keys, n = np.unique(nth * BINS + bins, return_counts=True)
-                yield pd.DataFrame({"block": r.block, "dims": r.dims, "nth": keys // BINS, "bin": keys % BINS, "n": n})
+                if key != (r.block, r.dims):
+                    if key is not None:
+                        yield told(key, total)
+                    key, total = (r.block, r.dims), np.zeros(len(ids) * BINS, dtype=np.int64)
+                total += np.bincount(nth * BINS + bins, minlength=len(total))
+        if key is not None:
+            yield told(key, total)
+
+    return paired(state, spread).mapInPandas(count, "block long, dims int, nth long, bin long, n long")
 
-    counted = paired(state, spread).mapInPandas(count, "block long, dims int, nth long, bin long, n long")
-    return counted.groupBy("block", "dims", "nth", "bin").agg(F.sum("n").alias("n"))
+
+def histogram(state: DataFrame, spread: DataFrame, width: int, step: int) -> DataFrame:
+    """The counts of :func:`counted` over all candidates."""
+    return counted(state, spread, width, step).groupBy("block", "dims", "nth", "bin").agg(F.sum("n").alias("n"))
 
 
 def narrowed(state: DataFrame, found: DataFrame, step: int) -> DataFrame:

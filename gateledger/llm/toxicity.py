@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gateledger.llm.tables import cut, whole
+from gateledger.llm.tables import cut, set_aside, whole
 
 SAMPLE = 12_000  # learning rows of each label
 LEXICON = 4096  # entries at most, the strongest
@@ -157,9 +157,11 @@ def scored(
     """
     rows = learning_rows(docs, labels, doc_id, text, label)
     there = {r["label"] for r in rows.select("label").distinct().collect()}
-    found = docs.withColumn("_held", F.coalesce(part(doc_id) == 0, F.lit(False)))
+    away, back = set_aside(docs, into)  # the models add columns of fixed names
+    found = docs.select(*away, F.coalesce(part(doc_id) == 0, F.lit(False)).alias("_held"), whole(text).alias("_text"))
     if there != {0, 1}:
-        return found.withColumn(into, F.struct(F.col("_held").alias("held_out"), F.lit(1.0 if 1 in there else 0.0).alias("score"))).drop("_held")
+        alone = F.struct(F.col("_held").alias("held_out"), F.lit(1.0 if 1 in there else 0.0).alias("score"))
+        return found.select(*back, alone.alias(into))
     of = features(learned_lexicon(rows.filter("share < 4")))
     known = cut(rows.filter("share >= 4").select("label", "share", "weight", of("text").alias("values")).coalesce(8))
     if known.select("label").distinct().count() < 2 or known.filter("share >= 6").select("label").distinct().count() < 2:
@@ -170,9 +172,9 @@ def scored(
         vector_to_array("probability")[1].alias("raw"), F.col("label").cast("double").alias("label"), "weight"
     )
     level = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="score").fit(raw)
-    named = found.withColumns({"_values": of(whole(text))}).withColumn("_features", array_to_vector("_values"))
+    named = found.withColumn("_values", of("_text")).withColumn("_features", array_to_vector("_values"))
     trees = trees.setFeaturesCol("_features").setPredictionCol("_p").setProbabilityCol("_probability").setRawPredictionCol("_margin")
     named = trees.transform(named).withColumn("_raw", vector_to_array("_probability")[1])
     named = level.setFeaturesCol("_raw").setPredictionCol("_score").transform(named)
     result = F.struct(F.col("_held").alias("held_out"), F.col("_score").alias("score"))
-    return named.withColumn(into, result).select(*[c for c in docs.columns if c != into], into)
+    return named.select(*back, result.alias(into))

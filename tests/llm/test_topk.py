@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from gateledger.llm import topk
 from gateledger.llm.queries import QUERIES
 
@@ -43,6 +45,25 @@ def test_blocks_meet(spark, monkeypatch):
     check(spark, [(i, [rng.uniform(-1, 1) for _ in range(8)], None) for i in range(150)])
 
 
+def test_candidate_blocks_of_a_task_are_counted_together(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    monkeypatch.setattr(topk, "CANDIDATES", 10)
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, [rng.randrange(8) for _ in range(4)]) for i in range(600)], "id long, v array<long>").coalesce(1)
+    asked = topk.blocks(df.filter("id < 16"), 16, 16).withColumn("lows", F.transform("ids", lambda _: F.lit("-1000")))
+    spread = topk.blocks(df, 10, 600).select(F.lit(0).alias("to"), F.col("dims").alias("long"), F.col("ids").alias("cids"), F.col("vs").alias("cvs"))
+    counted = topk.counted(asked, spread.coalesce(1), 2000, 8)
+    rows = topk.histogram(asked, spread, 2000, 8).collect()
+    assert spread.count() > 30 and sum(r.n for r in rows) == 16 * 599
+    assert counted.count() == len(rows)  # one task, so nothing is left to add up
+
+
+def test_rows_of_one_id_spread_over_blocks(spark):
+    df = spark.createDataFrame([(7, [float(i % 5)]) for i in range(3000)], "id long, v array<double>")
+    sizes = [len(r.ids) for r in topk.blocks(df, 100, 3000).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 250
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert sorted(map(tuple, QUERIES["op10_exact_top_k"](spark, sf_dir).collect())) == best(rows, 20, 20)

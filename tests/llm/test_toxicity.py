@@ -55,6 +55,15 @@ def test_odd_documents(spark, odd_docs, odd_rows, no_docs, marked):
     assert toxicity.scored(no_docs, labels).count() == 0
 
 
+def test_own_columns_of_any_name_keep_their_values(spark, marked):
+    names = ["_held", "_values", "_features", "_p", "_probability", "_margin", "_raw", "_score", "_text"]
+    docs = spark.createDataFrame([(i, t, *[i + k for k in range(9)]) for i, t, _ in marked], ["doc_id", "text", *names])
+    for labels in ([(i, 1, t) for i, _, t in marked], []):
+        rows = toxicity.scored(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert rows.columns == [*docs.columns, "toxicity"]
+        assert all(r[2 + k] == r.doc_id + k for r in rows.collect() for k in range(9))
+
+
 def test_features_of_odd_texts():
     of = toxicity.Features({"vermin": 2.0, "grot~": 1.0}).of
     assert of("") == [0.0] * len(toxicity.FEATURES)
