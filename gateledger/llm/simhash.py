@@ -104,7 +104,7 @@ def roots(prints: DataFrame) -> DataFrame:
     key = ["choice", "cell"]
     n = prints.count()
     many = n * len(masks())
-    prints = sized(prints.select("fp"), n)
+    prints = sized(prints.select("fp"), many)
     cells = celled(prints)
     hubs = cells.groupBy(*key).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
     # conditions on both sides are part of the join: only verified links leave it
@@ -114,7 +114,7 @@ def roots(prints: DataFrame) -> DataFrame:
     found = components(star.select(F.col("fp").alias("a"), hub.alias("b")))
     links = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     named = prints.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    cells = celled(cut(sized(named, n)))
+    cells = celled(cut(sized(named, many)))
     one = cells.groupBy(*key).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     closed = one.filter((F.col("n") >= CROWD) & (F.col("lo") == F.col("hi"))).select(*key)
     rest = cells.join(closed, key, "left_anti")
@@ -127,7 +127,7 @@ def roots(prints: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id of every row, and the root that only its own class has."""
     rows = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(whole(text)).alias("fp")))
-    n = rows.count()
+    n = rows.count() * len(masks())  # each row makes so many cells
     prints = cut(sized(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), n))
     found = roots(prints.select("fp"))
     named = prints.join(found, F.col("fp") == F.col("node"), "left")
