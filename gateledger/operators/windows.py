@@ -136,9 +136,10 @@ def rolling_gate_counts(
 ) -> DataFrame:
     """How many earlier gates fell in the trailing window, per installation and in all.
 
-    Each gate adds one at its time and takes one away just after it leaves the window (a gate
-    exactly ``hours`` old still counts), so both counts are running sums. The count over all
-    gates has no key; it is bucketed by time and never gathers in one task.
+    Of gates of the same instant, those with a smaller id are the earlier ones. Each gate adds
+    one at its time and takes one away just after it leaves the window (a gate exactly ``hours``
+    old still counts), so both counts are running sums. The count over all gates has no key; it is
+    bucketed by time and never gathers in one task.
     """
     steps = gates.select(
         "id",

@@ -582,8 +582,10 @@ def attempt_rank(s: Source):
 
 @query(
     """SELECT id, installation_id,
-      count(*) OVER (PARTITION BY installation_id ORDER BY created_at RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) - 1 AS installation_before,
-      count(*) OVER (ORDER BY created_at RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) - 1 AS global_before
+      count(*) OVER (PARTITION BY installation_id ORDER BY created_at RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)
+        - count(*) OVER (PARTITION BY installation_id, created_at ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS installation_before,
+      count(*) OVER (ORDER BY created_at RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)
+        - count(*) OVER (PARTITION BY created_at ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS global_before
     FROM gates""",
     (GATES,),
 )
