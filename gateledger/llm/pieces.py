@@ -15,19 +15,18 @@ import re
 import struct
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gateledger.llm.tables import whole
+from gateledger.llm.tables import give_back, portions, whole, with_both
 
 SPACE = "\u2581"  # how a vocabulary writes a space
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
@@ -36,7 +35,6 @@ MEMO_CHARS = 2_000_000  # characters of the distinct stretches a task remembers
 SHORT = 40  # characters up to which stretches are merged side by side, longer ones each by a heap
 NONE = (1 << 31) - 1  # the rank of what is no piece
 UNKNOWN_SIGN, PAD = -1, -2  # symbols of a character that is no piece, and of no character
-CHECK_CHARS = 1 << 20  # characters or bytes that are worked on and go to the library at once
 REPLACEMENT = "�".encode()
 
 
@@ -257,18 +255,6 @@ class Stretches(dict):
         return [b"".join(map(self.__getitem__, parts)) for parts in cut_up]
 
 
-def portions(batch: pa.Array) -> Iterator[pa.Array]:
-    """Neighbours of together about CHECK_CHARS bytes, or one longer value by itself."""
-    start = total = 0
-    for k, size in enumerate(pc.fill_null(pc.binary_length(batch), 0).to_pylist()):
-        if k > start and total + size > CHECK_CHARS:
-            yield batch.slice(start, k - start)
-            start, total = k, 0
-        total += size
-    if len(batch):
-        yield batch.slice(start)
-
-
 def library(model: bytes):
     from sentencepiece import SentencePieceProcessor
 
@@ -285,17 +271,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: st
 
     @F.arrow_udf(T.BinaryType())
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Stretches(vocabulary)
-        begin, end = (array("I", [x]).tobytes() for x in (vocabulary.begin, vocabulary.end))
-        for batch in batches:
-            parts = []
-            for texts in portions(batch):
-                parts.append(pa.array([begin + ids + end for ids in known.encoded(texts.to_pylist())], pa.binary()))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+        coded = encoder(vocabulary)
+        for texts in chain.from_iterable(map(portions, batches)):
+            yield pa.array(coded(texts.to_pylist()), pa.binary())
+        give_back()
 
     return docs.withColumn(into, ids_of(whole(F.col(f"`{text}`"))))
 
 
+def encoder(vocabulary: Vocabulary) -> Callable[[list[str]], list[bytes]]:
+    """The packed ids of texts, begin and end around them; stretches of earlier ones are remembered."""
+    known = Stretches(vocabulary)
+    begin, end = (array("I", [x]).tobytes() for x in (vocabulary.begin, vocabulary.end))
+    return lambda texts: [begin + ids + end for ids in known.encoded(texts)]
+
+
 def n_tokens(tokens: str | Column = "tokens") -> Column:
     return (F.octet_length(tokens) / 4).cast("long")
 
@@ -343,18 +333,43 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, tokens: str = "tokens", into
 
     @F.arrow_udf(T.StringType())
     def texts_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        other = library(model)
-        for batch in batches:
-            parts = []
-            for coded in portions(batch):
-                rows = [None if c is None else np.frombuffer(c, "<u4").tolist() for c in coded.to_pylist()]
-                if any(max(r) >= len(spoken.kinds) for r in rows if r):
-                    raise ValueError("an id is not in the vocabulary")
-                texts = [None if r is None else text_of(r, spoken).decode() for r in rows]
-                theirs = iter(other.decode([r for r in rows if r is not None], num_threads=1))
-                if any(t != next(theirs) for t in texts if t is not None):
-                    raise ValueError("the library decodes a text otherwise")
-                parts.append(pa.array(texts, pa.string()))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        spelled = decoder(spoken, library(model))
+        for coded in chain.from_iterable(map(portions, batches)):
+            yield pa.array(spelled(coded.to_pylist()), pa.string())
+        give_back()
 
     return docs.withColumn(into, texts_of(F.col(f"`{tokens}`")))
+
+
+def decoder(spoken: Spoken, other) -> Callable[[list[bytes | None]], list[str | None]]:
+    """The texts of packed ids, each held against the library."""
+
+    def spelled(coded: list[bytes | None]) -> list[str | None]:
+        rows = [None if c is None else np.frombuffer(c, "<u4").tolist() for c in coded]
+        if any(max(r) >= len(spoken.kinds) for r in rows if r):
+            raise ValueError("an id is not in the vocabulary")
+        texts = [None if r is None else text_of(r, spoken).decode() for r in rows]
+        theirs = iter(other.decode([r for r in rows if r is not None], num_threads=1))
+        if any(t != next(theirs) for t in texts if t is not None):
+            raise ValueError("the library decodes a text otherwise")
+        return texts
+
+    return spelled
+
+
+def there_and_back(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "tokens", back: str = "decoded") -> DataFrame:
+    """:func:`encode`, and :func:`decode` of the ids it made, in one Python worker a task.
+
+    One after the other they are two steps of a plan, and each task has a worker for either at the same time.
+    """
+
+    @F.arrow_udf(T.StructType().add("ids", T.BinaryType()).add("back", T.StringType()))
+    def both_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coded = encoder(vocabulary)
+        spelled = decoder(Spoken(vocabulary.surface, vocabulary.kinds), library(vocabulary.model))
+        for texts in chain.from_iterable(map(portions, batches)):
+            ids = coded(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(spelled(ids), pa.string())], ["ids", "back"])
+        give_back()
+
+    return with_both(docs, both_of(whole(F.col(f"`{text}`"))), into, back)

@@ -162,8 +162,8 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by the merge vocabulary, and the text back from them, as digests."""
     vocabulary = pieces.Vocabulary.load(public_tokenizers().path("piece_bpe_32k.model"))
-    coded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "tokens")
-    return pieces.decode(coded, vocabulary).select(
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.there_and_back(docs, vocabulary).select(
         "doc_id",
         pieces.n_tokens().alias("n_tokens"),
         F.sha2("tokens", 256).alias("ids_sha256"),

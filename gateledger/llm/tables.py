@@ -7,6 +7,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from gateledger.operators.scan import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 TASK_ROWS = 1 << 16  # of a narrow table
+PORTION = 1 << 20  # characters or bytes that a Python worker works on at once
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,18 @@ def give_back() -> None:
         trim(0)
 
 
+def portions(batch: pa.Array) -> Iterator[pa.Array]:
+    """Neighbours of together about PORTION bytes, or one longer value by itself."""
+    start = total = 0
+    for k, size in enumerate(pc.fill_null(pc.binary_length(batch), 0).to_pylist()):
+        if k > start and total + size > PORTION:
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += size
+    if len(batch):
+        yield batch.slice(start)
+
+
 def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``work`` over the batches of a task, after which its memory is given back."""
 
@@ -87,3 +101,12 @@ def set_aside(docs: DataFrame, replaced: str) -> tuple[list[Column], list[Column
     kept = [c for c in docs.columns if c != replaced]
     away = [F.col(f"`{c}`").alias(f"_own{k}") for k, c in enumerate(kept)]
     return away, [F.col(f"_own{k}").alias(c) for k, c in enumerate(kept)]
+
+
+def with_both(docs: DataFrame, both: Column, into: str, back: str) -> DataFrame:
+    """``docs`` with the fields of ``both`` (ids, back) as the columns ``into`` and ``back``, which are replaced if there."""
+    name = "_both"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (into, back)]
+    return docs.withColumn(name, both).select(*kept, F.col(f"{name}.ids").alias(into), F.col(f"{name}.back").alias(back))

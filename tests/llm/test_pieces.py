@@ -82,3 +82,13 @@ def test_query(spark, sf_dir, documents):
         digests = (np.array(found, "<u4").tobytes(), LIBRARY.decode(found).encode())
         want[r.doc_id] = (len(found), *(hashlib.sha256(d).hexdigest() for d in digests))
     assert got == want
+
+
+def test_there_and_back_is_one_step_of_the_plan(odd_docs, no_docs, spark, sf_dir):
+    found = pieces.there_and_back(odd_docs, VOCABULARY)
+    two = pieces.decode(pieces.encode(odd_docs, VOCABULARY), VOCABULARY)
+    assert found.columns == two.columns
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
+    assert pieces.there_and_back(no_docs, VOCABULARY).count() == 0
+    plan = QUERIES["op12_sentencepiece"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
