@@ -77,9 +77,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lean(spark)
     vocabulary = public_tokenizers()
     ranks = bpe.read_ranks(vocabulary.path("byte_bpe_50k.tiktoken"))
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, vocabulary.PATTERN)
+    coded = bpe.there_and_back(docs.select("doc_id", "lang", "source", "text"), ranks, vocabulary.PATTERN)
     exact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return bpe.decode(coded, ranks).select(
+    return coded.select(
         "doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "tokens", exact.alias("exact")
     )
 

@@ -12,8 +12,9 @@ nested lambdas are interpreted and took several times the allowed CPU time; READ
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gateledger.llm.tables import whole
+from gateledger.llm.tables import give_back, portions, whole, with_both
 
-MEMO = 300_000  # distinct words a task remembers before it starts afresh
+MEMO = 150_000  # distinct words a task remembers before it starts afresh
 SHORT = 64  # bytes up to which a scan for the lowest rank beats a heap
 NONE = 1 << 62  # the rank of what is no token
 
@@ -94,20 +95,28 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
     @F.arrow_udf(T.BinaryType())
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import regex
-
-        find, words = regex.compile(pattern).findall, Words(ranks)
-        for texts in batches:
-            out = []
-            for text in texts:
-                out.append(b"".join(map(words.__getitem__, find(text.as_py()))))
-                if len(words) > MEMO:
-                    words.clear()
-            yield pa.array(out, pa.binary())
+        coded = encoder(ranks, pattern)
+        for texts in chain.from_iterable(map(portions, batches)):
+            yield pa.array([coded(text.as_py()) for text in texts], pa.binary())
+        give_back()
 
     return docs.withColumn(into, ids_of(whole(text)))
 
 
+def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes]:
+    """The packed ids of a text; the words of earlier ones are remembered."""
+    import regex
+
+    find, words = regex.compile(pattern).findall, Words(ranks)
+
+    def coded(text: str) -> bytes:
+        if len(words) > MEMO:
+            words.clear()
+        return b"".join(map(words.__getitem__, find(text)))
+
+    return coded
+
+
 def n_tokens(tokens: str | Column = "tokens") -> Column:
     return (F.octet_length(tokens) / 4).cast("long")
 
@@ -120,15 +129,40 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], tokens: str = "tokens", int
 
     @F.arrow_udf(T.BinaryType())
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        piece = {rank: token for token, rank in ranks.items()}.__getitem__
+        joined = decoder(ranks)
+        for ids in chain.from_iterable(map(portions, batches)):
+            yield pa.array([None if t is None else joined(t) for t in ids.to_pylist()], pa.binary())
 
-        def joined(ids: bytes) -> bytes:
-            try:
-                return b"".join(map(piece, np.frombuffer(ids, dtype="<u4").tolist()))
-            except KeyError as e:
-                raise ValueError(f"id {e} has no piece") from None
+    return docs.withColumn(into, bytes_of(tokens))
 
-        for batch in batches:
-            yield pa.array([None if t is None else joined(t) for t in batch.to_pylist()], pa.binary())
 
-    return docs.withColumn(into, bytes_of(tokens))
+def decoder(ranks: dict[bytes, int]) -> Callable[[bytes], bytes]:
+    """The bytes of packed ids."""
+    piece = {rank: token for token, rank in ranks.items()}.__getitem__
+
+    def joined(ids: bytes) -> bytes:
+        try:
+            return b"".join(map(piece, np.frombuffer(ids, dtype="<u4").tolist()))
+        except KeyError as e:
+            raise ValueError(f"id {e} has no piece") from None
+
+    return joined
+
+
+def there_and_back(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "tokens", back: str = "decoded"
+) -> DataFrame:
+    """:func:`encode`, and :func:`decode` of the ids it made, in one Python worker a task.
+
+    One after the other they are two steps of a plan, and each task has a worker for either at the same time.
+    """
+
+    @F.arrow_udf(T.StructType().add("ids", T.BinaryType()).add("back", T.BinaryType()))
+    def both_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coded, joined = encoder(ranks, pattern), decoder(ranks)
+        for texts in chain.from_iterable(map(portions, batches)):
+            ids = [coded(text.as_py()) for text in texts]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(joined, ids), pa.binary())], ["ids", "back"])
+        give_back()
+
+    return with_both(docs, both_of(whole(text)), into, back)

@@ -119,8 +119,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers()
     ranks = bpe.read_ranks(vocabulary.path("byte_bpe_50k.tiktoken"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = bpe.decode(bpe.encode(docs, ranks, vocabulary.PATTERN).select("doc_id", "tokens"), ranks)
-    return rows.select(
+    return bpe.there_and_back(docs, ranks, vocabulary.PATTERN).select(
         "doc_id",
         bpe.n_tokens().alias("n_tokens"),
         F.sha2("tokens", 256).alias("ids_sha256"),

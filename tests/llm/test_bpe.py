@@ -43,3 +43,17 @@ def test_empty_table_and_unknown_id(spark, no_docs):
 def test_query(spark, sf_dir, documents):
     got = {r.doc_id: r.n_tokens for r in QUERIES["op1_byte_bpe"](spark, sf_dir).collect()}
     assert got == {r.doc_id: len(OWN.encode_ordinary(r.text or "")) for r in documents}
+
+
+def test_there_and_back_is_one_step_of_the_plan(odd_docs, odd_rows, no_docs):
+    found = bpe.there_and_back(odd_docs, RANKS, VOCABULARY.PATTERN)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    two = bpe.decode(bpe.encode(odd_docs, RANKS, VOCABULARY.PATTERN), RANKS)
+    assert found.columns == two.columns
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
+    assert bpe.there_and_back(no_docs, RANKS, VOCABULARY.PATTERN).count() == 0
+
+
+def test_query_has_one_python_worker_a_task(spark, sf_dir):
+    plan = QUERIES["op1_byte_bpe"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

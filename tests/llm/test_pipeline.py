@@ -62,3 +62,8 @@ def test_own_columns_of_any_name_keep_their_values(spark, sf_dir):
         assert out.columns == named.columns
         for r in out.select("doc_id", "quality", "mix", "verdict", "Share", "_verdict").collect():
             assert (float(r.quality), r.mix, r.verdict, r.Share, r._verdict) == (r.doc_id + 0.5, r.doc_id * 2, r.doc_id, "s", r.doc_id)
+
+
+def test_tokens_have_one_python_worker_a_task(spark, sf_dir):
+    found = corpus_pipeline.tokens(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
