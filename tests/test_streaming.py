@@ -125,3 +125,58 @@ def test_out_of_order_backfill_reconciles_to_the_batch_result(spark, tmp_path):
     log = jobs.dedupe_deliveries(read_events(spark, source))
     got = jobs.reconciled(moves, log).select("delivery_id", "outcome", "gate_id", "capped").collect()
     assert {r.delivery_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+
+
+class Counting(Chunks):
+    calls = 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def iterator(self):
+        return iter(self.items())
+
+
+class Value:
+    stored = None
+
+    def get(self):
+        return self.stored
+
+    def update(self, value):
+        self.stored = value
+
+
+def test_few_calls_of_the_state_store_and_the_same_outcomes():
+    """Pull requests of usual size read and write one value together; a large one spills, with the same outcomes."""
+    from pyspark.sql import Row
+
+    from gateledger.operators.pull_request import PullRequest
+    from gateledger.streaming.machine import Event, GateProcessor
+
+    def event(pr, i):
+        step = ("opened", "pushed", "explained")[i % 3]
+        return Row(**Event(1, pr, f"{i:06}", step, f"c{i}", f"d{i % 5}", False, None, True, False, i % 7 == 0, None, i * 1000, "")._asdict())
+
+    for n, spills in ((60, False), (9000, True)):
+        processor, plain = GateProcessor(24 * 3_600_000_000), {1: PullRequest(1, 1), 2: PullRequest(1, 2)}
+        processor.latest, processor.chunks, processor.gates, processor.seen = Value(), Counting(), Counting(), Counting()
+        rows = [event(pr, i) for i in range(n) for pr in (2, 1)]
+        got = []
+        for at in range(0, 2 * n, n // 3):
+            part = rows[at : at + n // 3]
+            got += list(processor.handleInputRows((7,), iter(part + rows[max(0, at - 5) : at + 3]), None))  # some come again
+        want = [(e.pr_number, e.delivery_id, *plain[e.pr_number].apply(e)) for e in rows]
+        assert sorted((r.pr_number, r.delivery_id, r.outcome, r.gate_id) for r in got) == sorted(want)
+        calls = [m.calls for m in (processor.chunks, processor.gates, processor.seen)]
+        assert (sum(calls) > 0) == spills
+        assert len(processor.seen) == (2 * n if spills else 0)
