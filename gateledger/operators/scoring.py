@@ -11,7 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,6 +30,7 @@ Scorer = Callable[[], Complete]
 TIMEOUT_S, CLOSEOUT_TIMEOUT_S = 60.0, 30.0
 CLOSEOUT_CHARS = 6000
 
+AT_ONCE = 256  # requests that a task holds as Python values, with their answers
 ROUNDS = 16  # parts in which requests without a stored answer are asked
 ANSWERS = "__key string, raw string, error string"
 
@@ -63,27 +64,30 @@ def score_text(
     or another folder, when a model changes under its name. ``observed`` counts rows, answered and failed ones.
     """
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         complete, free = None, 0.0
         for batch in batches:
-            raws, errors = [], []
-            for s, u in zip(batch["__system"], batch["__user"], strict=True):
-                time.sleep(max(0.0, free - time.monotonic()))
-                free = time.monotonic() + pause_s
-                try:
-                    complete = complete or scorer()
-                    raws.append(complete(s, u, model=model, timeout=timeout) or "")
-                    errors.append(None)
-                except Exception as err:  # any failure of a call leaves its row unanswered
-                    raws.append(None)
-                    errors.append(str(err) or type(err).__name__)
-            yield pd.DataFrame({"__key": batch["__key"], "raw": raws, "error": errors}, dtype=object)
+            for start in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(start, AT_ONCE)
+                raws, errors = [], []
+                for s, u in zip(some.column("__system").to_pylist(), some.column("__user").to_pylist(), strict=True):
+                    time.sleep(max(0.0, free - time.monotonic()))
+                    free = time.monotonic() + pause_s
+                    try:
+                        complete = complete or scorer()
+                        raws.append(complete(s, u, model=model, timeout=timeout) or "")
+                        errors.append(None)
+                    except Exception as err:  # any failure of a call leaves its row unanswered
+                        raws.append(None)
+                        errors.append(str(err) or type(err).__name__)
+                answers = [some.column("__key"), pa.array(raws, pa.string()), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays(answers, names=["__key", "raw", "error"])
 
     # a given number of partitions, which adaptive execution does not merge
     tasks = calls_at_once or df.sparkSession.sparkContext.defaultParallelism
 
     def ask(requests: DataFrame) -> DataFrame:
-        return requests.repartition(tasks).mapInPandas(call, ANSWERS)
+        return requests.repartition(tasks).mapInArrow(call, ANSWERS)
 
     request = F.struct(F.lit(model).cast("string").alias("model"), "__system", "__user")
     key = F.sha2(F.to_json(request, {"ignoreNullFields": "false"}), 256)

@@ -156,3 +156,20 @@ def test_overlap_bands(spark):
     assert got == {1: (1.0, "high"), 2: (0.0, "low"), 3: (0.0, "unknown"), 4: (0.0, "low")}
     pooled = overlap.overlap_band(told, sources.drop("gate"))
     assert {r.id: r.overlap for r in pooled.collect()} == {1: "high", 2: "low", 3: "high", 4: "low"}
+
+
+def lists_in_memory():
+    """Answers with the number of answers that its task still holds as Python values."""
+
+    def complete(system, user, model=None, timeout=60.0):
+        import sys
+
+        return str(len(sys._getframe(1).f_locals["raws"]))
+
+    return complete
+
+
+def test_a_task_holds_few_requests_as_python_values(spark):
+    requests = spark.range(3000).selectExpr("CAST(id AS STRING) AS u").coalesce(1)
+    got = scoring.score_text(requests, lists_in_memory, F.lit("s"), F.col("u"), calls_at_once=1).select("raw").collect()
+    assert len(got) == 3000 and max(int(r.raw) for r in got) < 1000
