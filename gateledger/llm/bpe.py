@@ -14,7 +14,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from gateledger.llm.tables import give_back, portions, whole, with_both
 
-MEMO = 150_000  # distinct words a task remembers before it starts afresh
+MEMO = 200_000  # distinct words that a task holds apart; it remembers at most twice as many
 SHORT = 64  # bytes up to which a scan for the lowest rank beats a heap
 NONE = 1 << 62  # the rank of what is no token
 
@@ -36,32 +37,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Words(dict):
-    """Ids of words by word, little-endian; a word is encoded when it is first asked for."""
+    """Ids of words by word, little-endian; a word is encoded when it is first asked for.
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    Beyond ``memo`` words the ones asked for since the last time are kept apart and the older ones are dropped,
+    so that what is asked for again and again is not encoded again. At most twice ``memo`` are remembered.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], memo: int = MEMO):
+        self.ranks, self.memo = ranks, memo
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        ids = self.folded(data) if len(data) <= SHORT else self.folded_long(data)
-        self[word] = packed = np.array(ids, dtype="<u4").tobytes()
+        packed = self.older.get(word)
+        if packed is None:
+            data = word.encode()
+            ids = self.folded(data) if len(data) <= SHORT else self.folded_long(data)
+            packed = pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.memo:
+            self.older = dict(self)
+            self.clear()
+        self[word] = packed
         return packed
 
     def rank(self, piece: bytes) -> int:
         return self.ranks.get(piece, NONE)
 
     def folded(self, data: bytes) -> list[int]:
-        pieces = [data[i : i + 1] for i in range(len(data))]
-        pairs = [self.rank(data[i : i + 2]) for i in range(len(data) - 1)]
+        rank = self.ranks.get
+        cuts = list(range(len(data) + 1))  # where pieces begin, and the end
+        pairs = [rank(data[i : i + 2], NONE) for i in range(len(data) - 1)]
         while pairs and (low := min(pairs)) != NONE:
             i = pairs.index(low)
-            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
-            del pairs[i]
+            del pairs[i], cuts[i + 1]
             if i:
-                pairs[i - 1] = self.rank(pieces[i - 1] + pieces[i])
+                pairs[i - 1] = rank(data[cuts[i - 1] : cuts[i + 1]], NONE)
             if i < len(pairs):
-                pairs[i] = self.rank(pieces[i] + pieces[i + 1])
-        return [self.ranks[p] for p in pieces]
+                pairs[i] = rank(data[cuts[i] : cuts[i + 2]], NONE)
+        return [self.ranks[data[a:b]] for a, b in pairwise(cuts)]
 
     def folded_long(self, data: bytes) -> list[int]:
         """The same merges for a long word: pieces are linked, and pairs wait in a heap by rank and place."""
@@ -110,8 +122,6 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes]:
     find, words = regex.compile(pattern).findall, Words(ranks)
 
     def coded(text: str) -> bytes:
-        if len(words) > MEMO:
-            words.clear()
         return b"".join(map(words.__getitem__, find(text)))
 
     return coded

@@ -57,3 +57,27 @@ def test_there_and_back_is_one_step_of_the_plan(odd_docs, odd_rows, no_docs):
 def test_query_has_one_python_worker_a_task(spark, sf_dir):
     plan = QUERIES["op1_byte_bpe"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_common_words_outlive_a_full_memory():
+    folds = []
+
+    class Counted(bpe.Words):
+        def folded(self, data):
+            folds.append(data)
+            return super().folded(data)
+
+    words = Counted(RANKS, memo=50)
+    for k in range(2000):
+        for word in (" common", f" rare{k}"):
+            assert ids(words[word]) == OWN.encode_ordinary(word)
+        assert len(words) + len(words.older) <= 100
+    assert folds.count(b" common") == 1 and len(folds) == 2001
+
+
+def test_words_fold_as_the_library_does():
+    rng = np.random.default_rng(5)
+    pieces = sorted(RANKS)
+    words = bpe.Words(RANKS)
+    for data in [b"".join(pieces[k] for k in rng.integers(0, len(pieces), n)) for n in (1, 1, 2, 2, 3, 3, 4, 5) * 50]:
+        assert words.folded(data) == words.folded_long(data)
