@@ -16,6 +16,9 @@ are counted by installation and hour, and these counts cut the history:
   with the offers of the window before it, streamed in order through one task that holds
   no more than the admitted gates of one window and steps over refused stretches at once.
 
+That task sorts no offers. Many tasks sort those of a few minutes each and pack neighbours into one row of plain
+arrays; ids stay behind and meet their labels afterwards, in many tasks again.
+
 Installations that stay under their limit never reach a replay, and a storm costs the others nothing.
 """
 
@@ -27,12 +30,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gateledger.operators.scan import written
 
 HOUR_US = 3_600_000_000
+CELL_US = 600_000_000  # offers of one recurrence and this much time are sorted and packed together
+PACK = 256  # offers in a packed row at most
+LABELS = ["global", "install"]  # by label, from 1
 
 # The limits the reference service starts with.
 DAILY_PER_INSTALL = 20
@@ -56,10 +63,15 @@ def quota_replay(
     counts = F.col("counts") if "counts" in offers.columns else F.lit(True)
     rows = known.select("id", "installation_id", at.alias("at"), F.floor(at / HOUR_US).alias("hour"), counts.alias("counts"))
     placed = rows.join(stretches(rows, per_install, limit, hours), ["installation_id", "hour"])
-    ordered = placed.repartition("stretch").sortWithinPartitions("stretch", "at", "id")
-    labels = ordered.select("stretch", "alone", "at", "id", "installation_id", "counts", "open").mapInArrow(
-        lambda batches: _replay(batches, per_install, limit, hours * HOUR_US), "id string, capped string"
+    dealt = placed.repartition("stretch", F.floor(F.col("at") / CELL_US)).sortWithinPartitions("stretch", "at", "id")
+    packs = written(dealt.select("stretch", "alone", "at", "id", "installation_id", "counts", "open").mapInArrow(_packed, PACKS))
+    ordered = packs.drop("ids").repartition("stretch").sortWithinPartitions("stretch", "first", "first_id")
+    replayed = ordered.mapInArrow(
+        lambda batches: _replay(batches, per_install, limit, hours * HOUR_US), "stretch string, first_id string, labels array<tinyint>"
     )
+    both = replayed.join(packs.select("stretch", "first_id", "ids"), ["stretch", "first_id"])
+    each = both.select(F.inline(F.arrays_zip("ids", "labels"))).filter("labels > 0")
+    labels = each.select(F.col("ids").alias("id"), F.element_at(F.array(*map(F.lit, LABELS)), F.col("labels").cast("int")).alias("capped"))
     return offers.join(labels, "id", "left")
 
 
@@ -160,33 +172,64 @@ class Meter:
         return self.window[0][0] + self.span
 
 
+PACKS = (
+    "stretch string, alone boolean, first bigint, first_id string, "
+    "ids array<string>, at array<bigint>, installs array<bigint>, counts array<boolean>, open array<boolean>"
+)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours of one stretch and cell as one row; rows come sorted by stretch, time and id."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column
+        names = column("stretch").dictionary_encode().indices.to_numpy()
+        cells = column("at").to_numpy() // CELL_US
+        breaks = np.flatnonzero((np.diff(names) != 0) | (np.diff(cells) != 0)) + 1
+        firsts = np.union1d(np.arange(0, batch.num_rows, PACK), breaks)
+        offsets = pa.array(np.append(firsts, batch.num_rows), pa.int32())
+        heads = [column(c).take(pa.array(firsts)) for c in ("stretch", "alone", "at", "id")]
+        lists = [pa.ListArray.from_arrays(offsets, column(c)) for c in ("id", "at", "installation_id", "counts", "open")]
+        yield pa.RecordBatch.from_arrays(
+            [*heads, *lists], names=["stretch", "alone", "first", "first_id", "ids", "at", "installs", "counts", "open"]
+        )
+
+
 def _replay(batches: Iterator[pa.RecordBatch], per_install: int, limit: int, span: int) -> Iterator[pa.RecordBatch]:
-    """Labels of the open offers of each stretch; rows come sorted by stretch, time and id."""
+    """Labels of the open offers of each stretch, 0 for none; packed rows come sorted by stretch, time and id."""
     meter, current = Meter(span), None
     for batch in batches:
-        names = batch.column("stretch").to_pylist()
-        at = batch.column("at").to_numpy()
-        installs, counts = batch.column("installation_id").to_pylist(), batch.column("counts").to_pylist()
-        alone = batch.column("alone").to_pylist()
-        labels: list[str | None] = [None] * len(names)
-        i = end = 0
-        while i < len(names):
-            if names[i] != current:
-                meter, current = Meter(span), names[i]
-            if i >= end:
-                end = bisect_right(names, current, i)
-            now = int(at[i])
-            meter.advance(now)
-            most = per_install if alone[i] else limit
-            if len(meter.window) >= most:
-                upto = i + int(np.searchsorted(at[i:end], meter.full_until(), side="right"))
-                labels[i:upto] = ["install" if alone[i] else "global"] * (upto - i)
-                i = upto
-                continue
-            labels[i] = meter.refuse(installs[i], per_install, limit)
-            if labels[i] is None and counts[i]:
-                meter.admit(now, installs[i])
-            i += 1
-        kept = batch.column("open")
-        out = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(labels, pa.string())], names=["id", "capped"])
-        yield out.filter(kept)
+        names, alone = batch.column("stretch").to_pylist(), batch.column("alone").to_pylist()
+        at, installs, counts, opened = (
+            pc.fill_null(batch.column(c).flatten(), fill).to_numpy(zero_copy_only=False)
+            for c, fill in (("at", 0), ("installs", 0), ("counts", False), ("open", False))
+        )
+        ends = np.cumsum(pc.list_value_length(batch.column("at")).to_numpy())
+        labels = np.zeros(len(at), dtype=np.int8)
+        i = k = 0
+        while k < len(names):
+            if names[k] != current:
+                meter, current = Meter(span), names[k]
+            label, most = (2, per_install) if alone[k] else (1, limit)
+            k = bisect_right(names, current, k)
+            end = int(ends[k - 1])
+            while i < end:
+                now = int(at[i])
+                meter.advance(now)
+                if len(meter.window) >= most:
+                    upto = i + int(np.searchsorted(at[i:end], meter.full_until(), side="right"))
+                    labels[i:upto] = label
+                    i = upto
+                    continue
+                install = int(installs[i])
+                refused = meter.refuse(install, per_install, limit)
+                if refused is not None:
+                    labels[i] = LABELS.index(refused) + 1
+                elif counts[i]:
+                    meter.admit(now, install)
+                i += 1
+        labels[~opened] = 0
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(labels))
+        yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("first_id"), lists], names=["stretch", "first_id", "labels"])

@@ -1,6 +1,7 @@
 import random
 from datetime import timedelta
 
+import pyarrow as pa
 import pytest
 from history import GOOD, START, events, frame, replay, with_late_grades
 from pyspark.sql import functions as F
@@ -187,3 +188,40 @@ def test_machine_plan(spark, tmp_path):
     plan = machine.gate_machine(read_events(spark, str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Python" not in plan and "PushedFilters: [In(kind, [comment,grade,pull_request])]" in plan
+
+
+def test_offers_reach_the_replay_packed(spark):
+    n = 3000
+    columns = {
+        "stretch": ["all:0"] * n + ["own:1:1"] * 10, "alone": [False] * n + [True] * 10, "at": [*range(0, n * 10**6, 10**6), *range(10)],
+        "id": [f"{i:05d}" for i in range(n + 10)], "installation_id": [i % 3 for i in range(n + 10)],
+        "counts": [i % 5 > 0 for i in range(n + 10)], "open": [i > 100 for i in range(n + 10)],
+    }
+    (packed,) = quota._packed(iter([pa.RecordBatch.from_pydict(columns)]))
+    assert packed.num_rows < 20 and max(map(len, packed["ids"].to_pylist())) <= quota.PACK
+    assert [i for ids in packed["ids"].to_pylist() for i in ids] == columns["id"]
+    assert all(len({a // quota.CELL_US for a in at}) == 1 for at in packed["at"].to_pylist())
+    got = [x for out in quota._replay(iter([packed]), 2, 5, 60 * 10**6) for labels in out["labels"].to_pylist() for x in labels]
+    meter, want = Meter(60 * 10**6), []
+    for i, (at, install, counts) in enumerate(zip(columns["at"], columns["installation_id"], columns["counts"])):
+        meter = Meter(60 * 10**6) if i == n else meter
+        meter.advance(at)
+        refused = meter.refuse(install, 2, 5 if i < n else 10**9)
+        if refused is None and counts:
+            meter.admit(at, install)
+        want.append({None: 0, "global": 1, "install": 2}[refused] if columns["open"][i] else 0)
+    # by itself an installation is alone in its stretch; the last ten offers here are of three
+    assert got[:n] == want[:n] and set(got) == {0, 1, 2}
+
+
+def test_crowded_minutes_against_brute_force(spark):
+    offers = [(f"{i:05d}", i % 7, i // 40, i % 6 > 0) for i in range(4000)]
+    df = spark.createDataFrame(offers, "id string, installation_id bigint, t bigint, counts boolean")
+    df = df.select("id", "installation_id", "counts", F.timestamp_millis(F.col("t") * 90_000 + 1_700_000_000_000).alias("created_at"))
+    meter, want = Meter(3600), {}
+    for i, inst, t, counts in offers:
+        meter.advance(t * 90)
+        want[i] = meter.refuse(inst, 4, 20)
+        if want[i] is None and counts:
+            meter.admit(t * 90, inst)
+    assert {x.id: x.capped for x in quota.quota_replay(df, 4, 20, 1).collect()} == want
