@@ -347,11 +347,28 @@ def attempts_of(transitions: DataFrame) -> DataFrame:
     )
 
 
+def _tellable(transitions: DataFrame) -> DataFrame:
+    """The transitions that explanations are put together from, and all answers, written once: whoever reads
+    them again does not run the machine again."""
+    kept = F.col("outcome").isin("gated", "requested", "ungraded", "passed", "failed") | F.col("delivery_id").startswith(GRADED)
+    return written(
+        transitions.filter(kept).select(
+            "delivery_id", "ts", "installation_id", *PR, "gate_id", "comment_id", "user_id", "user_login", "body", "decisions", "outcome"
+        )
+    )
+
+
 def told(transitions: DataFrame, wanted: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Explanations with the outcome ``wanted``, each with its gate's decisions and all that was told:
     every recorded attempt on the gate so far, then this explanation."""
+    return _told(_tellable(transitions), wanted, hot_rows)
+
+
+def _told(rows: DataFrame, wanted: str, hot_rows: int) -> DataFrame:
     outcome = F.col("outcome")
-    some = transitions.filter(outcome.isin("gated", "requested", "ungraded", "passed", "failed"))
+    # gates without such an explanation need no texts
+    gates = rows.filter(outcome == wanted).select("gate_id").distinct()
+    some = rows.filter(outcome.isin("gated", "requested", "ungraded", "passed", "failed")).join(gates, "gate_id", "left_semi")
     values = {
         "__earlier": Running("text", F.when(~outcome.isin("gated", "requested"), F.col("body")), before=True),
         "__asked": Running("last", F.when(outcome == "gated", F.col("decisions"))),
@@ -374,8 +391,9 @@ def grade_requests(transitions: DataFrame, hot_rows: int = HOT_ROWS, rigor: str
 
     A request whose grade event is among the transitions has been answered and is left out.
     """
-    answered = transitions.select(F.col("delivery_id").alias("__answer")).filter(F.col("__answer").startswith(GRADED))
-    open_ = told(transitions, "requested", hot_rows).join(
+    rows = _tellable(transitions)
+    answered = rows.select(F.col("delivery_id").alias("__answer")).filter(F.col("__answer").startswith(GRADED))
+    open_ = _told(rows, "requested", hot_rows).join(
         answered, F.concat(F.lit(GRADED), F.col("delivery_id")) == F.col("__answer"), "left_anti"
     )
     return open_.withColumn("rigor", F.lit(rigor))

@@ -225,3 +225,13 @@ def test_crowded_minutes_against_brute_force(spark):
         if want[i] is None and counts:
             meter.admit(t * 90, inst)
     assert {x.id: x.capped for x in quota.quota_replay(df, 4, 20, 1).collect()} == want
+
+
+def test_requests_and_loop_run_the_machine_once_each(spark, tmp_path):
+    frame(spark, events(200, 7)).write.parquet(str(tmp_path / "log"))
+    moves = machine.gate_machine(spark.read.parquet(str(tmp_path / "log")))
+    requests = machine.grade_requests(moves)
+    assert requests.count() > 0
+    # whoever reads requests or tellings again reads written rows, not the log
+    for read in (requests, machine.told(moves, "passed")):
+        assert read.inputFiles() and not any("/log/" in f for f in read.inputFiles())
