@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gateledger.functions.text import let
+from gateledger.operators.scan import written
 
 NGRAM = 5
 MEDIUM_SHARE, HIGH_SHARE = 0.2, 0.5
+FEW_NGRAMS = 500_000  # of the sources, up to which Spark may send them to every task
 
 
 def words(text: Column) -> Column:
@@ -48,12 +50,14 @@ def overlap_band(
     ``on`` names columns that tie an explanation to its own sources; without it all sources
     count. An explanation with no source text is ``unknown``. Sources are reduced to distinct
     n-grams first, so the join keeps at most one match per n-gram of an explanation, and AQE can
-    split it where one n-gram is common.
+    split it where one n-gram is common. They are written, so that Spark knows their size: few go to every
+    task, and many are hashed, since a sort of all n-grams of the explanations would spill several times their size.
     """
     link = list(on)
     grams = explanations.select(key, *link, text_ngrams(F.col("explanation"), n).alias("__grams"))
     known = sources.filter(F.col("source").isNotNull())
-    gone = known.select(*link, F.explode(text_ngrams(F.col("source"), n)).alias("__gram")).distinct()
+    gone = written(known.select(*link, F.explode(text_ngrams(F.col("source"), n)).alias("__gram")).distinct())
+    gone = gone if gone.count() <= FEW_NGRAMS else gone.hint("shuffle_hash")
     shared = (
         grams.select(key, *link, F.explode("__grams").alias("__gram"))
         .join(gone, [*link, "__gram"])

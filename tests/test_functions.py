@@ -157,3 +157,16 @@ def test_text_of_json_values_as_javascript_has_it(spark):
     }
     df = spark.createDataFrame(list(cases), "string")
     assert {r.value: r.t for r in df.select("value", answers.js_text(F.parse_json("value")).alias("t")).collect()} == cases
+
+
+def test_many_source_ngrams_are_hashed_not_sorted(spark, monkeypatch):
+    from gateledger.operators import overlap
+
+    told = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 30}" for j in range(12))) for i in range(40)], "id int, explanation string")
+    sources = spark.createDataFrame([(" ".join(f"w{j}" for j in range(9)),), (None,)], "source string")
+    few = sorted(overlap.overlap_band(told, sources).collect())
+    assert {r.overlap for r in few} == {"low", "medium", "high"}
+    monkeypatch.setattr(overlap, "FEW_NGRAMS", 0)
+    many = overlap.overlap_band(told, sources)
+    assert "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(many.collect()) == few
