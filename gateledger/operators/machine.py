@@ -16,16 +16,14 @@ too many events for one task take the bucketed plan of :mod:`gateledger.operator
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gateledger.functions.text import decisions_hash
 from gateledger.operators.filters import ROUTES, classify_prs, is_explanation
 from gateledger.operators.pull_request import folded
-from gateledger.operators.quota import DAILY_GLOBAL, DAILY_PER_INSTALL, quota_replay
+from gateledger.operators.quota import DAILY_GLOBAL, DAILY_PER_INSTALL, history_replay
 from gateledger.operators.scan import (
     HOT_ROWS, Running, cut, hot_keys, hour_of, join_null_safe, run_split, running, split_hot, written,
 )
@@ -125,6 +123,11 @@ def carry_forward(pushes: DataFrame, passes: DataFrame, hot_rows: int = HOT_ROWS
     )
 
 
+def _passes() -> Column:
+    ungraded = F.coalesce(F.col("grade.ungraded"), F.lit(False))
+    return F.col("grade").isNotNull() & ~ungraded & F.coalesce(F.col("grade.pass"), F.lit(False))
+
+
 def _machine(rows: DataFrame, bucket: Column | None) -> DataFrame:
     is_pr = F.col("step") != "explained"
     stateful = is_pr & ~F.col("trivial") & F.col("capped").isNull()
@@ -136,7 +139,7 @@ def _machine(rows: DataFrame, bucket: Column | None) -> DataFrame:
 
     graded = F.col("grade").isNotNull()
     ungraded = F.coalesce(F.col("grade.ungraded"), F.lit(False))
-    passes = graded & ~ungraded & F.coalesce(F.col("grade.pass"), F.lit(False))
+    passes = _passes()
     effective = F.coalesce(stateful & ~F.col("duplicate"), F.lit(False))
     rows = _mark_carries(rows, effective, passes, bucket)
 
@@ -244,53 +247,31 @@ def replay_gates(
     """``gate_machine`` under the daily limits.
 
     Limits depend on which events open gates and gates depend on the limits, but each event only
-    on earlier ones. So a first pass without limits is corrected forward: everything before the
-    earliest label that changed is settled, pull requests without events after it are set aside,
-    and the next round replays only those with a changed label and tests only the offers that are
-    not settled, against the gates admitted in the window before them. Texts, decisions and grades stay
-    out of the rounds and are joined once at the end. Every grade counts for the newest pending gate here. The number of rounds follows the longest time
-    for which the limits bind without a pause, not the length of the history.
+    on earlier ones. So :func:`gateledger.operators.quota.history_replay` replays both together, where the events
+    that may open gates are enough for a limit to bind, and the machine runs once, under its labels. Texts, decisions
+    and grades stay out of both and are joined once at the end. Every grade counts for the newest pending gate here.
     """
-    wide = cut(relevant_events(events.drop("capped", "gate_id")).drop("capped", "bound"))
+    wide = written(relevant_events(events.drop("capped", "gate_id")).drop("capped", "bound"))
     grade = F.when(F.col("grade").isNotNull(), F.struct("grade.pass", "grade.ungraded")).alias("grade")
     narrow = wide.select(
         "delivery_id", "ts", "installation_id", *PR, "step", "head_sha", "decisions_hash", "trivial", grade
     )
     hot = hot_keys(narrow, PR, hot_rows)
-    last = F.max("ts").over(Window.partitionBy(*PR)).alias("__last")
-    unlimited = narrow.select("*", F.lit(None).cast("string").alias("capped"))
-    moves, settled, since = written(run_split(unlimited, PR, hot, _machine_by_heat).select("*", last)), [], None
-    while True:
-        all_moves = reduce(DataFrame.unionByName, settled, moves)
-        open_ = F.lit(True) if since is None else F.col("created_at") >= since
-        found = written(quota_replay(_offers(all_moves, since, hours), per_install, limit, hours).filter(open_))
-        changed = found.filter(~F.col("capped").eqNullSafe(F.col("__was")))
-        first = changed.agg(F.min("created_at")).head()[0]
-        if first is None:
-            break
-        since = F.lit(first)
-        settled.append(moves.filter(F.col("__last") < since))
-        again = changed.select(*PR, F.lit(True).alias("__again")).distinct()
-        live = join_null_safe(moves.filter(F.coalesce(F.col("__last") >= since, F.lit(True))), again, PR, "left")
-        labels = found.select(F.col("id").alias("delivery_id"), F.col("capped").alias("__label"), F.lit(True).alias("__tested"))
-        label = F.when(F.col("__tested"), F.col("__label")).otherwise(F.col("capped"))
-        redo = live.filter("__again").join(labels, "delivery_id", "left").withColumn("capped", label)
-        replayed = run_split(redo.select("__last", *unlimited.columns), PR, hot, _machine_by_heat)
-        moves = written(live.filter("__again IS NULL").drop("__again").unionByName(replayed))
-    result = all_moves.select("delivery_id", "capped", "carries", "outcome", "gate_id")
-    return wide.join(result, "delivery_id")
-
-
-def _offers(moves: DataFrame, since: Column | None, hours: int) -> DataFrame:
-    """What the limits are tested on: all offers from ``since`` on, and before it the gates of one window."""
-    offers = moves.filter(F.col("outcome").isin("gated", "carried", "capped")).select(
+    tests = written(run_split(narrow, PR, hot, _tested))
+    labels = written(history_replay(tests, per_install, limit, hours).withColumnRenamed("id", "delivery_id"))
+    moves = run_split(narrow.join(labels, "delivery_id", "left"), PR, hot, _machine_by_heat)
+    return wide.join(moves.select("delivery_id", "capped", "carries", "outcome", "gate_id"), "delivery_id")
+
+
+def _tested(rows: DataFrame, hot: bool) -> DataFrame:
+    """What limits may be tested on: substantive pull-request events, with the passes told before each."""
+    tested = (F.col("step") != "explained") & ~F.col("trivial")
+    some = rows.withColumns({"__tested": tested, "__pass": _passes()}).filter("__tested OR __pass")
+    told = {"told": Running("count", F.when(F.col("__pass"), 1), before=True)}
+    return running(some, PR, ORDER, told, hour_of("ts") if hot else None).filter("__tested").select(
         F.col("delivery_id").alias("id"), *PR, "installation_id", F.col("ts").alias("created_at"),
-        (~F.col("carries")).alias("counts"), F.col("capped").alias("__was"),
+        (F.col("step") == "opened").alias("opened"), "head_sha", "decisions_hash", "told",
     )
-    if since is None:
-        return offers
-    admitted = F.col("counts") & F.col("__was").isNull() & (F.col("created_at") >= since - F.make_dt_interval(hours=F.lit(hours)))
-    return offers.filter((F.col("created_at") >= since) | admitted)
 
 
 def gates_of(transitions: DataFrame, rigor: str = "medium") -> DataFrame:

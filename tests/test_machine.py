@@ -1,12 +1,14 @@
+import os
 import random
 from datetime import timedelta
 
 import pyarrow as pa
 import pytest
-from history import GOOD, START, events, frame, replay, with_late_grades
+from history import GOOD, START, events, frame, replay, steps, with_late_grades
 from pyspark.sql import functions as F
 
 from gateledger.operators import machine, outbox, quota
+from gateledger.operators.pull_request import PullRequest
 from gateledger.operators.quota import Meter
 
 
@@ -160,6 +162,55 @@ def test_history_under_limits_equals_sequential_replay(spark, seed):
     assert {c for *_, c in want.values()} >= {None, "global"}
 
 
+def limited(rows, per_install, limit):
+    """One event after another; an event without an installation is never limited and adds no counted gate."""
+    prs, out, meter = {}, {}, Meter(24 * 3_600_000_000)
+    for s in steps(rows):
+        pr, capped = prs.setdefault((s.repo, s.pr), PullRequest(s.repo, s.pr)), None
+        duplicate = s.step == "opened" and pr.gate is not None and pr.head == s.head_sha
+        counted = s.installation is not None and s.step != "explained" and not duplicate and not s.trivial
+        if counted:
+            at = int(s.ts.timestamp() * 1_000_000)
+            meter.advance(at)
+            capped = meter.refuse(s.installation, per_install, limit)
+        outcome, gate = pr.apply(s._replace(capped=capped))
+        if counted and outcome == "gated":
+            meter.admit(at, s.installation)
+        out[s.delivery_id] = (outcome, gate, capped)
+    return out
+
+
+@pytest.mark.parametrize(
+    "kind, per_install, limit, hot_rows",
+    [("moving", 3, 7, 10**9), ("moving", 3, 7, 20), ("own", 2, 10**6, 10**9), ("some move", 2, 10**6, 10**9), ("calm days", 5, 12, 10**9), ("far limits", 99, 999, 10**9)],
+)
+def test_limits_and_gates_are_replayed_together(spark, kind, per_install, limit, hot_rows):
+    r = random.Random(kind)
+    rows = events(1500, 21, prs=12, hours=600) if kind == "calm days" else events(400, 21, prs=12, hours=120)
+    if kind == "calm days":
+        rows = [e for e in rows if (e["ts"] - START).days % 8 < 3]
+    for e in rows:
+        own = e["repo_id"] if kind != "calm days" else e["repo_id"] % 3
+        anywhere = kind == "moving" or kind == "some move" and e["repo_id"] < 2
+        e["installation_id"] = r.choice([None, 0, 1, 2]) if anywhere else own
+    want = limited(rows, per_install, limit)
+    assert outcomes(machine.replay_gates(frame(spark, rows), per_install, limit, hot_rows=hot_rows)) == want
+    found = {c for *_, c in want.values()}
+    assert found == {"own": {None, "install"}, "some move": {None, "install"}, "far limits": {None}}.get(kind, {None, "install", "global"})
+    assert {o for o, *_ in want.values()} >= {"gated", "carried", "duplicate", "passed"}
+
+
+def test_tables_written_under_limits_do_not_grow_with_the_history(spark):
+    def tables(n, hours):
+        folder = spark.conf.get("spark.checkpoint.dir")
+        before = {t for t in os.listdir(folder) if t.startswith("table-")}
+        moves = machine.replay_gates(frame(spark, events(n, 5, hours=hours)), per_install=4, limit=6)
+        assert moves.filter("capped = 'global'").count() > 0
+        return len({t for t in os.listdir(folder) if t.startswith("table-")} - before)
+
+    assert tables(900, 220) == tables(120, 30)
+
+
 def test_outbox(spark):
     rows = [event(1, "opened"), event(2, "talk", grade=FAIL), event(3, "talk", grade=OUT), event(4, "talk", grade=PASS), event(5, "synchronize"),
             event(6, "synchronize", files=[]), event(7, "opened", head_sha="h5")]
