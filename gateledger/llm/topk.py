@@ -96,8 +96,9 @@ def top_k(
     served = cut(blocks(vectors, CANDIDATES, n_rows))
     n_asked, shares = (max(1, -(-n // size)) for n, size in ((n_queries, QUERIES), (n_rows, CANDIDATES * SHARE)))
 
-    # |score| <= norm of the query times the largest norm, so one range holds all
-    low, width = -(int(reach) + 1), 2 * (int(reach) + 1) + 1
+    # |score| <= norm of the query times the largest norm, here a rounded sum, so one range holds all
+    reach = int(reach * (1 + 1e-9)) + 1
+    low, width = -reach, 2 * reach + 1
     spread = copied(served.withColumnsRenamed({"dims": "long", "ids": "cids", "vs": "cvs"}).drop("block"), "to", n_asked)
     state = asked.select(
         "block", "dims", "ids", "vs",

@@ -40,6 +40,10 @@ def test_large_components_stay_exact(spark):
     check(spark, [(i, [float(rng.randrange(-(10**7), 10**7)) for _ in range(3)], None) for i in range(40)])
 
 
+def test_lowest_score_of_large_components(spark):
+    check(spark, [(0, [2.4e7, 0.046875], None), (1, [-2.4e7, -0.046875], None)])  # the norm is rounded down by 9
+
+
 def test_blocks_meet(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 7)
     monkeypatch.setattr(topk, "CANDIDATES", 11)
